@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as lic
-from . import mixing, packing, pii, quality, rules, simhash, toxicity
+from . import mixing, packing, pii, quality, rules, simhash, toxicity, webp
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lic.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op3_simhash, op4_toxicity, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality, rule_ablations)}
+QUERIES = {f.__name__: f for f in (op1_license, op2_webp, op3_simhash, op4_toxicity, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality, rule_ablations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
