@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license as lic
-from . import mixing, packing, pii, quality, rules, simhash, toxicity, webp
+from . import mixing, packing, pii, quality, rules, simhash, suffixes, toxicity, webp
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask(rules.BASE_RULES))) != 0
@@ -68,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op2_webp, op3_simhash, op4_toxicity, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality, rule_ablations)}
+QUERIES = {f.__name__: f for f in (op1_license, op2_webp, op3_simhash, op4_toxicity, op5_suffixes, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality, rule_ablations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
