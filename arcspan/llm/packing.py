@@ -52,6 +52,9 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def split(raw: bytes) -> list[str]:
@@ -63,17 +66,42 @@ class Words(dict):
             self.old = dict(self)
             self.clear()
             new = chunks
-        unknown = [c for c in new if c not in self.old]
-        self.update((c, self.old[c]) for c in new if c in self.old)
-        for k in range(0, len(unknown), 20_000):
-            part = unknown[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[c] = array("I", e.ids).tobytes()
+        old = self.old
+        self.update((c, old[c]) for c in new if c in old)
+        # a word and the punctuation after it are tokens of their own: many chunks share a word
+        parts = {c: self._parts(c) for c in new if c not in self}
+        unknown = {x for pair in parts.values() for x in pair} - self.keys()
+        found = {x: old[x] for x in unknown if x in old}
+        unknown -= found.keys()
+        words = [x for x in unknown if x.isalpha()]
+        for k in range(0, len(words), 1000):
+            found.update(self._words(words[k : k + 1000]))
+        found.update(self._each([x for x in unknown if not x.isalpha()]))
+        self.update(found)
+        self.update((c, b"".join(map(self.__getitem__, pair))) for c, pair in parts.items())
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, ...]:
+        word = chunk.rstrip(_PUNCTUATION)
+        return (word, chunk[len(word) :]) if word and word != chunk and word[-1].isalnum() and "<|" not in chunk else (chunk,)
+
+    def _each(self, chunks: list[str]) -> list[tuple[str, bytes]]:
+        return [(c, array("I", e.ids).tobytes()) for k in range(0, len(chunks), 20_000) for c, e in zip(chunks[k : k + 20_000], self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False))]
+
+    def _words(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """Many words in one call; the last token of each is marked as a word's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.nonzero(self.ending[ids])[0] + 1) * 4
+        if len(ends) != len(words):  # a word that lower-cases to more than letters
+            return self._each(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [(w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends)]
 
     def ids(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, chunks))
 
 
+_PUNCTUATION = ".,;:!?*#%&$|()[]{}<>/\\\"+=~^@_-"
 _BLANKS = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 _loaded: dict[str, Words] = {}
 
