@@ -61,7 +61,7 @@ class Words(dict):
         return (raw if b"<|" in raw else raw.lower()).translate(_BLANKS).decode().split(" ")
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.keys()
+        new = {c for c in chunks if c not in self}
         if len(self) + len(new) > self.KEPT:
             self.old = dict(self)
             self.clear()
@@ -70,9 +70,9 @@ class Words(dict):
         self.update((c, old[c]) for c in new if c in old)
         # a word and the punctuation after it are tokens of their own: many chunks share a word
         parts = {c: self._parts(c) for c in new if c not in self}
-        unknown = {x for pair in parts.values() for x in pair} - self.keys()
+        unknown = {x for pair in parts.values() for x in pair if x not in self}
         found = {x: old[x] for x in unknown if x in old}
-        unknown -= found.keys()
+        unknown = [x for x in unknown if x not in found]
         words = [x for x in unknown if x.isalpha()]
         for k in range(0, len(words), 1000):
             found.update(self._words(words[k : k + 1000]))
