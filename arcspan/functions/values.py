@@ -1,7 +1,6 @@
 """Value semantics that decide whether results are equal."""
 
-from __future__ import annotations
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,8 +40,8 @@ def fnv1a(text: str) -> str:
 def cycle_id(members: Column) -> Column:
     """The stable id of a set of modules: their sorted, joined names hashed, for a whole batch at a time."""
 
-    def named(joined):
-        return joined.map(lambda t: f"cycle:{fnv1a(t)}")
+    @F.arrow_udf(StringType())
+    def named(joined: pa.Array) -> pa.Array:
+        return pa.array([f"cycle:{fnv1a(t)}" for t in joined.to_pylist()])
 
-    udf = F.pandas_udf(named, StringType(), F.PandasUDFType.SCALAR)
-    return udf(F.array_join(F.array_sort(members), SEPARATOR))
+    return named(F.array_join(F.array_sort(members), SEPARATOR))

@@ -253,7 +253,7 @@ def bundle_solo_hot(spark, d):
 def bundle_barrel_leaks(spark, d):
     """With an index file for each folder, which imports all of it and ships in two chunks."""
     modules = data.modules(spark, d).select("id")
-    index = F.regexp_replace("id", "[^/]*$", "index.ts")
+    index = F.regexp_replace("id", "[^/]+$", "index.ts")
     owned = modules.where("id NOT LIKE '%/index.ts'").select(index.alias("src"), F.col("id").alias("dst"), F.lit("static").alias("kind"))
     homes = owned.select(F.col("src").alias("path")).distinct().select(F.explode(F.array(F.lit("n1"), F.lit("n2"))).alias("chunk_id"), "path", F.lit(1).cast("long").alias("size"))
     whole = modules.union(owned.select("src").distinct()).distinct()

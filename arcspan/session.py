@@ -57,6 +57,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing will read again, and let go of shuffles that are done."""
+    import gc
+
+    for df in tables:
+        spark = df.sparkSession
+        paths = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
+        for entry in [x for x in _written if any(p.endswith(x[1].rstrip("/").rpartition("/")[2]) for p in paths)]:
+            _written.remove(entry)
+            _delete(*entry)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def forget() -> None:
     """Delete the tables of :func:`written`; results read from them must be done."""
