@@ -2,66 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_SHARED = "/tmp/checkpoints/arcspan"
+from ..session import dropped, written
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage and lets a costly stage be read several times; a lost
-    executor costs only the tasks that it ran. The table lives until the
-    Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that nothing will read again, and let go of shuffles that are done."""
-    import gc
-
-    for df in tables:
-        spark = df.sparkSession
-        paths = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
-        for entry in [x for x in _written if any(p.endswith(x[1].rstrip("/").rpartition("/")[2]) for p in paths)]:
-            _written.remove(entry)
-            _delete(*entry)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def forget() -> None:
-    """Delete the tables of :func:`written`; results read from them must be done."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; the folder's owner clears it
-            return
+__all__ = ["as_bytes", "by_batch", "dropped", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

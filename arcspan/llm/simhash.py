@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import as_bytes, by_batch, written
-from .components import components
 
 BYTES, SEED, SHINGLE = 8, 42, 3
 
