@@ -20,8 +20,8 @@ smallest first byte first, in which each suffix hands on the one before it.
 Then adjacent common prefixes of the window starts are computed: windows that
 share ``WIDTH`` bytes with a neighbour repeat.
 
-Texts are shuffled once to meet their runs, and again only where a block has
-found something or may. A hot mark is one row a map task before it is shuffled
+Texts are shuffled twice, to meet the runs that blocks ask for and to meet all
+that repeats. A hot mark is one row a map task before it is shuffled
 (a count and two extremes); joins with marks may split hot partitions. A block
 over ``BLOCK`` bytes of one mark is compared in passes over ranges of window
 hashes, so memory is bounded for any group.
@@ -39,14 +39,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, by_batch, dropped, written
 
-WIDTH, GRAM, LONGEST_RUN, CHUNK, BLOCK = 200, 16, 256, 1 << 22, 1 << 23
-FILL = 1 << 20  # bytes of small groups that share a sort
+WIDTH, GRAM, LONGEST_RUN, CHUNK, BLOCK = 200, 16, 256, 1 << 19, 1 << 22
+FILL = 1 << 19  # bytes of small groups that share a sort
+LENGTH_BITS = 10  # an interval is its start and, in the lowest bits, its length
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -240,28 +242,42 @@ def _runs(docs: DataFrame, kind: str, width: int) -> DataFrame:
     return by_batch(docs.select("k", "th", "t").where(F.octet_length("t") >= width), run, f"k {kind}, th long, m long, c long, a long, n int, twice boolean")
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's part of the values ends (a null has none), and the values."""
+    sizes = np.array(pc.fill_null(pc.list_value_length(column), 0))
+    return np.cumsum(sizes), column.flatten()
+
+
 def _contents(rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """The bytes of the runs that blocks need, from texts with their marks."""
+    """The bytes of the runs that blocks need, from texts with their runs; rows repeated in a batch once."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("row", "m", "a", "single", "bytes")}
-        for k, (raw, marks) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3).to_pylist())):
-            for x in marks or ():
-                if x["kind"]:
-                    for name, value in (("row", k), ("m", x["m"]), ("a", x["a"]), ("single", x["kind"] == 1), ("bytes", raw[x["a"] : x["a"] + x["n"] + width - 1])):
-                        out[name].append(value)
+        ends, values = _lists(batch.column(3))
+        marks, starts, sizes, single = (values.field(f).to_pylist() for f in ("m", "a", "n", "single"))
+        keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        seen, at = set(), 0
+        for k, (raw, end) in enumerate(zip(as_bytes(batch.column(2)), ends.tolist())):
+            if (keys[k], hashes[k]) not in seen:
+                seen.add((keys[k], hashes[k]))
+                out["row"] += [k] * (end - at)
+                out["m"] += marks[at:end]
+                out["a"] += starts[at:end]
+                out["single"] += single[at:end]
+                out["bytes"] += [raw[a : a + n + width - 1] for a, n in zip(starts[at:end], sizes[at:end])]
+            at = end
         which = pa.array(out.pop("row"), pa.int64())
         return out | {"k": batch.column(0).take(which), "th": batch.column(1).take(which)}
 
-    return by_batch(rows.select("k", "th", "t", "marks"), run, f"k {kind}, th long, m long, a long, single boolean, bytes binary")
+    return by_batch(rows.select("k", "th", "t", "runs"), run, f"k {kind}, th long, m long, a long, single boolean, bytes binary")
 
 
 def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
-    """Intervals ``(k, th, a, b)`` of repeated windows in runs of which there is one; ``contents`` grouped by mark."""
+    """Intervals ``(k, th, x)`` of repeated windows in runs of which there is one; ``contents`` grouped by mark."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = f"k {kind}, th long, a long, b long"
+    schema = f"k {kind}, th long, x long"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def found(rows: list[tuple]) -> Iterator[tuple]:
@@ -274,7 +290,7 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
             if single:
                 edge = np.diff(repeated[at : at + n], prepend=0, append=0)
                 for x, y in zip(np.nonzero(edge > 0)[0].tolist(), np.nonzero(edge < 0)[0].tolist()):
-                    yield k, th, a + x, a + y + width - 1
+                    yield k, th, (a + x) << LENGTH_BITS | y - x + width - 1
             at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +299,12 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            out = list(zip(*found(waiting))) or [[]] * 4
+            out = list(zip(*found(waiting))) or [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, group, size
+            group = list({r[:2] + r[3:4]: r for r in group}.values())  # rows that are repeated
             if len(group) > 1 and any(r[4] for r in group):  # a content alone can only repeat itself
                 more = sum(len(r[5]) for r in group)
                 if waiting and size + more > FILL:
@@ -312,33 +329,32 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
     return contents.mapInArrow(run, schema)
 
 
-def _kept(rows: DataFrame, kind: str, key: str, width: int) -> DataFrame:
+def _kept(rows: DataFrame, kind: str, key: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for raw, marks, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            gone = sorted([(x["a"], x["a"] + x["n"] + width - 1) for x in marks or () if x["full"]] + [(x["a"], x["b"]) for x in spans or ()])
-            merged: list[list[int]] = []
-            for a, b in gone:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            digest, at = hashlib.sha256(), 0
-            for a, b in merged:
-                digest.update(raw[at:a])
-                at = b
-            digest.update(raw[at:])
-            for name, value in (("n_bytes", len(raw)), ("n_removed", sum(b - a for a, b in merged)), ("n_spans", len(merged)), ("kept_sha256", digest.hexdigest())):
+        ends, values = _lists(batch.column(2))
+        packed, at = np.asarray(values), 0
+        for raw, end in zip(as_bytes(batch.column(1)), ends.tolist()):
+            gone = np.sort(packed[at:end])
+            at = end
+            if len(gone):
+                first, last = gone >> LENGTH_BITS, np.maximum.accumulate((gone >> LENGTH_BITS) + (gone & (1 << LENGTH_BITS) - 1))
+                apart = np.nonzero(first[1:] > last[:-1])[0]
+                a, b = first[np.append(0, apart + 1)], last[np.append(apart, len(last) - 1)]
+                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)]))
+            else:
+                a, kept = gone, raw
+            for name, value in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(a)), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
                 out[name].append(value)
         return out | {key: batch.column(0)}
 
-    return by_batch(rows.select("k", "t", "marks", "spans"), run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_batch(rows.select("k", "t", "spans"), run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: ``n_bytes, n_removed, n_spans, kept_sha256``."""
-    if width <= GRAM or width % 8:
-        raise ValueError(f"the width must be a multiple of 8 over {GRAM}")
+    if width <= GRAM or width % 8 or width + LONGEST_RUN >= 1 << LENGTH_BITS:
+        raise ValueError(f"the width must be a multiple of 8 over {GRAM}, and not too long")
     kind = docs.schema[key].dataType.simpleString()
     # a row is known by its key and a hash of its text: rows that agree in both have the same runs
     docs = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
@@ -346,22 +362,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key
     # a mark with one content everywhere, or with several
     marks = runs.groupBy("m").agg(F.count(F.lit(1)).alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("twice").alias("twice")).where("tot > 1 OR twice").select("m", F.expr("lo = hi AND tot > 1").alias("same"))
     marks = written(marks, "marks")
-    shared = written(runs.drop("twice").join(marks, "m"), "shared")
+    shared = written(runs.drop("twice").join(marks.hint("shuffle_hash"), "m"), "shared")
     dropped(runs, marks)
+    whole = F.shiftleft("a", LENGTH_BITS).bitwiseOR((F.col("n") + (width - 1)).cast("long")).alias("x")
     mixed = shared.where("NOT same")
-    counts = written(mixed.groupBy("m", "c").agg(F.count(F.lit(1)).alias("tot"), F.min(F.struct("k", "th", "a")).alias("rep")), "counts")
+    counts = written(mixed.groupBy("m", "c").agg(F.count(F.lit(1)).alias("tot"), F.min(F.struct("k", "th", "a", "n")).alias("rep")), "counts")
+    again = mixed.join(counts.where("tot > 1").select("m", "c"), ["m", "c"])
     open_ = counts.groupBy("m").agg(F.min("tot").alias("least")).where("least = 1").select("m")  # some content is there once
-    reps = counts.join(open_, "m").select("m", "c", F.when(F.col("tot") == 1, 1).otherwise(2).alias("kind"), "rep.k", "rep.th", "rep.a")
-    row = lambda full, what: F.struct("a", "n", F.lit(full).alias("full"), F.col("m") if what else F.lit(None).cast("long").alias("m"), (what if what is not None else F.lit(0)).cast("int").alias("kind"))
-    whole = shared.where("same").select("k", "th", row(True, None).alias("x"))
-    again = mixed.join(counts.where("tot > 1").select("m", "c"), ["m", "c"]).select("k", "th", row(True, None).alias("x"))
-    asked = mixed.alias("r").join(reps.alias("p"), [F.col(f"r.{x}").eqNullSafe(F.col(f"p.{x}")) for x in ("m", "c", "k", "th", "a")]).select("r.k", "r.th", F.struct(F.col("r.a").alias("a"), F.col("r.n").alias("n"), F.lit(False).alias("full"), F.col("r.m").alias("m"), F.col("p.kind").cast("int").alias("kind")).alias("x"))
-    found = whole.unionByName(again).unionByName(asked).groupBy("k", "th").agg(F.collect_set("x").alias("marks")).withColumnsRenamed({"k": "k2", "th": "th2"})
-    at = [F.col("k").eqNullSafe(F.col("k2")), F.col("th") == F.col("th2")]
-    rows = written(docs.join(found, at, "left").select("k", "th", "t", "marks", F.coalesce(F.exists("marks", lambda x: x["kind"] == 1), F.lit(False)).alias("open")), "rows")
-    dropped(shared, counts)
-    blocks = _contents(rows.where(F.exists("marks", lambda x: x["kind"] > 0)), kind, width).dropDuplicates(["m", "k", "th", "a"]).repartition("m").sortWithinPartitions("m")
-    spans = _sorted_blocks(blocks, kind, width).groupBy("k", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"k": "k2", "th": "th2"})
-    none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans")
-    closed = rows.where("NOT open").select("k", "t", "marks", none)
-    return _kept(closed.unionByName(rows.where("open").join(spans, at, "left").select("k", "t", "marks", "spans")), kind, key, width)
+    asked = counts.join(open_, "m").select("rep.k", "rep.th", F.struct("m", "rep.a", "rep.n", (F.col("tot") == 1).alias("single")).alias("r")).groupBy("k", "th").agg(F.collect_list("r").alias("runs"))
+    blocks = _contents(_with(docs, asked, "inner"), kind, width).repartition("m").sortWithinPartitions("m")
+    found = written(_sorted_blocks(blocks, kind, width), "found")
+    spans = shared.where("same").select("k", "th", whole).union(again.select("k", "th", whole)).union(found).groupBy("k", "th").agg(F.collect_set("x").alias("spans"))
+    return _kept(_with(docs, spans, "left"), kind, key)
+
+
+def _with(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """Joined by key (a null is one) and text hash."""
+    more = more.withColumnsRenamed({"k": "k2", "th": "th2"})
+    return docs.join(more, [F.col("k").eqNullSafe(F.col("k2")), F.col("th") == F.col("th2")], how).drop("k2", "th2")
