@@ -44,12 +44,12 @@ def edge_recall(own: DataFrame, other: DataFrame) -> DataFrame:
     return n(b, "n_other").crossJoin(n(b.join(a, ["src", "dst"], "left_anti"), "n_missed")).crossJoin(n(a.join(b, ["src", "dst"], "left_anti"), "n_extra"))
 
 
-def trend(summary_row: DataFrame) -> DataFrame:
-    """Direction from weighted regressions and improvements; within five points either way it is steady.
+def trend(row: DataFrame) -> DataFrame:
+    """Direction from weighted regressions and improvements, with a dead band of five.
 
-    Takes one row: ``new_cycles, resolved_cycles, new_violations, resolved_violations, score_before, score_after``.
+    Takes one row: ``score_delta, new_cycles, resolved_cycles, new_signals, regressed_signals, resolved_signals``.
     """
-    worse = F.col("new_cycles") * 8 + F.col("new_violations") * 3 + F.greatest(F.lit(0), F.col("score_after") - F.col("score_before"))
-    better = F.col("resolved_cycles") * 8 + F.col("resolved_violations") * 3 + F.greatest(F.lit(0), F.col("score_before") - F.col("score_after"))
-    delta = better - worse
-    return summary_row.select(worse.cast("long").alias("worse"), better.cast("long").alias("better"), F.when(delta > 5, "improving").when(delta < -5, "regressing").otherwise("steady").alias("direction"))
+    worse = F.greatest(F.lit(0), "score_delta") + F.col("new_cycles") * 12 + F.col("regressed_signals") * 10 + F.col("new_signals") * 4
+    better = F.greatest(F.lit(0), -F.col("score_delta")) + F.col("resolved_cycles") * 8 + F.col("resolved_signals") * 3
+    direction = F.when(worse > better + 5, "regressed").when(better > worse + 5, "improved").otherwise("stable")
+    return row.select(worse.cast("long").alias("worse"), better.cast("long").alias("better"), direction.alias("direction"))

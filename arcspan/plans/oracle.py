@@ -43,7 +43,7 @@ for _src, _to in (("layered", "violation"), ("overridden", "violation_over")):
     _part(_to, f"SELECT e.*, a.layer AS src_layer, b.layer AS dst_layer, CASE WHEN {_RANK.format('b.layer')} <= 1 AND {_RANK.format('a.layer')} >= 4 THEN 'error' ELSE 'warning' END AS severity FROM e JOIN {_src} a ON a.id = e.src JOIN {_src} b ON b.id = e.dst WHERE e.resolved AND a.layer <> 'unknown' AND b.layer <> 'unknown' AND {_RANK.format('a.layer')} > {_RANK.format('b.layer')}", "e", _src)
 _part(
     "boundary",
-    """SELECT 'boundary:' || rule || ':' || (row_number() OVER (PARTITION BY rule ORDER BY ord) - 1) AS id, rule, severity, src, dst, specifier FROM (
+    """SELECT 'boundary:' || rule || ':' || (row_number() OVER (PARTITION BY rule ORDER BY ord) - 1) AS id, rule, severity, src, dst, specifier, ord FROM (
   SELECT 'core-alone' AS rule, 'error' AS severity, * EXCLUDE (kind, resolved) FROM e WHERE resolved AND src <> dst AND src LIKE 'src/core/%' AND dst LIKE 'src/app/%'
   UNION ALL SELECT 'features-apart', 'warning', * EXCLUDE (kind, resolved) FROM e WHERE resolved AND src <> dst AND src LIKE 'src/features/%/%' AND dst LIKE 'src/features/%/%' AND split_part(src, '/', 3) <> split_part(dst, '/', 3)
   UNION ALL SELECT 'shared-only', 'error', * EXCLUDE (kind, resolved) FROM e WHERE resolved AND src <> dst AND src LIKE 'src/shared/%' AND dst NOT LIKE 'src/core/%' AND dst NOT LIKE 'src/shared/%' AND dst NOT LIKE 'src/entities/small/%')""",
@@ -111,7 +111,7 @@ ORACLE = {
     "layers_overridden": _with("SELECT id, layer FROM overridden", "overridden"),
     "layer_violations": _with("SELECT src, dst, src_layer, dst_layer, severity FROM violation", "violation"),
     "layer_violations_overridden": _with("SELECT src_layer, dst_layer, severity, count(*) AS n FROM violation_over GROUP BY ALL", "violation_over"),
-    "boundary_violations": _with("SELECT * FROM boundary", "boundary"),
+    "boundary_violations": _with("SELECT * EXCLUDE (ord) FROM boundary", "boundary"),
     "budget_violations": _with(_BUDGET_SQL, "fan", "member"),
     "contract_suggestions": _with(
         f"""SELECT 'boundary' AS kind, 'features-isolation' AS name, count(DISTINCT split_part(id, '/', 3)) AS n FROM module WHERE id LIKE 'src/features/%/%' HAVING count(DISTINCT split_part(id, '/', 3)) >= 2
