@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_batch, written
 
 CAPACITY, END, SALTS = 4096, 1, 64
+SLICE = 1 << 23
 PLANNED = 4_000_000  # runs; their number depends on the lengths there are, not on the rows
 
 
@@ -41,49 +42,107 @@ class Words(dict):
 
     The tokenizer drops white space before it looks for tokens, so a text's
     ids are those of its chunks one after another. It lower-cases all but its
-    special tokens; lower-casing ASCII before makes fewer chunks.
+    special tokens; lower-casing ASCII before makes fewer chunks. The chunks
+    of many texts are told apart by their bytes as numbers, so that each
+    different one is looked up once.
     """
 
-    KEPT = 400_000  # twice as many with those that were used before these
+    KEPT = 60_000  # twice as many with those that were used before these
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    @staticmethod
-    def split(raw: bytes) -> list[str]:
-        return (raw if b"<|" in raw else raw.lower()).translate(_BLANKS).decode().split(" ")
-
-    def learn(self, chunks: set[str]) -> None:
-        new = {c for c in chunks if c not in self}
-        if len(self) + len(new) > self.KEPT:
-            self.old = dict(self)
-            self.clear()
-            new = chunks
-        old = self.old
-        self.update((c, old[c]) for c in new if c in old)
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if b"<|" in t or b"\0" in t:  # special tokens keep their case; zeros would pass for a chunk's end
+                chunks = (t if b"<|" in t else t.lower()).translate(_BLANKS).split(b" ")
+                known = self.known(list(dict.fromkeys(chunks)))
+                out[k] = b"".join(map(known.__getitem__, chunks))
+            else:
+                plain.append(k)
+        if plain:
+            for k, found in zip(plain, self._many([texts[k] for k in plain])):
+                out[k] = found
+        return out
+
+    def _many(self, texts: list[bytes]) -> list[bytes]:
+        joined = b" ".join(texts).lower().translate(_BLANKS)
+        data = np.frombuffer(b" " + joined + b" " * 17, dtype=np.uint8)
+        edge = np.diff((data != 32).view(np.int8))
+        start, end = np.nonzero(edge == 1)[0] + 1, np.nonzero(edge == -1)[0] + 1
+        if not len(start):
+            return [b""] * len(texts)
+        n = end - start
+        words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+        low = words[start] & mask[np.minimum(n, 8)]
+        high = words[np.minimum(start + 8, len(words) - 1)] & mask[np.clip(n - 8, 0, 8)]
+        raw = data.tobytes()
+        seen: dict[bytes, int] = {}
+        for k in np.nonzero(n > 16)[0].tolist():  # a number for each long chunk
+            low[k], high[k] = seen.setdefault(raw[start[k] : end[k]], len(seen)), 0
+        key = np.where(n <= 8, low, (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7)) ^ n.astype(np.uint64) << np.uint64(57))
+        order = np.argsort(key)
+        new = np.append(True, np.diff(key[order]) != 0)
+        group = np.empty(len(key), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = order[new]
+        at = first[group]
+        differ = np.nonzero((low != low[at]) | (high != high[at]) | (n != n[at]))[0]
+        if len(differ):  # chunks whose keys are equal by chance have groups of their own
+            group[differ] = len(first) + np.arange(len(differ))
+            first = np.append(first, differ)
+        chunks = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        known = list(map(self.known(chunks).__getitem__, chunks))
+        flat, sizes = np.frombuffer(b"".join(known), dtype="<u4"), np.array(list(map(len, known))) // 4
+        each = sizes[group]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[group] - (upto - each), each) + np.arange(upto[-1])].tobytes()
+        begin = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = np.append(0, upto)[np.searchsorted(start, begin)].tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]
+
+    def known(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different chunks; they are remembered from now on, and the oldest half may be forgotten."""
+        out, old, new = {}, self.old, []
+        for c, i in zip(chunks, map(self.get, chunks)):
+            if i is None and (i := old.get(c)) is None:
+                new.append(c)
+            else:
+                out[c] = i
         # a word and the punctuation after it are tokens of their own: many chunks share a word
-        parts = {c: self._parts(c) for c in new if c not in self}
-        unknown = {x for pair in parts.values() for x in pair if x not in self}
-        found = {x: old[x] for x in unknown if x in old}
-        unknown = [x for x in unknown if x not in found]
-        words = [x for x in unknown if x.isalpha()]
+        parts = [self._parts(c) for c in new]
+        given = {x: i for x in {x for pair in parts for x in pair} if (i := out.get(x) or self.get(x) or old.get(x))}
+        texts = {x.decode(): x for x in {x for pair in parts for x in pair} if x not in given}
+        words = [t for t in texts if t.isalpha()]
         for k in range(0, len(words), 1000):
-            found.update(self._words(words[k : k + 1000]))
-        found.update(self._each([x for x in unknown if not x.isalpha()]))
-        self.update(found)
-        self.update((c, b"".join(map(self.__getitem__, pair))) for c, pair in parts.items())
+            given.update((texts[t], i) for t, i in self._words(words[k : k + 1000]))
+        given.update((texts[t], i) for t, i in self._each([t for t in texts if not t.isalpha()]))
+        out.update((c, b"".join(map(given.__getitem__, pair))) for c, pair in zip(new, parts))
+        if len(self) + len(given) + len(new) > self.KEPT:
+            self.old = dict(self)
+            self.clear()
+        self.update(given)
+        self.update(out if len(out) < self.KEPT else ())
+        return out
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, ...]:
+    def _parts(chunk: bytes) -> tuple[bytes, ...]:
         word = chunk.rstrip(_PUNCTUATION)
-        return (word, chunk[len(word) :]) if word and word != chunk and word[-1].isalnum() and "<|" not in chunk else (chunk,)
+        if not word or word == chunk or b"<|" in chunk:
+            return (chunk,)
+        last = word[-1:]
+        return (word, chunk[len(word) :]) if (last.isalnum() if last < b"\x80" else word.decode()[-1].isalnum()) else (chunk,)
 
     def _each(self, chunks: list[str]) -> list[tuple[str, bytes]]:
         return [(c, array("I", e.ids).tobytes()) for k in range(0, len(chunks), 20_000) for c, e in zip(chunks[k : k + 20_000], self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False))]
@@ -97,11 +156,8 @@ class Words(dict):
         raw, ends = ids.tobytes(), ends.tolist()
         return [(w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends)]
 
-    def ids(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
-
 
-_PUNCTUATION = ".,;:!?*#%&$|()[]{}<>/\\\"+=~^@_-"
+_PUNCTUATION = b".,;:!?*#%&$|()[]{}<>/\\\"+=~^@_-"
 _BLANKS = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 _loaded: dict[str, Words] = {}
 
@@ -131,16 +187,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
         texts = as_bytes(batch.column(1))
         row, piece, start, length, crc = [], [], [], [], []
         at = 0
-        while at < len(texts):  # so many texts at a time that their chunks can be remembered
-            chunks: set[str] = set()
-            lists: list[list[str]] = []
-            while at < len(texts) and (not lists or len(chunks) < words.KEPT // 2):
-                lists.append(words.split(texts[at]))
-                chunks.update(lists[-1])
-                at += 1
-            words.learn(chunks)
-            for k, chunk in enumerate(lists, at - len(lists)):
-                ids = words.ids(chunk) + end
+        while at < len(texts):  # a few megabytes at a time
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SLICE):
+                size += len(texts[upto])
+                upto += 1
+            for k, ids in enumerate(words.ids(texts[at:upto]), at):
+                ids += end
                 for n, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     row.append(k)
@@ -148,6 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                     start.append(a // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            at = upto
         return {key: batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
     return by_batch(docs.select(key, text), run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
