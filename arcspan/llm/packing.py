@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_batch, written
 
 CAPACITY, END, SALTS = 4096, 1, 64
-SLICE = 1 << 23
+SLICE = 1 << 22
 PLANNED = 4_000_000  # runs; their number depends on the lengths there are, not on the rows
 
 
@@ -42,12 +42,14 @@ class Words(dict):
 
     The tokenizer drops white space before it looks for tokens, so a text's
     ids are those of its chunks one after another. It lower-cases all but its
-    special tokens; lower-casing ASCII before makes fewer chunks. The chunks
-    of many texts are told apart by their bytes as numbers, so that each
-    different one is looked up once.
+    special tokens; lower-casing ASCII before makes fewer chunks. A token ends
+    where an ASCII letter or digit and ASCII punctuation meet (the apostrophe
+    of a contraction aside), so chunks are split there too. The pieces of many
+    texts are told apart by their bytes as numbers, so that each different one
+    is looked up once.
     """
 
-    KEPT = 60_000  # twice as many with those that were used before these
+    KEPT = 300_000  # twice as many with those that were used before these
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,8 +80,9 @@ class Words(dict):
     def _many(self, texts: list[bytes]) -> list[bytes]:
         joined = b" ".join(texts).lower().translate(_BLANKS)
         data = np.frombuffer(b" " + joined + b" " * 17, dtype=np.uint8)
-        edge = np.diff((data != 32).view(np.int8))
-        start, end = np.nonzero(edge == 1)[0] + 1, np.nonzero(edge == -1)[0] + 1
+        kinds = _KIND[data]
+        meet = kinds[:-1] << 2 | kinds[1:]
+        start, end = np.nonzero(_BEGINS[meet])[0] + 1, np.nonzero(_ENDS[meet])[0] + 1
         if not len(start):
             return [b""] * len(texts)
         n = end - start
@@ -120,30 +123,19 @@ class Words(dict):
                 new.append(c)
             else:
                 out[c] = i
-        # a word and the punctuation after it are tokens of their own: many chunks share a word
-        parts = [self._parts(c) for c in new]
-        given = {x: i for x in {x for pair in parts for x in pair} if (i := out.get(x) or self.get(x) or old.get(x))}
-        texts = {x.decode(): x for x in {x for pair in parts for x in pair} if x not in given}
+        texts = {c.decode(): c for c in new}
         words = [t for t in texts if t.isalpha()]
+        found: dict[bytes, bytes] = {}
         for k in range(0, len(words), 1000):
-            given.update((texts[t], i) for t, i in self._words(words[k : k + 1000]))
-        given.update((texts[t], i) for t, i in self._each([t for t in texts if not t.isalpha()]))
-        out.update((c, b"".join(map(given.__getitem__, pair))) for c, pair in zip(new, parts))
-        if len(self) + len(given) + len(new) > self.KEPT:
+            found.update((texts[t], i) for t, i in self._words(words[k : k + 1000]))
+        found.update((texts[t], i) for t, i in self._each([t for t in texts if not t.isalpha()]))
+        out.update(found)
+        if len(self) + len(out) > self.KEPT:
             self.old = dict(self)
             self.clear()
-        self.update(given)
-        self.update(out if len(out) < self.KEPT else ())
+        self.update(out if len(out) < self.KEPT else found)
         return out
 
-    @staticmethod
-    def _parts(chunk: bytes) -> tuple[bytes, ...]:
-        word = chunk.rstrip(_PUNCTUATION)
-        if not word or word == chunk or b"<|" in chunk:
-            return (chunk,)
-        last = word[-1:]
-        return (word, chunk[len(word) :]) if (last.isalnum() if last < b"\x80" else word.decode()[-1].isalnum()) else (chunk,)
-
     def _each(self, chunks: list[str]) -> list[tuple[str, bytes]]:
         return [(c, array("I", e.ids).tobytes()) for k in range(0, len(chunks), 20_000) for c, e in zip(chunks[k : k + 20_000], self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False))]
 
@@ -157,7 +149,11 @@ class Words(dict):
         return [(w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends)]
 
 
-_PUNCTUATION = b".,;:!?*#%&$|()[]{}<>/\\\"+=~^@_-"
+# 0 blank, 1 ASCII letters and digits, 2 ASCII punctuation, 3 all else (the apostrophe, other characters' bytes)
+_KIND = np.array([0 if c == 32 else 1 if chr(c).isalnum() and c < 128 else 2 if 33 <= c < 127 and c != 39 else 3 for c in range(256)], dtype=np.uint8)
+_MEET = [(a, b) for a in range(4) for b in range(4)]
+_BEGINS = np.array([b > 0 and (a == 0 or {a, b} == {1, 2}) for a, b in _MEET])
+_ENDS = np.array([a > 0 and (b == 0 or {a, b} == {1, 2}) for a, b in _MEET])
 _BLANKS = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 _loaded: dict[str, Words] = {}
 
