@@ -50,6 +50,8 @@ GIVEN = {
 
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9_%+\-À-ÖØ-öø-ÿ])[A-Za-z0-9_%+\-À-ÖØ-öø-ÿ]+(?:\.[A-Za-z0-9_%+\-À-ÖØ-öø-ÿ]+){0,7}@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
+    # what follows a telling name; the value alone is the entity
+    ("credential", r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{6,})"),
     ("awskey", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("secret", r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -176,12 +178,22 @@ def replacement(kind: str, found: str, key: bytes = KEY, attempt: int = 0) -> st
     if kind in ("card", "ssn", "phone", "iban"):
         symbols = iter(new)
         return "".join(next(symbols) if c.isalnum() or c == "+" else c for c in found)
-    return _cased(found, new)
+    return new.upper() if kind == "secret" and found.upper() == found else _cased(found, new)
+
+
+_SECRET, _AWS = (re.compile(p) for p in (r"[0-9a-f]{12,}|[0-9A-F]{12,}", r"(?:AKIA|ASIA)[A-Z0-9]{16}"))
 
 
 def entities(text: str) -> list[tuple[str, int, int]]:
     """``(type, start, end)`` of all mentions, from left to right and without overlap."""
-    return [(m.lastgroup if m.lastgroup != "gap" else "card", m.start(), m.end()) for m in _FIND.finditer(text)] if _HINT.search(text) else []
+    out = []
+    for m in _FIND.finditer(text) if _HINT.search(text) else ():
+        kind, (start, end) = m.lastgroup, m.span()
+        if kind == "credential":  # a key that would be found by itself is the same entity here
+            start, end = m.span("value")
+            kind = "secret" if _SECRET.fullmatch(m["value"]) else "awskey" if _AWS.fullmatch(m["value"]) else kind
+        out.append((kind, start, end))
+    return out
 
 
 def rewrite(text: str, key: bytes = KEY, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
