@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-SMALL = 200_000
+SMALL, WALKS = 200_000, 50_000_000
 
 
 def live(edges: DataFrame) -> DataFrame:
@@ -223,7 +223,8 @@ def reach(links: DataFrame, sources: DataFrame, depth: int | None = None, throug
     a step, each a join of the frontier with the links.
     """
     rows = few(links.select("src", "dst").distinct(), SMALL)
-    names = few(sources.select("id").distinct(), 1000) if rows is not None else None
+    # as many sources as keep the walks to some tens of millions of steps at worst
+    names = few(sources.select("id").distinct(), max(1000, WALKS // max(1, len(rows)))) if rows is not None else None
     kind = links.schema["src"].dataType.simpleString()
     if names is not None:
         out = defaultdict(list)
