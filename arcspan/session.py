@@ -34,8 +34,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder all executors share: ``spark.checkpoint.dir``; on one machine only, it may be unset."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_SHARED
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
