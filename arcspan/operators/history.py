@@ -46,7 +46,8 @@ def temporal_coupling(modules: DataFrame, edges: DataFrame, changes: DataFrame,
     """
     named = F.array_distinct(F.array_compact(F.array("path", "renamed_from"))) if "renamed_from" in changes.columns else F.array("path")
     rows = changes.select("sha", F.explode(named).alias("id")).join(modules.select("id").distinct(), "id", "left_semi").distinct()
-    sets = rows.groupBy("sha").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") <= fan_out_cap)
+    small = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= fan_out_cap).select("sha")  # before sets are built
+    sets = rows.join(small, "sha").groupBy("sha").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     alone = sets.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     after = lambda ids: F.flatten(F.transform(ids, lambda a, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = sets.select(F.explode(after(F.col("ids"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= min_co)

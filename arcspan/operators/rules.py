@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import ignored
 from ..functions.values import SEPARATOR
+from ..session import written
 from .graph import live
 
 # The layers from top to bottom.
@@ -69,10 +70,19 @@ class Budget:
     severity: str = "error"
 
 
-def _numbered(rows: DataFrame, kind: str, by: list) -> DataFrame:
-    """Adds ``id``: kind, rule and a running number in the order of the input."""
-    n = F.row_number().over(Window.partitionBy("rule").orderBy(*by)) - 1
-    return rows.withColumn("id", F.concat(F.lit(f"{kind}:"), "rule", F.lit(":"), n.cast("string")))
+def _numbered(rows: DataFrame, kind: str, by: list[str]) -> DataFrame:
+    """Adds ``id``: kind, rule and a running number of the rule's rows in the order of ``by``.
+
+    A rule may have most of the rows, so none is numbered by one task: rows
+    are dealt out by ranges of rule and order, numbered within each range, and
+    the counts of the ranges before are added.
+    """
+    dealt = rows.repartitionByRange("rule", *by).sortWithinPartitions("rule", *by).withColumn("at", F.monotonically_increasing_id())
+    fixed = written(dealt, "numbered").withColumn("range", F.shiftright("at", 33))
+    before = Window.partitionBy("rule").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = fixed.groupBy("rule", "range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    number = F.col("at") - F.col("first") + F.col("before")
+    return fixed.join(ranges, ["rule", "range"]).withColumn("id", F.concat(F.lit(f"{kind}:"), "rule", F.lit(":"), number.cast("string"))).drop("at", "range", "first", "before")
 
 
 def boundary_violations(edges: DataFrame, rules: list[Boundary]) -> DataFrame:
@@ -106,7 +116,9 @@ def budget_violations(metrics: DataFrame, members: DataFrame, rules: list[Budget
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p.select(*cols))
-    return _numbered(rows.select(*cols), "budget", [F.col("ord").cast("long").asc_nulls_last(), "k"]).drop("ord", "k")
+    # numbers as text sort like numbers when they are filled up; a cycle limit comes last
+    rows = rows.select(*cols).withColumn("ord", F.coalesce(F.lpad("ord", 20, "0"), F.lit("~")))
+    return _numbered(rows, "budget", ["ord", "k"]).drop("ord", "k")
 
 
 def suggestions(modules: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
