@@ -22,9 +22,10 @@ share ``WIDTH`` bytes with a neighbour repeat.
 
 Texts are shuffled twice, to meet the runs that blocks ask for and to meet all
 that repeats. A hot mark is one row a map task before it is shuffled
-(a count and two extremes); joins with marks may split hot partitions. A block
-over ``BLOCK`` bytes of one mark is compared in passes over ranges of window
-hashes, so memory is bounded for any group.
+(a count and two extremes); joins with marks may split hot partitions. A mark
+with over ``HOT`` contents (a phrase that stands in a large part of all texts,
+each time between other words) has no block: the windows of its contents are
+counted by their own 128-bit hashes, pre-aggregated, so no task holds them.
 
 Defined cases: null and empty texts have no bytes, texts under ``WIDTH`` bytes
 lose none; repeated rows count as places of their own, so each loses all its
@@ -47,6 +48,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_batch, dropped, written
 
 WIDTH, GRAM, LONGEST_RUN, CHUNK, BLOCK = 200, 16, 256, 1 << 19, 1 << 22
+HOT = 1 << 14  # contents of a mark that are sorted together at most
 FILL = 1 << 19  # bytes of small groups that share a sort
 LENGTH_BITS = 10  # an interval is its start and, in the lowest bits, its length
 
@@ -329,6 +331,26 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
     return contents.mapInArrow(run, schema)
 
 
+def _counted_windows(contents: DataFrame, kind: str, width: int) -> DataFrame:
+    """The same for marks that are too frequent to sort: every window is counted by its hash."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("row", "h", "g", "x", "single")}
+        h = xxhash.xxh3_128_intdigest
+        for k, (a, single, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+            for i in range(len(content) - width + 1):
+                d = h(content[i : i + width])
+                for name, value in (("row", k), ("h", (d >> 64) - (1 << 63)), ("g", (d & (1 << 64) - 1) - (1 << 63)), ("x", (a + i) << LENGTH_BITS | width), ("single", single)):
+                    out[name].append(value)
+        which = pa.array(out.pop("row"), pa.int64())
+        return out | {"k": batch.column(0).take(which), "th": batch.column(1).take(which)}
+
+    # a content that stands in several places is one here, as in blocks
+    windows = by_batch(contents.dropDuplicates(["m", "k", "th", "a"]), run, f"k {kind}, th long, h long, g long, x long, single boolean")
+    again = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
+    return windows.where("single").join(again, ["h", "g"]).select("k", "th", "x")
+
+
 def _kept(rows: DataFrame, kind: str, key: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -368,10 +390,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key
     mixed = shared.where("NOT same")
     counts = written(mixed.groupBy("m", "c").agg(F.count(F.lit(1)).alias("tot"), F.min(F.struct("k", "th", "a", "n")).alias("rep")), "counts")
     again = mixed.join(counts.where("tot > 1").select("m", "c"), ["m", "c"])
-    open_ = counts.groupBy("m").agg(F.min("tot").alias("least")).where("least = 1").select("m")  # some content is there once
-    asked = counts.join(open_, "m").select("rep.k", "rep.th", F.struct("m", "rep.a", "rep.n", (F.col("tot") == 1).alias("single")).alias("r")).groupBy("k", "th").agg(F.collect_list("r").alias("runs"))
-    blocks = _contents(_with(docs, asked, "inner"), kind, width).repartition("m").sortWithinPartitions("m")
-    found = written(_sorted_blocks(blocks, kind, width), "found")
+    # marks of which some content is there once
+    open_ = counts.groupBy("m").agg(F.min("tot").alias("least"), F.count(F.lit(1)).alias("contents")).where("least = 1").select("m", (F.col("contents") > HOT).alias("hot"))
+    asked = written(counts.join(open_, "m").select("rep.k", "rep.th", "hot", F.struct("m", "rep.a", "rep.n", (F.col("tot") == 1).alias("single")).alias("r")), "asked")
+    runs_of = lambda hot: _contents(_with(docs, asked.where(F.col("hot") == hot).groupBy("k", "th").agg(F.collect_list("r").alias("runs")), "inner"), kind, width)
+    found = written(_sorted_blocks(runs_of(False).repartition("m").sortWithinPartitions("m"), kind, width), "found")
+    if asked.where("hot").limit(1).count():
+        found = found.union(written(_counted_windows(runs_of(True), kind, width), "found"))
     spans = shared.where("same").select("k", "th", whole).union(again.select("k", "th", whole)).union(found).groupBy("k", "th").agg(F.collect_set("x").alias("spans"))
     return _kept(_with(docs, spans, "left"), kind, key)
 

@@ -69,10 +69,10 @@ def test_both_ways_to_compare_a_group():
     assert (suffixes.repeated_windows(data) == suffixes.repeated_by_hash(data)).all()
 
 
-@pytest.mark.parametrize("block", [None, 3000])
-def test_against_brute_force(spark, monkeypatch, block):
-    if block:  # groups over the bound take the other way
-        monkeypatch.setattr(suffixes, "BLOCK", block)
+@pytest.mark.parametrize("bound", [None, "BLOCK", "HOT"])
+def test_against_brute_force(spark, monkeypatch, bound):
+    if bound:  # groups over a bound take another way
+        monkeypatch.setattr(suffixes, bound, {"BLOCK": 3000, "HOT": 2}[bound])
     rows = [(k if k % 37 else None, t) for k, t in enumerate(texts())]
     got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert Counter(map(tuple, got)) == Counter((k, *b) for (k, _), b in zip(rows, brute([(t or "").encode() for _, t in rows])))
