@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import dropped, written
 
-__all__ = ["as_bytes", "by_batch", "dropped", "table", "written"]
+__all__ = ["as_bytes", "by_batch", "dropped", "table", "trimmed", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def trimmed() -> None:
+    """Give freed memory back: idle Python workers stay and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,5 +42,7 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list] | pa.R
         for batch in batches:
             out = f(batch)
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+            del out, batch
+            trimmed()
 
     return df.mapInArrow(run, schema)
