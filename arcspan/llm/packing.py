@@ -49,7 +49,7 @@ class Words(dict):
     is looked up once.
     """
 
-    KEPT = 200_000  # twice as many with those that were used before these
+    KEPT = 120_000  # twice as many with those that were used before these
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
