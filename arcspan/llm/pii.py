@@ -13,10 +13,12 @@ decides the list its given name comes from.
 
 Given names are drawn from short lists, so there the surname alone carries the
 difference. The collision check looks at all of it: distinct entities of the
-corpus are grouped by surrogate, and those that share one (a name list's fault,
-a changed pattern's) are given another attempt until none do. The table of
-such exceptions is empty for all shapes but the smallest; it is checked
-against ``EXCEPTIONS`` before it is broadcast.
+corpus are grouped by surrogate, and those that share one are given another
+attempt until none do. From the first further attempt on the surname's
+permutation depends on the given name too, and from attempt ``LONGER`` on the
+surname grows by a letter an attempt, so there is room for any number of
+people. The exceptions are a table that is joined to the texts that mention
+them; it has no limit.
 
 Defined cases: a null text stays null and holds no entity, an empty one stays
 empty; texts of any length are rewritten whole; repeated rows give repeated
@@ -33,10 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, written
 
-EXCEPTIONS = 100_000
-ATTEMPTS = 8
+LONGER = 4
 KEY = b"arcspan surrogate key"  # a deployment passes its own secret
 
 # Titles, and given names by gender and script.
@@ -113,6 +114,8 @@ def canonical(kind: str, found: str) -> str:
         return re.sub(r"[^\d+]", "", found)
     if kind == "iban":
         return found.replace(" ", "")
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in found.split("."))
     if kind == "name":
         return " ".join(found.split()[1:])
     return found.lower() if kind in ("email", "secret") else found
@@ -131,13 +134,16 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str
         value, at = int.from_bytes(bytes(map(int, entity.split("."))), "big"), 0
         public = lambda v: 1 <= v >> 24 <= 223
         nibbles = f"{value:08x}"
-        while at == 0 or (public(value) and not public(int(nibbles, 16))):
+        while at == 0 or public(value) != public(int(nibbles, 16)):
             nibbles, at = _permuted(key, f"ip|{attempt}", nibbles, [_HEX] * 8), at + 1
         return ".".join(map(str, bytes.fromhex(nibbles)))
     if kind == "name":
         *given, last = entity.split()
-        shape = [_ALPHABET.get(c, c) for c in last.lower()]
-        return " ".join([*given, _permuted(key, f"name|{len(last)}|{attempt}", last.lower(), shape)])
+        more = _CYRILLIC if last[-1].lower() in _CYRILLIC else _LOWER
+        longer = max(0, attempt - LONGER + 1)
+        shape = [*(_ALPHABET.get(c, c) for c in last.lower()), *[more] * longer]
+        tweak = f"name|{len(last)}|{attempt}" + (f"|{' '.join(given)}" if attempt else "")
+        return " ".join([*given, _permuted(key, tweak, last.lower() + more[0] * longer, shape)])
     fixed = 0
     if kind == "phone" and entity.startswith("+"):
         fixed = len(entity) - 10 if len(entity) > 11 else 2  # the country's code stays
@@ -174,7 +180,8 @@ def replacement(kind: str, found: str, key: bytes = KEY, attempt: int = 0) -> st
         *given, last = entity.split()
         names = GIVEN[gender, script]
         first = [names[int.from_bytes(hmac.digest(key, f"given|{gender}|{entity}|{attempt}".encode(), hashlib.sha256)[:8], "big") % len(names)] for _ in given]
-        return " ".join([title, *first, _cased(last, new.split()[-1])])
+        surname = new.split()[-1]
+        return " ".join([title, *first, _cased(last, surname[: len(last)]) + surname[len(last) :]])
     if kind in ("card", "ssn", "phone", "iban"):
         symbols = iter(new)
         return "".join(next(symbols) if c.isalnum() or c == "+" else c for c in found)
@@ -230,14 +237,14 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     return by_batch(docs.select(text), run, "kind string, entity string, found string")
 
 
-def collisions(found: DataFrame, key: bytes = KEY, limit: int = EXCEPTIONS) -> dict[tuple[str, str], int]:
-    """Entities that need another attempt, so that distinct ones have distinct surrogates.
+def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """``(kind, entity, attempt)`` of entities that need another attempt, so that distinct ones have distinct surrogates.
 
     Works on the distinct entities of the corpus. The first of those that
     share a surrogate (by text) keeps it. An attempt's results are compared
-    with all surrogates, so they can't run into ones given before.
+    with all surrogates, so they can't run into ones given before. Only names
+    can share one, and their room grows with the attempts, so the rounds end.
     """
-    from .common import written
 
     def surrogates(batch: pa.RecordBatch) -> dict:
         kinds, names, texts = (batch.column(k).to_pylist() for k in range(3))
@@ -247,32 +254,49 @@ def collisions(found: DataFrame, key: bytes = KEY, limit: int = EXCEPTIONS) -> d
     schema = "kind string, entity string, found string, attempt int, sur string"
     distinct = found.groupBy("kind", "entity").agg(F.min("found").alias("found"))
     table = written(by_batch(distinct.withColumn("attempt", F.lit(0)), surrogates, schema), "surrogates")
-    out: dict[tuple[str, str], int] = {}
-    for attempt in range(1, ATTEMPTS + 1):
+    while True:
         # one number for each surrogate first: a hot one never meets in a task
         owners = table.groupBy("kind", "sur").agg(F.min("entity").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        again = [(r.kind, r.entity, r.found) for r in table.join(owners, ["kind", "sur"]).where("entity <> owner").select("kind", "entity", "found").limit(limit + 1).collect()]
-        if not again:
-            return out
-        if len(again) > limit:
-            raise RuntimeError(f"over {limit} entities share surrogates: the lists or alphabets are too small")
-        out |= {(k, e): attempt for k, e, _ in again}
-        spark = table.sparkSession
-        redone = spark.createDataFrame([(k, e, f, attempt, _plain_surrogate(k, f, key, attempt)) for k, e, f in again], schema)
-        table = written(table.join(F.broadcast(redone.select("kind", "entity")), ["kind", "entity"], "left_anti").select(*table.columns).union(redone), "surrogates")
-    raise RuntimeError(f"entities still share surrogates after {ATTEMPTS} attempts")
+        again = written(table.join(owners, ["kind", "sur"]).where("entity <> owner").select("kind", "entity", "found", (F.col("attempt") + 1).alias("attempt")), "again")
+        if again.isEmpty():
+            return table.where("attempt > 0").select("kind", "entity", "attempt")
+        redone = by_batch(again, surrogates, schema)
+        table = written(table.join(again, ["kind", "entity"], "left_anti").select(*table.columns).union(redone), "surrogates")
+
+
+def collisions(found: DataFrame, key: bytes = KEY) -> dict[tuple[str, str], int]:
+    """The table of :func:`exceptions` on the driver, for few entities."""
+    return {(r.kind, r.entity): r.attempt for r in exceptions(found, key).collect()}
+
+
+def _with_attempts(plain: DataFrame, text: str, attempts: DataFrame) -> DataFrame:
+    """Adds ``attempts``, the exceptions that a text mentions; texts are told apart by a hash, as an exception holds for all texts alike."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        seen = {(h, kind, _entity_key(kind, t[start:end])) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for kind, start, end in entities(t)}
+        return {name: [x[k] for x in seen] for k, name in enumerate(("hash", "kind", "entity"))}
+
+    hashed = plain.withColumn("hash", F.xxhash64(text))
+    named = by_batch(hashed.select("hash", text), run, "hash long, kind string, entity string")
+    wanted = named.join(attempts, ["kind", "entity"]).groupBy("hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("attempts"))
+    return hashed.join(wanted, "hash", "left").select(*plain.columns, "attempts")
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` rewritten; with ``counts``, also ``n_entities`` and ``kinds`` (distinct, sorted, comma-joined)."""
-    attempts = collisions(mentions(docs, text), key)
+    attempts = exceptions(mentions(docs, text), key)
     place = docs.columns.index(text)
     names = [f"c{k}" for k in range(len(docs.columns))]  # columns by place: names may clash with ours
     fields = [f"{n} {docs.schema[k].dataType.simpleString()}" for k, n in enumerate(names)]
     plain = docs.toDF(*names)
+    shared = not attempts.isEmpty()
+    if shared:
+        plain = _with_attempts(plain, names[place], attempts)
 
     def run(batch: pa.RecordBatch) -> dict:
-        done = [(None, []) if t is None else rewrite(t, key, attempts) for t in batch.column(place).to_pylist()]
+        others = batch.column(len(names)).to_pylist() if shared else [None] * batch.num_rows
+        tries = ({(x["kind"], x["entity"]): x["attempt"] for x in o or ()} for o in others)
+        done = [(None, []) if t is None else rewrite(t, key, o) for t, o in zip(batch.column(place).to_pylist(), tries)]
         out = {n: batch.column(k) for k, n in enumerate(names)} | {names[place]: [t for t, _ in done]}
         return out | {"n_entities": [len(k) for _, k in done], "kinds": [",".join(sorted(set(k))) for _, k in done]}
 

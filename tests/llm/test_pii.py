@@ -95,3 +95,32 @@ def test_odd_rows(spark, odd, empty):
     clash = spark.createDataFrame([(1, "mail a@b.org", 5, "z")], "doc_id long, text string, n_entities long, c0 string")
     row = pii.pseudonymised(clash).collect()[0]
     assert row[2] == 5 and row[3] == "z" and row[4] == 1 and "a@b.org" not in row[1]
+
+
+def test_any_number_of_people_share_a_surname(spark):
+    r = random.Random(8)
+    given = sorted({"".join(r.choice("abcdefghij") for _ in range(6)).capitalize() for _ in range(1500)})
+    texts = [f"met Mr {g} Smith and Mr {g} Li, then Mr {g} Smith" for g in given] + ["Herr Smith, Frau Smith", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.pseudonymised(docs).collect()}
+    assert got.pop(len(texts) - 1) is None
+    people = {}
+    for k, t in got.items():
+        titled = re.findall(r"(?:Mr|Herr|Frau) (\w+(?: [A-Z]\w+)?)", t)
+        for new, old in zip(titled, re.findall(r"(?:Mr|Herr|Frau) \w+(?: [A-Z]\w+)?", texts[k]), strict=True):
+            people.setdefault(old, set()).add(new)
+    assert all(len(x) == 1 for x in people.values())
+    assert len(people) == 2 * len(given) + 2 == len(set().union(*people.values()))
+
+
+def test_addresses_outside_the_public_range_are_one_to_one_too():
+    r = random.Random(9)
+    ips = [f"{r.choice((0, 224, 250, 255))}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}" for _ in range(300)]
+    assert not any(1 <= int(pii.surrogate("ip", i).split(".")[0]) <= 223 for i in ips)
+
+
+def test_names_have_room_for_more_people_than_a_short_surname():
+    for attempt in (1, pii.LONGER, pii.LONGER + 3):
+        new = pii.replacement("name", "Mr John Li", attempt=attempt)
+        assert len(new.split()[-1]) == 2 + max(0, attempt - pii.LONGER + 1)
+        assert [(k, a, b) for k, a, b in pii.entities(new)] == [("name", 0, len(new))]
