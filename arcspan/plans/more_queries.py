@@ -189,6 +189,28 @@ def impact_risk(spark, d):
     return views.impact(targets, graph.importers(s["edges"], targets), s["members"], s["violations"])
 
 
+@query
+def impact_risk_all(spark, d):
+    """``impact_risk`` of every module."""
+    s = _scan(spark, d)
+    return views.impact(s["modules"], graph.importers(s["edges"], s["modules"]), s["members"], s["violations"])
+
+
+@query
+def transitive_importers_all(spark, d):
+    """``transitive_importers`` of every module."""
+    modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
+    return graph.importers(edges, modules).select("source", "id")
+
+
+@query
+def bounded_impact_all(spark, d):
+    """``bounded_impact`` of every module by itself."""
+    modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
+    near = graph.importers(edges, modules, 3).select("source", "id", "distance").union(graph.reach(edges, modules, 3).select("source", "id", "distance"))
+    return near.where("source <> id").groupBy("source", "id").agg(F.min("distance").cast("long").alias("distance"))
+
+
 def _finding_modules(s):
     return views.finding_modules(s["violations"].select(F.col("src").alias("id")), s["violations"].select(F.col("dst").alias("id")), s["members"])
 
@@ -375,13 +397,24 @@ def alias_resolution(spark, d):
     return resolve.resolve(edges, known, [("@app/*", "src/app/*"), ("@*", "~/*"), ("~/core/*", "src/core/*")]).select("src", "wanted", "dst").distinct()
 
 
-@query
-def prefix_expansion(spark, d):
+def _prefixes(spark, d, modules):
     known = data.modules(spark, d).select(F.col("id").alias("rel_path"))
-    wanted = data.modules(spark, d).where("ord % 200 = 1").select(F.col("id").alias("src"), F.concat(F.lit("../"), F.regexp_extract("id", "^src/[^/]+/([^/]+)/", 1), F.lit("/")).alias("prefix"))
+    up = F.when(F.col("id").endswith("/index.ts"), "../../").otherwise("../")
+    wanted = modules.select(F.col("id").alias("src"), F.concat(up, F.regexp_extract("id", "^src/[^/]+/([^/]+)/", 1), F.lit("/")).alias("prefix"))
     return resolve.expanded_prefixes(wanted, known)
 
 
+@query
+def prefix_expansion(spark, d):
+    return _prefixes(spark, d, data.modules(spark, d).where("ord % 200 = 1"))
+
+
+@query
+def prefix_expansion_all(spark, d):
+    """``prefix_expansion`` of every module."""
+    return _prefixes(spark, d, data.modules(spark, d))
+
+
 @query
 def glob_expansion(spark, d):
     known = data.modules(spark, d).select(F.col("id").alias("rel_path"))
@@ -422,7 +455,16 @@ def parsed_sources(spark, d):
 @query
 def git_log(spark, d):
     """A log written from orders and line items, read back."""
-    items = data.table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    return _log(data.table(spark, d, "lineitem").where("l_orderkey % 7 = 0"))
+
+
+@query
+def git_log_all(spark, d):
+    """``git_log`` of all line items."""
+    return _log(data.table(spark, d, "lineitem"))
+
+
+def _log(items: DataFrame) -> DataFrame:
     name = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("src/{old => new}/"), F.col("l_partkey").cast("string"), F.lit(".ts"))).otherwise(F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), F.lit(".ts")))
     line = F.concat_ws("\t", F.when(F.col("l_linenumber") == 5, "-").otherwise(F.col("l_quantity").cast("long").cast("string")), F.col("l_suppkey").cast("string"), name)
     lines = items.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
