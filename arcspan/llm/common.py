@@ -7,17 +7,30 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import dropped, written
 
-__all__ = ["as_bytes", "by_batch", "dropped", "table", "trimmed", "written"]
+__all__ = ["as_bytes", "by_batch", "dropped", "held_out", "known_labels", "table", "trimmed", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str, folds: int, fold: int) -> Column:
+    """The column that tells the rows no label may be learnt from: crc32 of the key as text, mod ``folds``."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
+
+
+def known_labels(labels: DataFrame, column: str, key: str, folds: int, fold: int) -> DataFrame:
+    """``(key, y)`` of the rows that may be learnt from; a key whose labels contradict each other, or a null, is none of them."""
+    usable = labels.where(F.col(column).isin(0, 1)).where(~held_out(key, folds, fold)).where(F.col(key).isNotNull())
+    agreed = usable.groupBy(key).agg(F.min(column).cast("int").alias("y"), F.max(column).cast("int").alias("other"))
+    return agreed.where("y = other").select(key, "y")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Whole texts of a string column as UTF-8; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

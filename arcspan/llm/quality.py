@@ -9,8 +9,10 @@ is one comparison for all rows.
 
 Defined cases: a null or empty text has all statistics 0; without labels of
 both classes every score is the share of the known ones, or 0.5; repeated rows
-get the same score, and one of repeated labels of a key counts; other columns
-are ignored.
+get the same score; a key whose labels contradict each other teaches nothing,
+and of several texts of one labelled key the smallest statistics are learnt
+from, so no more than ``SAMPLE`` rows reach the driver; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_batch
+from .common import as_bytes, by_batch, held_out, known_labels
 from .rules import measure
-from .toxicity import held_out
 
 SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 20_000, 80, 4, 64, 0.15, 1.0, 8
 THRESHOLD = 0.7
@@ -123,9 +124,11 @@ def with_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Trees:
-    known = labels.where(F.col("quality").isin(0, 1)).where(~held_out(key, folds, fold)).where(F.col(key).isNotNull()).select(key, F.col("quality").cast("int").alias("y")).dropDuplicates([key])
+    known = known_labels(labels, "quality", key, folds, fold)
     chosen = F.broadcast(known.orderBy(F.md5(F.col(key).cast("string")), key).limit(sample))  # at most ``sample`` rows of two numbers
-    rows = sorted((tuple(r.stats), r.y) for r in with_statistics(docs.select(key, text).join(chosen, key), text, key).join(chosen, key).select("stats", "y").collect())
+    # of the texts of one key, the smallest statistics: a row for each key reaches the driver
+    found = with_statistics(docs.select(key, text).join(chosen, key), text, key).groupBy(key).agg(F.min("stats").alias("stats"))
+    rows = sorted((tuple(r.stats), r.y) for r in found.join(chosen, key).select("stats", "y").collect())
     return grow(np.array([r[0] for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([r[1] for r in rows], dtype=float))
 
 
