@@ -9,12 +9,13 @@ from the largest down, go where the least room is left that holds them. The
 plan is a list of runs (so many sequences with the same contents); a piece
 finds its place from its length and its rank among the pieces of that length.
 
-Ranks don't need one task for a frequent length: pieces are counted by length
-and a hash (``SALTS`` of them), ranked within both, and the counts before them
-are added.
+Ranks need neither a sort nor one task for a frequent length: a task that cuts
+pieces numbers those of each length as it goes, which is stored with them, and
+what the tasks before it have of that length (one sum for each task and length)
+is added.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are
-packed each; a text of any length is cut into full pieces and a rest; an empty
+packed each (ranks count rows, not keys); a text of any length is cut into full pieces and a rest; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -24,17 +25,18 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, by_batch, written
 
-CAPACITY, END, SALTS = 4096, 1, 64
+CAPACITY, END = 4096, 1
 SLICE = 1 << 22
-PLANNED = 4_000_000  # runs; their number depends on the lengths there are, not on the rows
 
 
 class Words(dict):
@@ -174,9 +176,23 @@ def _path(tokenizer: str) -> str:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, piece, start, length, ids_crc32``: each document's ids and the end token, cut where they exceed the capacity."""
+    """``key, piece, start, length, ids_crc32``: each document's ids and the end token, cut where they exceed the capacity.
+
+    ``task`` and ``nth`` (the pieces of that length this task has made before) tell equal lengths apart.
+    """
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([END], dtype="<u4").tobytes()
+    made: dict = {}  # of the task that runs: pieces by length
+
+    def numbered(length: list[int]) -> tuple[list[int], list[int]]:
+        at = TaskContext.get()
+        if made.get("attempt") != at.taskAttemptId():
+            made.update(attempt=at.taskAttemptId(), n=Counter())
+        nth, n = [], made["n"]
+        for x in length:
+            nth.append(n[x])
+            n[x] += 1
+        return [at.partitionId()] * len(length), nth
 
     def run(batch: pa.RecordBatch) -> dict:
         words = _words(_path(tokenizer))
@@ -198,9 +214,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             at = upto
-        return {key: batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+        return {key: batch.column(0).take(pa.array(row, pa.int64())), "piece": piece, "start": start, "length": length, "ids_crc32": crc} | dict(zip(("task", "nth"), numbered(length)))
 
-    return by_batch(docs.select(key, text), run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_batch(docs.select(key, text), run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -283,25 +299,20 @@ def placements(runs: list[tuple[int, list[tuple[int, int]]]]) -> tuple[np.ndarra
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece, with ``sequence_id`` and ``offset``."""
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
-    rows = written(pieces(docs, tokenizer, capacity, text, key).withColumn("salt", salt), "pieces")
-    counted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x SALTS rows
-    table = np.zeros((capacity + 1, SALTS + 1), dtype=np.int64)
-    for r in counted:
-        table[r.length, r.salt + 1] = r.n
-    before = table.cumsum(axis=1)
-    runs = plan({n: int(before[n, -1]) for n in range(1, capacity + 1) if before[n, -1]}, capacity)
-    keys, values = placements(runs)
-    if len(keys) > PLANNED:
-        raise RuntimeError(f"the plan has {len(keys)} entries, over {PLANNED}")
-    shared = docs.sparkSession.sparkContext.broadcast((before, keys, values))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(key, "piece")).cast("long") - 1)
+    rows = written(pieces(docs, tokenizer, capacity, text, key), "pieces")
+    made = rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    # a window over the tasks, not over the rows
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = written(made.select("length", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "ranks")
+    counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    keys, values = placements(plan(counts, capacity))
+    shared = docs.sparkSession.sparkContext.broadcast((keys, values))  # bounded by the lengths there are
+    ranked = rows.join(before.drop("n"), ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        before, keys, values = shared.value
-        length, salt, rank = (np.asarray(batch.column(k)).astype(np.int64) for k in (3, 5, 6))
-        rank = rank + before[length, salt]
+        keys, values = shared.value
+        length, rank = (np.asarray(batch.column(k)).astype(np.int64) for k in (3, 5))
         wide = 1 << 44
         at = np.searchsorted(keys[:, 0] * wide + keys[:, 1], length * wide + rank, side="right") - 1
         first, each, offset = values[at].T

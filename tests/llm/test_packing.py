@@ -44,6 +44,15 @@ def test_pieces_and_places(spark, odd, odd_rows):
     assert Counter(tuple(r)[:5] for r in got) == expected(rows)
 
 
+def test_repeated_keys_and_pieces_have_places_of_their_own(spark):
+    rows = [(k % 3 if k % 4 else None, "same words again") for k in range(400)] + [(1, "longer " * 9000)] * 5
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), NAME).collect()
+    assert Counter(tuple(r)[:5] for r in got) == expected(rows)
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    tokens = sum(r.length for r in got)
+    assert check(got) <= -(-tokens // 4096) + 2
+
+
 def test_empty_table(empty):
     assert packing.packed(empty, NAME).collect() == []
 
