@@ -12,17 +12,21 @@ integer arithmetic, and the parts of a node add up to it exactly.
 
 A leaf then takes its budget as a prefix of its epochs: whole passes over its
 documents, then those documents of one more pass, in an order given by a hash
-of seed, epoch and key, whose tokens come first; the last one is cut. The
-prefix is found without sorting a leaf: hashes fall into ``4096`` ranges, one
-sum each; only the range that holds the end is looked at document by document,
-and what is left to know is one hash per leaf. So neither a hot leaf nor a
-text goes through a task or a shuffle whole.
+of seed, epoch and the columns that tell rows apart, whose tokens come first;
+the last one is cut, so a leaf's tokens are its budget exactly. The prefix is
+found without sorting a leaf: hashes fall into ``4096`` ranges, one sum each;
+only the range that holds the end is looked at document by document, and what
+is left to know is one hash per leaf. Rows that share it (copies of one row)
+are numbered within the task that wrote them, and tasks' counts are added up.
+So neither a hot leaf nor a text goes through a task or a shuffle whole.
 
 Defined cases: a null or blank text has no tokens and is never taken; a null in
 a tree column is a child named with the empty string; children without a
-weight have ``default``, those of weight 0 take nothing; repeated rows (equal
-keys) have one place in the order and are taken alike; an empty table gives no
-rows; other columns pass through.
+weight have ``default``, those of weight 0 take nothing; repeated rows stand
+next to each other in the order and each takes its own tokens (which of rows
+that are equal is cut makes no difference); rows whose key is null or shared
+are told apart by the other columns of the order; an empty table gives no rows;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -84,14 +88,18 @@ def budgets(leaves: DataFrame, tree: list[str], weights: dict[str, dict[str, int
     return level.select(*tree, "tokens", "alloc")
 
 
-def _hash(seed: str, epoch: Column, key: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+ORDER = ("doc_id", "n_tokens")
 
 
-def prefixes(docs: DataFrame, tree: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int], max_epochs: int, seed: str, key: str = "doc_id") -> DataFrame:
+def _hash(seed: str, epoch: Column, order: tuple[str, ...]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)))
+
+
+def prefixes(docs: DataFrame, tree: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int], max_epochs: int, seed: str, order: tuple[str, ...] = ORDER) -> DataFrame:
     """One row per leaf that gets tokens: its whole passes and where the next one ends.
 
-    ``docs`` has the tree columns (no nulls), ``key`` and ``n_tokens``; the
+    ``docs`` has the tree columns (no nulls) and those of ``order``, which
+    holds ``n_tokens``, so rows at one place have as many tokens each; the
     budget is ``share`` (a fraction) of all tokens. Columns: tree, ``passes``,
     ``rest`` (tokens of the last pass), ``end_hash`` and ``end_before`` (the
     hash of the document in which it ends and the tokens before that).
@@ -100,7 +108,7 @@ def prefixes(docs: DataFrame, tree: list[str], weights: dict[str, dict[str, int]
     budget = F.expr(f"CAST(SUM(tokens) AS {WHOLE}) * {share[0]} DIV {share[1]}")
     given = budgets(leaves, tree, weights, budget, max_epochs).where("alloc > 0")
     given = written(given.select(*tree, F.expr("CAST(alloc DIV tokens AS INT)").alias("passes"), (F.col("alloc") % F.col("tokens")).alias("rest")), "budgets")
-    hashed = docs.where("n_tokens > 0").join(given.where("rest > 0"), tree).select(*tree, "rest", "n_tokens", _hash(seed, F.col("passes"), key).alias("hash")).withColumn("range", F.substring("hash", 1, 3))
+    hashed = docs.where("n_tokens > 0").join(given.where("rest > 0"), tree).select(*tree, "rest", "n_tokens", _hash(seed, F.col("passes"), order).alias("hash")).withColumn("range", F.substring("hash", 1, 3))
     sums = hashed.groupBy(*tree, "rest", "range").agg(F.sum("n_tokens").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*tree).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
     last = sums.where("before < rest AND rest <= before + n").select(*tree, "range", "before")
@@ -110,11 +118,19 @@ def prefixes(docs: DataFrame, tree: list[str], weights: dict[str, dict[str, int]
     return written(given.join(ends, tree, "left"), "prefixes")
 
 
-def taken(docs: DataFrame, ends: DataFrame, tree: list[str], seed: str, key: str = "doc_id") -> DataFrame:
+def taken(docs: DataFrame, ends: DataFrame, tree: list[str], seed: str, order: tuple[str, ...] = ORDER) -> DataFrame:
     """A row for each document and epoch that takes of it: all columns, ``epoch`` and ``taken`` tokens."""
-    rows = docs.where("n_tokens > 0").join(ends, tree).withColumn("hash", F.when(F.col("rest") > 0, _hash(seed, F.col("passes"), key)))
-    part = F.when(F.col("hash") < F.col("end_hash"), F.col("n_tokens")).when(F.col("hash") == F.col("end_hash"), F.least(F.col("n_tokens"), F.col("rest") - F.col("end_before"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("part", part).where("passes > 0 OR part > 0")
+    rows = docs.where("n_tokens > 0").join(ends, tree).withColumn("hash", F.when(F.col("rest") > 0, _hash(seed, F.col("passes"), order)))
+    at_end = F.coalesce(F.col("hash") == F.col("end_hash"), F.lit(False))
+    others = rows.where(~at_end).withColumn("part", F.when(F.col("hash") < F.col("end_hash"), F.col("n_tokens")).otherwise(F.lit(0)).cast("long"))
+    # the rows at the end of a leaf's prefix, most often one: numbered by task, then taken one after another
+    tied = written(rows.where(at_end).withColumn("task", F.spark_partition_id()), "ends")
+    counts = tied.groupBy(*tree, "task").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("earlier", F.sum("n").over(Window.partitionBy(*tree).orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy(*tree, "task").orderBy(F.xxhash64(*order))) - 1
+    left = F.col("rest") - F.col("end_before") - (F.col("earlier") + F.col("nth")) * F.col("n_tokens")
+    tied = tied.withColumn("nth", nth).join(counts, [*tree, "task"]).withColumn("part", F.greatest(F.lit(0), F.least(F.col("n_tokens"), left)).cast("long"))
+    both = others.unionByName(tied.select(*others.columns)).where("passes > 0 OR part > 0")
     epochs = F.sequence(F.lit(0), F.col("passes") - F.when(F.col("part") > 0, 0).otherwise(1))
-    out = rows.withColumn("epoch", F.explode(epochs)).withColumn("taken", F.when(F.col("epoch") < F.col("passes"), F.col("n_tokens")).otherwise(F.col("part")))
+    out = both.withColumn("epoch", F.explode(epochs)).withColumn("taken", F.when(F.col("epoch") < F.col("passes"), F.col("n_tokens")).otherwise(F.col("part")))
     return out.drop("passes", "rest", "end_hash", "end_before", "hash", "part")

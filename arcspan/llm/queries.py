@@ -146,8 +146,8 @@ level{alias} AS (SELECT {', '.join(own)}, tokens, CAST(CASE WHEN is_full THEN ca
     leaf = ", ".join(TREE)
     parts.append(f"""
 given AS (SELECT {leaf}, CAST(alloc // tokens AS BIGINT) AS passes, CAST(alloc % tokens AS BIGINT) AS rest FROM level{len(TREE)} WHERE alloc > 0),
-hashed AS (SELECT docs.*, passes, rest, md5('{SEED}|' || passes || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM docs JOIN given USING ({leaf}) WHERE n_tokens > 0),
-placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(n_tokens) OVER (PARTITION BY {leaf}, hash) AS start FROM hashed),
+hashed AS (SELECT docs.*, passes, rest, md5('{SEED}|' || passes || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || n_tokens) AS hash FROM docs JOIN given USING ({leaf}) WHERE n_tokens > 0),
+placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM hashed),
 cut AS (SELECT *, CASE WHEN start < rest THEN least(n_tokens, rest - start) ELSE 0 END AS part FROM placed),
 out AS (SELECT *, unnest(range(0, passes + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS epoch FROM cut)
 SELECT doc_id, {leaf}, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(CASE WHEN epoch < passes THEN n_tokens ELSE part END AS BIGINT) AS taken FROM out""")

@@ -1,6 +1,5 @@
 import hashlib
 import random
-from collections import defaultdict
 from fractions import Fraction
 
 from pyspark.sql import functions as F
@@ -58,27 +57,34 @@ def brute_taken(rows, ends, seed):
         leaf = [r for r in rows if r[1:4] == (e.domain, e.lang, e.source) and r[4]]
         for p in range(e.passes):
             out += [(r[0], p, r[4]) for r in leaf]
-        key = lambda r: hashlib.md5(f"{seed}|{e.passes}|{'' if r[0] is None else r[0]}".encode()).hexdigest()  # noqa: E731, B023
-        groups = defaultdict(list)
-        for r in leaf:
-            groups[key(r)].append(r)
-        at = 0
-        for h in sorted(groups):
-            out += [(r[0], e.passes, min(r[4], e.rest - at)) for r in groups[h] if at < e.rest]
-            at += sum(r[4] for r in groups[h])
+        left = e.rest
+        for r in sorted(leaf, key=lambda r: hashlib.md5(f"{seed}|{e.passes}|{'' if r[0] is None else r[0]}|{r[4]}".encode()).hexdigest()):  # noqa: B023
+            if left:
+                out.append((r[0], e.passes, min(r[4], left)))
+                left -= min(r[4], left)
+        assert not left
     return sorted(out, key=str)
 
 
 def test_prefixes_against_brute_force(spark):
     r = random.Random(8)
     rows = [(k, r.choice("ab"), r.choice("xy"), r.choice("st"), r.randint(0, 40)) for k in range(400)] + [(7, "a", "x", "s", 5), (7, "a", "x", "s", 5), (None, "a", "x", "s", 9)]
-    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    rows += [(None, "b", "x", "t", r.choice((3, 30))) for _ in range(300)] + [(12, "b", "x", "s", 50)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long").repartition(5)
     for share in ((3, 10), (19, 10)):
         ends = mixing.prefixes(df, TREE, {"domain": {"a": 1, "b": 6}}, share, 4, "s")
         got = mixing.taken(df, ends, TREE, "s").collect()
         assert sorted(((x.doc_id, x.epoch, x.taken) for x in got), key=str) == brute_taken(rows, ends.collect(), "s")
 
 
+def test_budgets_are_met_to_the_token_however_keys_repeat(spark):
+    for keys in ([None] * 60, [k % 3 for k in range(60)], [None if k % 2 else k for k in range(60)]):
+        df = spark.createDataFrame([(k, "a", "x", "s", 100) for k in keys], "doc_id long, domain string, lang string, source string, n_tokens long").repartition(4)
+        for tokens in (950, 7350):
+            ends = mixing.prefixes(df, TREE, {}, (tokens, 6000), 3, "s")
+            assert sum(r.taken for r in mixing.taken(df, ends, TREE, "s").collect()) == tokens
+
+
 def test_odd_rows(spark, odd, empty):
     docs = queries.with_tree(odd)
     ends = mixing.prefixes(docs, queries.TREE, queries.WEIGHTS, (1, 1), 3, "s")
