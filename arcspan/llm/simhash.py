@@ -145,13 +145,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, text: str = "text", key:
     roots = member.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = member.join(roots, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def first_rows(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each key in ``keep`` (distinct keys, a null among them or not).
-
-    The join and the choice among repeated rows share one shuffle by key.
-    """
-    known = docs.join(keep.where(F.col(key).isNotNull()), key, "left_semi").dropDuplicates([key])
-    nameless = docs.where(F.col(key).isNull()).join(F.broadcast(keep.where(F.col(key).isNull()).limit(1).select(F.lit(1).alias("one"))), F.lit(True), "left_semi")
-    return known.unionByName(nameless.dropDuplicates([key]))

@@ -83,8 +83,3 @@ def test_large_lists_equal_small_ones():
     want = brute_components([(int(m), int(m)) for m in members])
     root = {int(m): int(m) for m in members} | {int(x): int(y) for x, y in zip(a, b)}
     assert [root[int(m)] for m in members] == want
-
-
-def test_first_rows(spark, odd):
-    keep = spark.createDataFrame([(2,), (9,), (None,)], "doc_id long")
-    assert sorted((r.doc_id for r in simhash.first_rows(odd, keep).collect()), key=str) == [2, 9, None]
