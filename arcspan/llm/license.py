@@ -33,20 +33,44 @@ BASE = {
 }
 
 # Wordings of public licences and of the notices that name them.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {{authors or copyright holders|authors|copyright holders|copyright holder|author}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and {{*0-3}} associated documentation files {{*0-3}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_1 = "{{*0-1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_2 = "{{*0-1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_3 = "{{*0-1}} neither the name of {{*1-8}} nor the names of {{its|the}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = "this software is provided by {{the copyright holders and contributors|the author and contributors|the author|the regents and contributors}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{the copyright holder or contributors|the copyright owner or contributors|the copyright holders or contributors|the author or contributors|the author|the regents or contributors}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC_GRANT = "permission to use copy modify {{and or|and}} distribute this software for any purpose with or without fee is hereby granted"
+_GNU = "{{you can redistribute it and or modify it|it is licensed}} under the terms of the {name} as published by the free software foundation {{either version|version}} {version} of the license [[or at your option any later version]]"
+_GNU_NOTICE = "{{is licensed|licensed|is distributed|is released|released}} under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] {versions} [[of the license]]"
 TEMPLATES = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and {{*0-3}} associated documentation files {{*0-3}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [[the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software]]",
+    "mit-text": f"{_MIT_GRANT} the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software {_AS_IS}",
+    "mit-0-text": f"{_MIT_GRANT.removesuffix(' subject to the following conditions')} {_AS_IS}",
     "mit-notice": "{{released|licensed|distributed|available|provided}} under the [[terms of the]] mit license",
+    "apache-2-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{http|https}} www apache org licenses license 2 0 [[html|txt]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "apache-2-notice": "licensed under the apache license [[version]] {{2 0|2}}",
-    "apache-2-text": "you may not use this file except in compliance with the license you may obtain a copy of the license at [[http www apache org licenses license 2 0]]",
-    "gpl-3-notice": "{{is licensed|licensed|is distributed|is released|released}} under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] {{version 3|v3}} [[of the license]]",
-    "gpl-2-notice": "{{is licensed|licensed|is distributed|is released|released}} under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] {{version 2|v2}} [[of the license]]",
+    "gpl-3-text": "this program is free software " + _GNU.replace("{name}", "gnu general public license").replace("{version}", "3"),
+    "gpl-2-text": "this program is free software " + _GNU.replace("{name}", "gnu general public license").replace("{version}", "2"),
+    "lgpl-3-text": "is free software " + _GNU.replace("{name}", "gnu lesser general public license").replace("{version}", "3"),
+    "lgpl-2.1-text": "is free software " + _GNU.replace("{name}", "gnu lesser general public license").replace("{version}", "2 1"),
+    "agpl-3-text": "is free software " + _GNU.replace("{name}", "gnu affero general public license").replace("{version}", "3"),
+    "gpl-3-notice": _GNU_NOTICE.replace("{versions}", "{{version 3|v3}}"),
+    "gpl-2-notice": _GNU_NOTICE.replace("{versions}", "{{version 2|v2}}"),
     "cc-by-nc-notice": "licensed under [[a|the]] {{cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial}} [[{{4 0|3 0|2 0}}]] [[international]] [[license]]",
     "cc-by-notice": "licensed under [[a|the]] {{cc by|creative commons attribution}} {{4 0|3 0|2 0}} [[international]] [[license]]",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[{{*0-1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer]]",
-    "isc-text": "permission to use copy modify and {{or distribute|distribute}} this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "spdx-tag": "spdx license identifier {{*1-4}}",
+    "bsd-2-text": f"{_BSD_GRANT} {_BSD_1} {_BSD_2} {_BSD_END}",
+    "bsd-3-text": f"{_BSD_GRANT} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_END}",
+    "isc-text": f"{_ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{{{the author|isc|internet systems consortium}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{{{the author|isc|internet systems consortium}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mpl-2-text": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{http|https}} mozilla org mpl 2 0",
+    # only the beginning of a wording that may go on otherwise: what is granted, on conditions that aren't known
+    "mit-grant": _MIT_GRANT,
+    "bsd-grant": _BSD_GRANT,
+    "isc-grant": _ISC_GRANT,
+    "mpl-2-grant": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+SPDX = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES |= {f"spdx-{x.lower()}": "spdx license identifier " + re.sub(r"[-.]", " ", x.lower()) + (" [[only|or later]]" if "GPL" in x else "") for x in SPDX}
+PARTIAL = "-grant"  # names of templates that hold a part of a licence
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TOKEN = re.compile(r"\[\[|\]\]|\{\{.*?\}\}|\||[^\s\[\]{}|]+")
@@ -206,11 +230,16 @@ class Automaton:
         return found
 
 
+def score_of(names: set[str], plain: set[str]) -> float:
+    return 1.0 if any(not n.endswith(PARTIAL) for n in names) else 0.75 if names else 0.5 if plain else 0.0
+
+
 def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: words, places of base phrases, base labels, all labels, score.
 
-    ``score`` is 1 where a template's mandatory wording is accepted, 0.5 where
-    only a base phrase stands, else 0.
+    ``score`` is 1 where the mandatory wording of a whole licence or notice is
+    accepted, 0.75 where that of a part (``PARTIAL``) is, 0.5 where only a base
+    phrase stands, else 0.
     """
     kind = docs.schema[key].dataType.simpleString()
     machine = Automaton({f"={p}": p for p in base} | templates)
@@ -223,7 +252,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[
             places = [i for p in base for i in found.get(f"={p}", ())]
             plain = {base[p] for p in base if f"={p}" in found}
             more = {x for x in found if x[0] != "="}
-            for k, v in (("n_words", len(words)), ("n_base", len(places)), ("first_word", min(places, default=None)), ("last_word", max(places, default=None)), ("base_labels", ",".join(sorted(plain))), ("labels", ",".join(sorted(plain | more))), ("score", 1.0 if more else 0.5 if plain else 0.0)):
+            for k, v in (("n_words", len(words)), ("n_base", len(places)), ("first_word", min(places, default=None)), ("last_word", max(places, default=None)), ("base_labels", ",".join(sorted(plain))), ("labels", ",".join(sorted(plain | more))), ("score", score_of(more, plain))):
                 out[k].append(v)
         return out | {key: batch.column(0)}
 

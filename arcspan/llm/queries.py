@@ -39,13 +39,13 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
+    rows = rules.apply_policy(rules.stored(table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask(rules.BASE_RULES))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_upper", "n_letters", "n_marks", "fail_bits")
 
 
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+    return rules.ablations(rules.stored(table(spark, sf_dir, "documents")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ found AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t, {', '.jo
 named AS (SELECT doc_id, w, list_concat({', '.join(f'p{k}' for k in range(1, len(places) + 1))}) AS p, list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL) AS base, list_filter([{', '.join(more)}], lambda x: x IS NOT NULL) AS more FROM found)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, more))), ','), '') AS labels,
-  CAST(CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+  CAST(CASE WHEN len(list_filter(more, lambda x: NOT ends_with(x, '{lic.PARTIAL}'))) > 0 THEN 1.0 WHEN len(more) > 0 THEN 0.75 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
 FROM named"""
 
 
@@ -109,7 +109,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 ledger AS (SELECT *, CAST(BITS AS BIGINT) AS fail_bits FROM m)
 """.replace("BITS", " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(rules.RULES)))
 
-_RULES_SQL = f"""{_LEDGER_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {rules.mask(rules.BASE_RULES)}) <> 0 AS base_failed, (fail_bits & {rules.mask(rules.POLICIES[rules.CURRENT])}) = 0 AS kept, fail_bits FROM ledger"""
+_RULES_SQL = f"""{_LEDGER_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {rules.mask(rules.BASE_RULES)}) <> 0 AS base_failed, (fail_bits & {rules.mask(rules.POLICIES[rules.CURRENT])}) = 0 AS kept, n_lines, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_letters AS BIGINT) AS n_letters, CAST(n_marks AS BIGINT) AS n_marks, fail_bits FROM ledger"""
 
 
 def _ablations_sql() -> str:

@@ -1,10 +1,11 @@
 """Quality rules kept as a bit mask ledger.
 
 Every rule is evaluated once for a document; the ledger holds its failure bits
-and the measurements behind them. Policies are versioned sets of rules that
-are applied to stored bits, and an ablation (what a policy would keep without
-one of its rules) is an aggregate over the few distinct bit masks, so neither
-reads a text again.
+and the measurements behind them and is stored (:func:`stored`). Policies are
+versioned sets of rules that are applied to the stored bits, and an ablation
+(what a policy would keep without one of its rules) is an aggregate over the
+few distinct bit masks, so neither reads a text again, whichever and however
+many versions are asked for.
 
 Defined cases: a null or empty text has no words and fails ``few_words``;
 repeated rows give repeated results; other columns are ignored.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_batch
+from .common import as_bytes, by_batch, written
 
 #: Name and SQL condition over the measurements; the place in this list is the bit.
 RULES = [
@@ -86,6 +87,15 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return measured.withColumn("fail_bits", F.expr(f"CAST({bits} AS BIGINT)"))
 
 
+def stored(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """The ledger written as Parquet, to ``path`` or the session's shared folder, and read back."""
+    rows = ledger(docs, text, key)
+    if path is None:
+        return written(rows, "ledger")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def apply_policy(rows: DataFrame, version: int = CURRENT, to: str = "kept") -> DataFrame:
     """Adds a boolean column: no rule of that policy failed."""
     return rows.withColumn(to, F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
