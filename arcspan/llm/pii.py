@@ -8,8 +8,11 @@ digits, letters of the same script). So a surrogate keeps the type, length,
 punctuation and script; it depends on the key, the type and the canonical
 form only, so all mentions of an entity agree in every document (coreference);
 and being a permutation of the forms of one shape, it gives two entities two
-surrogates. What a name keeps besides is its gender: the title before it
-decides the list its given name comes from.
+surrogates. Checksums keep their state (cards by Luhn, IBANs by mod 97). What a
+name keeps besides is its gender: the title before it decides the list its
+given name comes from. A name found with its title is also replaced where the
+same text has it without one, whole or as the surname alone; if several people
+of a text share a surname, it stands for the first of them.
 
 Given names are drawn from short lists, so there the surname alone carries the
 difference. The collision check looks at all of it: distinct entities of the
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -38,16 +42,22 @@ from pyspark.sql import functions as F
 from .common import by_batch, written
 
 LONGER = 4
-KEY = b"arcspan surrogate key"  # a deployment passes its own secret
+KEY = b"arcspan surrogate key"  # for tests; a deployment sets KEY_CONF or passes its own secret
+KEY_CONF = "spark.arcspan.surrogateKey"
 
 # Titles, and given names by gender and script.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "г-н": "m", "г-жа": "f"}
+TITLES = {"Dr": "n", "Prof": "n", "Dra": "f", "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "г-н": "m", "г-жа": "f"}
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Paul", "Robert", "Simon", "Victor"],
     ("f", "latin"): ["Alice", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Rosa", "Vera"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина"],
 }
+GIVEN |= {("n", script): GIVEN["m", script] + GIVEN["f", script] for script in ("latin", "cyrillic")}
+
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.|\b)"
+_NAME = rf"[{_UP}](?:[{_LOW}]+|['’][{_UP}][{_LOW}]+)(?:['’\-][{_UP}]?[{_LOW}]+)*"
 
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9_%+\-À-ÖØ-öø-ÿ])[A-Za-z0-9_%+\-À-ÖØ-öø-ÿ]+(?:\.[A-Za-z0-9_%+\-À-ÖØ-öø-ÿ]+){0,7}@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
@@ -58,14 +68,27 @@ PATTERNS = [
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d.\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d.\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d\-]|\.\d)"),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:]|\.\d)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    ("phone", r"(?<![\w+.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]?\d{3,4})?(?![\w]|[.\-]\d)|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("name", r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? +[A-ZÀ-ÖØ-ÞА-Я][a-zà-öø-ÿа-я]+(?: +[A-ZÀ-ÖØ-ÞА-Я][a-zà-öø-ÿа-я]+)?"),
+    ("phone", r"(?<![\w+.])\+\d{1,3}[ .\-]\(?\d{1,4}\)?(?:[ .\-]\d{2,4}){2,5}(?![\w]|[.\-]\d)|(?<![\w+.])0\d(?:[ .\-]\d{2}){4}(?![\w]|[ .\-]\d)|(?<![\w+.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}(?:[ .\-]?\d{3,4})?(?![\w]|[.\-]\d)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+.\-])0[1-9]\d{8,9}(?![\w]|[.\-]\d)"),
+    ("name", rf"\b{_TITLE}(?: +{_TITLE})? +{_NAME}(?: +{_NAME})?"),
 ]
 TYPES = [name for name, _ in PATTERNS]
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern.replace(chr(92) + '1', '(?P=gap)').replace('([ ' + chr(92) + '-]?)', '(?P<gap>[ ' + chr(92) + '-]?)')})" for name, pattern in PATTERNS))
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"[0-9@]|\b(?:" + "|".join(TITLES) + r")\b|\b[A-F]{32}|\b[a-f]{32}")
+_HINT = re.compile(r"[0-9@]|\b(?:" + "|".join(TITLES) + r")\b|\b[A-F]{32}|\b[a-f]{32}|:[A-Fa-f]{1,4}:")
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+
+
+def _parts(found: str) -> tuple[list[str], list[str]]:
+    """The titles and the names of a titled mention."""
+    words = found.split()
+    many = 1 + (len(words) > 2 and words[1].rstrip(".") in TITLES)
+    return words[:many], words[many:]
+
+
+def _gender(titles: list[str]) -> str:
+    return next((g for t in titles if (g := TITLES[t.rstrip(".")]) != "n"), "n")
 
 _DIGIT, _HEX, _LOWER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 _ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
@@ -108,6 +131,10 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def canonical(kind: str, found: str) -> str:
     """The entity a mention names; what the surrogate is a function of."""
     if kind in ("card", "ssn", "phone"):
@@ -116,8 +143,10 @@ def canonical(kind: str, found: str) -> str:
         return found.replace(" ", "")
     if kind == "ip":
         return ".".join(str(int(x)) for x in found.split("."))
+    if kind == "ipv6":
+        return ipaddress.ip_address(found).exploded
     if kind == "name":
-        return " ".join(found.split()[1:])
+        return " ".join(_parts(found)[1])
     return found.lower() if kind in ("email", "secret") else found
 
 
@@ -125,6 +154,8 @@ def _valid(kind: str, symbols: str, like: str) -> bool:
     """What a surrogate has to keep besides its shape; the permutation is walked until it does."""
     if kind == "card":
         return _luhn(symbols) == _luhn(like)
+    if kind == "iban":
+        return (_mod97(symbols) == 1) == (_mod97(like) == 1)
     return True
 
 
@@ -147,17 +178,28 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str
     fixed = 0
     if kind == "phone" and entity.startswith("+"):
         fixed = len(entity) - 10 if len(entity) > 11 else 2  # the country's code stays
-    elif kind in ("iban", "awskey"):
-        fixed = 4 if kind == "awskey" else 2
+    elif kind == "phone" and entity.startswith("0"):
+        fixed = 1  # a national number keeps its leading zero, and what follows it stays another digit
+    elif kind == "iban":
+        valid = _mod97(entity) == 1  # then the check digits follow from the rest, which is permuted alone
+        fixed = 4 if valid else 2
+    elif kind in ("awskey", "ipv6"):
+        fixed = 4  # an address keeps its first group, which tells what kind it is
     alphabets = []
     for k, c in enumerate(entity):
         low = c.lower()
-        alphabet = _HEX if kind == "secret" else _LOWER.upper() if c in _LOWER.upper() else _ALPHABET.get(low, c)
+        alphabet = _HEX if kind in ("secret", "ipv6") and c != ":" else _LOWER.upper() if c in _LOWER.upper() else _ALPHABET.get(low, c)
+        if kind == "phone" and k == fixed == 1:
+            alphabet = _DIGIT[1:] if c != "0" else c
         alphabets.append(c if k < fixed else alphabet)
     if kind == "email":  # the last label of the domain stays
         keep = entity.rindex(".")
         alphabets = [c if k >= keep else a for k, (c, a) in enumerate(zip(entity, alphabets))]
     shape = "".join(a[0] for a in alphabets)
+    if kind == "iban" and valid:
+        shape, alphabets = shape[:2] + shape[4:], [*alphabets[:2], *alphabets[4:]]
+        rest = _permuted(key, f"iban|{shape}|{attempt}|valid", entity[:2] + entity[4:], alphabets)
+        return f"{rest[:2]}{98 - _mod97(rest[:2] + '00' + rest[2:]):02d}{rest[2:]}"
     out = entity
     while True:
         out = _permuted(key, f"{kind}|{shape}|{attempt}", out, alphabets)
@@ -174,14 +216,17 @@ def replacement(kind: str, found: str, key: bytes = KEY, attempt: int = 0) -> st
     entity = canonical(kind, found)
     new = surrogate(kind, entity, key, attempt)
     if kind == "name":
-        title = found.split()[0]
-        gender = TITLES[title.rstrip(".")]
+        titles, names = _parts(found)
+        gender = _gender(titles)
         script = "cyrillic" if any("а" <= c.lower() <= "я" for c in entity) else "latin"
-        *given, last = entity.split()
-        names = GIVEN[gender, script]
-        first = [names[int.from_bytes(hmac.digest(key, f"given|{gender}|{entity}|{attempt}".encode(), hashlib.sha256)[:8], "big") % len(names)] for _ in given]
+        *given, last = names
+        lists = GIVEN[gender, script]
+        first = [lists[int.from_bytes(hmac.digest(key, f"given|{gender}|{entity}|{attempt}".encode(), hashlib.sha256)[:8], "big") % len(lists)] for _ in given]
         surname = new.split()[-1]
-        return " ".join([title, *first, _cased(last, surname[: len(last)]) + surname[len(last) :]])
+        return " ".join([*titles, *first, _cased(last, surname[: len(last)]) + surname[len(last) :]])
+    if kind == "ipv6":
+        new = ipaddress.ip_address(new).compressed if "::" in found else new if len(found) == 39 else ":".join(f"{int(x, 16):x}" for x in new.split(":"))
+        return new.upper() if any(c.isupper() for c in found) and not any(c.islower() for c in found) else new
     if kind in ("card", "ssn", "phone", "iban"):
         symbols = iter(new)
         return "".join(next(symbols) if c.isalnum() or c == "+" else c for c in found)
@@ -192,36 +237,79 @@ _SECRET, _AWS = (re.compile(p) for p in (r"[0-9a-f]{12,}|[0-9A-F]{12,}", r"(?:AK
 
 
 def entities(text: str) -> list[tuple[str, int, int]]:
-    """``(type, start, end)`` of all mentions, from left to right and without overlap."""
+    """``(type, start, end)`` of all mentions, from left to right and without overlap; names with their titles."""
     out = []
     for m in _FIND.finditer(text) if _HINT.search(text) else ():
         kind, (start, end) = m.lastgroup, m.span()
         if kind == "credential":  # a key that would be found by itself is the same entity here
             start, end = m.span("value")
             kind = "secret" if _SECRET.fullmatch(m["value"]) else "awskey" if _AWS.fullmatch(m["value"]) else kind
+        elif kind == "ipv6" and not _is_address(m[0]):
+            continue
         out.append((kind, start, end))
     return out
 
 
+def _is_address(found: str) -> bool:
+    try:
+        ipaddress.ip_address(found)
+    except ValueError:
+        return False
+    return True
+
+
+def untitled(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """``(start, end, which)`` of mentions without a title of names in ``found`` (its place there)."""
+    whole: dict[tuple[str, ...], int] = {}
+    for k, (kind, start, end) in enumerate(found):
+        if kind == "name":
+            names = _parts(text[start:end])[1]
+            whole.setdefault(tuple(names), k)
+            whole.setdefault((names[-1],), k)
+    if not whole:
+        return []
+    out, edges = [], [(0, 0), *((s, e) for _, s, e in found), (len(text), len(text))]
+    for (_, a), (b, _) in zip(edges, edges[1:]):  # between the mentions
+        words, k = [m.span() for m in _WORD.finditer(text, a, b)], 0
+        while k < len(words):
+            start, end = words[k]
+            two = words[k + 1][1] if k + 1 < len(words) and text[end : words[k + 1][0]].strip(" ") == "" else None
+            if two and (which := whole.get((text[start:end], text[words[k + 1][0] : two]))) is not None:
+                out.append((start, two, which))
+                k += 1
+            elif (which := whole.get((text[start:end],))) is not None:
+                out.append((start, end, which))
+            k += 1
+    return out
+
+
 def rewrite(text: str, key: bytes = KEY, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the types found."""
-    out, kinds, at = [], [], 0
-    for kind, start, end in entities(text):
-        found = text[start:end]
-        out += [text[at:start], replacement(kind, found, key, (attempts or {}).get((kind, _entity_key(kind, found)), 0))]
-        kinds.append(kind)
+    found = entities(text)
+    done = []  # (start, end, type, surrogate)
+    for kind, start, end in found:
+        mention = text[start:end]
+        done.append((start, end, kind, replacement(kind, mention, key, (attempts or {}).get((kind, _entity_key(kind, mention)), 0))))
+    for start, end, which in untitled(text, found):
+        names = _parts(done[which][3])[1]
+        done.append((start, end, "name", " ".join(names) if " " in text[start:end] else names[-1]))
+    if not done:
+        return text, []
+    out, at = [], 0
+    for start, end, _, new in sorted(done):
+        out += [text[at:start], new]
         at = end
-    return ("".join([*out, text[at:]]) if kinds else text), kinds
+    return "".join([*out, text[at:]]), [kind for _, _, kind, _ in sorted(done)]
 
 
 def _entity_key(kind: str, found: str) -> str:
     """The canonical form, a name with the gender its title gives."""
-    return canonical(kind, found) if kind != "name" else f"{TITLES[found.split()[0].rstrip('.')]} {canonical(kind, found)}"
+    return canonical(kind, found) if kind != "name" else f"{_gender(_parts(found)[0])} {canonical(kind, found)}"
 
 
 def _plain_surrogate(kind: str, found: str, key: bytes, attempt: int) -> str:
     new = replacement(kind, found, key, attempt)
-    return canonical(kind, new) if kind != "name" else new.split(" ", 1)[1]
+    return canonical(kind, new)
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -282,8 +370,12 @@ def _with_attempts(plain: DataFrame, text: str, attempts: DataFrame) -> DataFram
     return hashed.join(wanted, "hash", "left").select(*plain.columns, "attempts")
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` with ``text`` rewritten; with ``counts``, also ``n_entities`` and ``kinds`` (distinct, sorted, comma-joined)."""
+def pseudonymised(docs: DataFrame, key: bytes | None = None, text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` rewritten; with ``counts``, also ``n_entities`` and ``kinds`` (distinct, sorted, comma-joined).
+
+    Without ``key``, the session's ``KEY_CONF`` is the secret.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, "").encode() or KEY
     attempts = exceptions(mentions(docs, text), key)
     place = docs.columns.index(text)
     names = [f"c{k}" for k in range(len(docs.columns))]  # columns by place: names may clash with ours
