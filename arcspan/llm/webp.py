@@ -12,10 +12,18 @@ all. Which path an image takes depends on its bits alone.
 
 ``encode`` is the general encoder (transforms, cache and back-references as
 asked for). ``encode_payloads`` stores bytes: four of them are a pixel, 16
-pixels a row; the codes are one of a few fixed ones, with or without a colour
-cache, the shortest for the image, so a batch is packed by array operations. A payload longer than
-``STRIP`` bytes becomes several images one after another, each a file of its
-own that tells its size; so memory for an image is bounded for any text.
+pixels a row, one file a payload. Two forms compete for each. The plain one
+has fixed codes, with or without a colour cache, so a batch is packed by array
+operations. The general one has codes of its own, back-references, a colour
+cache and the transform (subtract-green, cross-colour, a predictor, a palette)
+that leaves least entropy; it is written where the estimated size is under
+``WORTH`` of the plain one's, and kept where it is smaller. A file holds at most
+``STRIP`` bytes (the height a format of 14 bits allows); a longer payload is
+several files one after another, each of which tells its size.
+
+Defined cases: a null text is an empty one, whose payload is ``UNIT`` zero
+bytes; texts of any length are stored whole; equal texts give equal images,
+whatever stands beside them in a batch; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +52,9 @@ NEAR = (
 HASH, LITERALS, LENGTHS, DISTANCES, LONGEST = 0x1E35A7BD, 256, 24, 40, 15
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
-WIDTH, UNIT, STRIP, SLICE = 16, 64, 1 << 16, 1 << 24
+WIDTH, UNIT, STRIP, SLICE = 16, 64, 1 << 20, 1 << 24
+WORTH = 0.7
+LANES = 24  # fewer images are read one by one
 
 
 class BadImage(ValueError):
@@ -334,15 +344,20 @@ def _green(image: np.ndarray, sign: int) -> np.ndarray:
 
 
 class Writer:
+    """Bits; whole words move from ``value`` to ``done`` so that adding stays cheap."""
+
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.value, self.n, self.done = 0, 0, bytearray()
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
+        if self.n >= 4096:
+            self.done += (self.value & (1 << 4096) - 1).to_bytes(512, "little")
+            self.value, self.n = self.value >> 4096, self.n - 4096
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        return bytes(self.done) + self.value.to_bytes((self.n + 7) // 8, "little")
 
 
 def huffman(counts: list[int], longest: int = LONGEST) -> list[int]:
@@ -546,7 +561,8 @@ class Book:
         for _ in range(3):
             write_lengths(head, lengths)
         write_lengths(head, [1] + [0] * (DISTANCES - 1))
-        self.head, self.n = head.value, head.n
+        self.n = 8 * len(head.done) + head.n
+        self.head = head.value << 8 * len(head.done) | int.from_bytes(head.done, "little")
 
     def coded(self, pixels: np.ndarray, hits: np.ndarray | None, slots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Codes and sizes of pixels given as rows of four bytes (blue, green, red, alpha); ``hits`` take their slot in the cache."""
@@ -560,6 +576,7 @@ class Book:
 
 
 CACHE_BITS = 10
+_PLACE = (STRIP // 4 - 1).bit_length()  # bits of a pixel's place in its image
 
 
 @cache
@@ -583,11 +600,11 @@ def cache_hits(pixels: np.ndarray, image: np.ndarray, place: np.ndarray, bits: i
     image, slot and place puts what a slot holds before the pixel that asks.
     """
     slot = (pixels * np.uint32(HASH)) >> np.uint32(32 - bits)
-    order = np.sort(image.astype(np.uint64) << np.uint64(32) | slot.astype(np.uint64) << np.uint64(16) | place.astype(np.uint64))
+    order = np.sort(image.astype(np.uint64) << np.uint64(32) | slot.astype(np.uint64) << np.uint64(_PLACE) | place.astype(np.uint64))
     first = np.concatenate([[0], np.nonzero(np.diff(image))[0] + 1])
-    at = first[(order >> np.uint64(32)).astype(np.int64)] + (order & np.uint64(0xFFFF)).astype(np.int64)
+    at = first[(order >> np.uint64(32)).astype(np.int64)] + (order & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     hit = np.zeros(len(pixels), dtype=bool)
-    hit[at[1:]] = (order[1:] >> np.uint64(16) == order[:-1] >> np.uint64(16)) & (pixels[at[1:]] == pixels[at[:-1]])
+    hit[at[1:]] = (order[1:] >> np.uint64(_PLACE) == order[:-1] >> np.uint64(_PLACE)) & (pixels[at[1:]] == pixels[at[:-1]])
     return hit, slot.astype(np.int64)
 
 
@@ -611,6 +628,61 @@ def _slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return [*out, (a, len(sizes))] if sizes else out
 
 
+def _uniform(height: int, value: int) -> tuple[np.ndarray, int]:
+    """One predictor mode or set of factors for a whole image of ``WIDTH`` columns, and the bits of its blocks."""
+    return np.full((_blocks(height, 9), 1), value, dtype=np.uint32), 9
+
+
+#: By name: the transforms that the general form may take, for an image of that height.
+TRIED = {
+    "none": lambda h: [],
+    "green": lambda h: [(SUBTRACT_GREEN,)],
+    "cross": lambda h: [(CROSS_COLOUR, *_uniform(h, 32 << 16))],  # blue less red
+    "left": lambda h: [(PREDICTOR, *_uniform(h, 1 << 8))],
+    "top": lambda h: [(PREDICTOR, *_uniform(h, 2 << 8))],
+    "palette": lambda h: [(PALETTE,)],
+}
+
+
+def _entropies(pixels: np.ndarray, image: np.ndarray, many: int) -> np.ndarray:
+    """Of each image the bits of its pixels under codes of its own, with about what announcing those costs."""
+    bits = np.zeros(many)
+    for channel in range(4):
+        counts = np.bincount(image * 256 + pixels[:, channel], minlength=many * 256).reshape(many, 256)
+        total = np.maximum(counts.sum(axis=1), 1)
+        bits += total * np.log2(total) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) + 5 * (counts > 0).sum(axis=1)
+    return bits
+
+
+def estimates(data: np.ndarray, image: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each image about how many bits the general form takes, and by which transform."""
+    many, pixels = len(first) - 1, data.reshape(-1, 4)  # blue, green, red, alpha
+    place = np.arange(len(pixels)) - first[image]
+    shifted = lambda by, inside: np.where(inside[:, None], pixels - np.roll(pixels, by, axis=0), pixels)
+    green, cross = pixels.copy(), pixels.copy()
+    green[:, (0, 2)] -= pixels[:, 1:2]
+    cross[:, 0] -= pixels[:, 2]
+    cost = {"none": pixels, "green": green, "cross": cross, "left": shifted(1, place % WIDTH > 0), "top": shifted(WIDTH, place >= WIDTH)}
+    bits = {k: _entropies(v, image, many) for k, v in cost.items()}
+    # palettes: different pixels and how often each stands
+    whole = data.view("<u4").astype(np.uint64)
+    values, counts = np.unique(image.astype(np.uint64) << np.uint64(32) | whole, return_counts=True)
+    owner = (values >> np.uint64(32)).astype(np.int64)
+    colours, size = np.bincount(owner, minlength=many), np.diff(first)
+    bits["palette"] = np.where(colours <= 256, size * np.log2(np.maximum(size, 1)) - np.bincount(owner, counts * np.log2(counts), many) + 25 * colours, np.inf)
+    # what copies save: runs of three pixels that stood before in the image
+    three = image.astype(np.uint64) << np.uint64(40) ^ whole * np.uint64(0x9E3779B97F4A7C15)
+    three[:-2] += whole[1:-1] * np.uint64(0xD6E8FEB86659FD93) + whole[2:] * np.uint64(0xA0761D6478BD642F)
+    again = np.ones(len(three), dtype=bool)
+    again[np.unique(three, return_index=True)[1]] = False
+    again &= place < size[image] - 2  # not into the next image
+    share = 0.9 * np.bincount(image, again, many) / np.maximum(size, 1)
+    names = list(bits)
+    table = np.stack([bits[k] for k in names])
+    best = table.argmin(axis=0)
+    return table.min(axis=0) * (1 - share) + 160, [names[k] for k in best]
+
+
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """For each payload (a positive multiple of ``UNIT`` bytes) its image files, one after another."""
     strips = [(k, p[a : a + STRIP]) for k, p in enumerate(payloads) for a in range(0, len(p), STRIP)]
@@ -636,7 +708,15 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         words = np.zeros(base[-1] // 64 + 1, dtype="<u8")
         _packed(whole, bits, at, words)
         raw = words.view(np.uint8)
+        expected, transform = estimates(data, image, first)
+        general = expected < WORTH * total
         for j, (k, s) in enumerate(part):
+            if general[j]:
+                rows = np.frombuffer(s, dtype="<u4").reshape(-1, WIDTH)
+                other = encode(rows, TRIED[transform[j]](len(rows)), 4 if transform[j] == "none" else 0, True)
+                if 8 * len(other) < total[j]:
+                    out[k].append(other)
+                    continue
             b = books()[chosen[j]]
             head = 0x2F | WIDTH - 1 << 8 | len(s) // UNIT - 1 << 22 | 1 << 36 | b.head << 40
             stream = bytearray(raw[base[j] // 8 : base[j] // 8 + (total[j] + 7) // 8])
@@ -690,10 +770,12 @@ def decode_batch(images: list[bytes]) -> list[np.ndarray]:
     """ARGB pixels of each file; those with literals and cache hits only are read in step."""
     out: list[np.ndarray | None] = [None] * len(images)
     groups: dict[int, list] = {}
+    sizes = [int(np.prod(_size(Reader(_chunk(image))))) for image in images]
+    most = sorted(sizes)[-LANES] + 4096 if len(sizes) >= LANES else 0  # a few longer ones would be alone for most steps
     for k, image in enumerate(images):
         stream = _chunk(image)
         width, height = _size(Reader(stream))
-        if found := _plain_head(stream):
+        if sizes[k] <= most and (found := _plain_head(stream)):
             at, (tables, cache_bits) = found
             groups.setdefault(cache_bits, []).append((width * height, k, width, stream, at, tables))
         else:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import zlib
 
@@ -56,6 +57,56 @@ def test_payloads_both_ways():
             assert (webp.decode(f) == webp.decode_batch([f])[0]).all()
 
 
+def test_general_form_is_used_where_it_pays():
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    ramp = (np.arange(30000) * 3 // 64 % 200 + np.arange(30000) % 64).astype(np.uint8).tobytes()
+    line = letters(64)
+    payloads = [webp.padded(x) for x in (b"", letters(64) * 200, (letters(997) + b"\n") * 40, ramp, b"ab" * 5000, letters(3000), b"the quick brown fox " * 40)]
+    payloads += [webp.padded(b"".join(bytes([(g + 3) & 255, g, (g + 7) & 255, 255]) for g in rng.integers(0, 256, 4000).tolist())), webp.padded(b"".join(bytes([(r + 1) & 255, 5, r, 9]) for r in rng.integers(0, 256, 4000).tolist()))]
+    media = webp.encode_payloads(payloads)
+    assert webp.decode_payloads(media) == payloads
+    assert all(webp.encode_payloads([p]) == [m] for p, m in zip(payloads, media))  # whatever stands beside it
+    assert len(media[1]) < 300 and len(media[2]) < len(payloads[2]) / 10 and len(line) == 64
+    kinds = set()
+    for m in media:
+        bits = webp.Reader(webp._chunk(m), 40)
+        kinds.add(bits.read(3) >> 1 if bits.peek(1) else None)
+    assert {webp.PALETTE, webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.CROSS_COLOUR} <= kinds and None in kinds
+
+
+def by_hand(width, height, bits):
+    """A file from bits as the format's description writes them: fields of ``(value, size)``, lowest bit first."""
+    text = "".join(format(v, f"0{n}b")[::-1] if n else "" for v, n in [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *bits])
+    text += "0" * (-len(text) % 8)
+    body = bytes(int(text[k : k + 8][::-1], 2) for k in range(0, len(text), 8))
+    body_padded = body + b"\0" * (len(body) % 2)
+    return b"RIFF" + (12 + len(body_padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body_padded
+
+
+def simple(*symbols):
+    """A simple code of one or two symbols of eight bits."""
+    return [(1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)]
+
+
+def test_files_made_by_hand():
+    # a file in wide use to see whether a browser reads lossless images: one transparent black pixel
+    known = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(known).tolist() == [[0]]
+    # no transform, no cache, no groups; green is 10 or 200, red 1, blue 2, alpha 255
+    plain = [(0, 1), (0, 1), (0, 1), *simple(10, 200), *simple(1), *simple(2), *simple(255), *simple(0), (0, 1), (1, 1), (1, 1), (0, 1)]
+    assert webp.decode(by_hand(2, 2, plain)).tolist() == [[0xFF010A02, 0xFF01C802], [0xFF01C802, 0xFF010A02]]
+    # subtract-green: 10 and 200 are added to red 1 and blue 2
+    green = [(1, 1), (2, 2), *plain]
+    assert webp.decode(by_hand(2, 2, green)).tolist() == [[0xFF0B0A0C, 0xFFC9C8CA], [0xFFC9C8CA, 0xFF0B0A0C]]
+    # one predictor (2: top) for all: the first pixel adds to opaque black, its row to the left, the others to the top
+    top = [(1, 1), (0, 2), (0, 3), (0, 1), *simple(2), *simple(0), *simple(0), *simple(255), *simple(0), *plain]
+    assert webp.decode(by_hand(2, 2, top)).tolist() == [[0xFE010A02, 0xFD02D204], [0xFD02D204, 0xFC03DC06]]
+    # a palette of two colours, eight pixels in one: 0xFF000000 and, 0x00FF0000 further, 0xFFFF0000; indices 0, 1, 1
+    palette = [(1, 1), (3, 2), (1, 8), (0, 1), *simple(0), *simple(0, 255), *simple(0), *simple(0, 255), *simple(0), (0, 1), (1, 1), (1, 1), (0, 1)]
+    assert webp.decode(by_hand(3, 1, [*palette, (0, 1), (0, 1), (0, 1), *simple(6), *simple(0), *simple(0), *simple(255), *simple(0)])).tolist() == [[0xFF000000, 0xFFFF0000, 0xFFFF0000]]
+
+
 def test_mixed_batches():
     rng = np.random.default_rng(2)
     general = [webp.encode(i, cache_bits=4, copies=True) for i in images()]
