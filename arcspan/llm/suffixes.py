@@ -9,8 +9,9 @@ smallest hash of its ``GRAM``-byte strings as its mark. Equal windows have
 equal marks, so a window whose mark stands nowhere else is unique.
 Neighbouring windows mostly share their mark; a run of them with its bytes
 (the windows and what they reach) is one row, about one for every 90 bytes.
-Where all runs of a mark are the same bytes, all their windows repeat. Where
-they differ, as at the ends of a shared passage or around an edit, one run of
+Where all runs of a mark are the same bytes, all their windows repeat (bytes are
+told apart by a 64-bit hash within the runs of one 64-bit mark, 128 bits
+together). Where they differ, as at the ends of a shared passage or around an edit, one run of
 each content goes to the mark's block; so does a run that holds its mark twice,
 as its own windows may be equal.
 
@@ -47,8 +48,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, by_batch, dropped, written
 
-WIDTH, GRAM, LONGEST_RUN, CHUNK, BLOCK = 200, 16, 256, 1 << 19, 1 << 22
-HOT = 1 << 14  # contents of a mark that are sorted together at most
+WIDTH, GRAM, LONGEST_RUN, CHUNK = 200, 16, 256, 1 << 19
+HOT = 1 << 13  # contents of a mark that are sorted together at most: under four megabytes
 FILL = 1 << 19  # bytes of small groups that share a sort
 LENGTH_BITS = 10  # an interval is its start and, in the lowest bits, its length
 
@@ -205,26 +206,6 @@ def repeated_windows(contents: list[bytes], width: int = WIDTH) -> np.ndarray:
     return repeated[starts]
 
 
-def repeated_by_hash(contents: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """The same for a group too large to sort at once: 128-bit hashes of windows, a range of them at a time."""
-    passes = 1 + sum(map(len, contents)) // BLOCK
-    windows = [len(c) - width + 1 for c in contents]
-    out = np.zeros(sum(windows), dtype=bool)
-    h = xxhash.xxh3_128_digest
-    for k in range(passes):
-        seen: dict[bytes, int] = {}
-        at = 0
-        for c, n in zip(contents, windows):
-            for i in range(n):
-                d = h(c[i : i + width])
-                if int.from_bytes(d[:4], "big") % passes == k:
-                    other = seen.setdefault(d, at + i)
-                    if other != at + i:
-                        out[other] = out[at + i] = True
-            at += n
-    return out
-
-
 def _runs(docs: DataFrame, kind: str, width: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         texts, rows = as_bytes(batch.column(2)), []
@@ -283,9 +264,7 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def found(rows: list[tuple]) -> Iterator[tuple]:
-        data = [r[5] for r in rows]
-        big = sum(map(len, data)) > BLOCK
-        repeated = (repeated_by_hash if big else repeated_windows)(data, width).astype(np.int8)
+        repeated = repeated_windows([r[5] for r in rows], width).astype(np.int8)
         at = 0
         for k, th, _, a, single, content in rows:
             n = len(content) - width + 1
@@ -334,19 +313,30 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
 def _counted_windows(contents: DataFrame, kind: str, width: int) -> DataFrame:
     """The same for marks that are too frequent to sort: every window is counted by its hash."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("row", "h", "g", "x", "single")}
-        h = xxhash.xxh3_128_intdigest
-        for k, (a, single, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
-            for i in range(len(content) - width + 1):
-                d = h(content[i : i + width])
-                for name, value in (("row", k), ("h", (d >> 64) - (1 << 63)), ("g", (d & (1 << 64) - 1) - (1 << 63)), ("x", (a + i) << LENGTH_BITS | width), ("single", single)):
-                    out[name].append(value)
-        which = pa.array(out.pop("row"), pa.int64())
-        return out | {"k": batch.column(0).take(which), "th": batch.column(1).take(which)}
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = f"k {kind}, th long, h long, g long, x long, single boolean"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h = xxhash.xxh3_128_digest
+        starts, single, contents = (batch.column(c).to_pylist() for c in (3, 4, 5))
+        sizes = np.array([len(c) - width + 1 for c in contents])
+        digests = np.frombuffer(b"".join(h(c[i : i + width]) for c, n in zip(contents, sizes.tolist()) for i in range(n)), dtype=">i8").reshape(-1, 2)
+        which = np.repeat(np.arange(len(contents)), sizes)
+        place = np.array(starts)[which] + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows = pa.array(which)
+        columns = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(digests[:, k].astype(np.int64)) for k in (0, 1)), pa.array(place << LENGTH_BITS | width), pa.array(np.array(single)[which])]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):  # at most 65,536 windows at a time
+                yield hashed(batch.slice(a, 256))
 
     # a content that stands in several places is one here, as in blocks
-    windows = by_batch(contents.dropDuplicates(["m", "k", "th", "a"]), run, f"k {kind}, th long, h long, g long, x long, single boolean")
+    windows = contents.dropDuplicates(["m", "k", "th", "a"]).mapInArrow(run, schema)
     again = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
     return windows.where("single").join(again, ["h", "g"]).select("k", "th", "x")
 
@@ -384,7 +374,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key
     # a mark with one content everywhere, or with several
     marks = runs.groupBy("m").agg(F.count(F.lit(1)).alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("twice").alias("twice")).where("tot > 1 OR twice").select("m", F.expr("lo = hi AND tot > 1").alias("same"))
     marks = written(marks, "marks")
-    shared = written(runs.drop("twice").join(marks.hint("shuffle_hash"), "m"), "shared")
+    shared = written(runs.drop("twice").join(marks, "m"), "shared")
     dropped(runs, marks)
     whole = F.shiftleft("a", LENGTH_BITS).bitwiseOR((F.col("n") + (width - 1)).cast("long")).alias("x")
     mixed = shared.where("NOT same")

@@ -64,15 +64,10 @@ def test_runs_cover_each_window_once():
     assert windows == Counter((k, i) for k, t in enumerate(data) for i in range(len(t) - 199))
 
 
-def test_both_ways_to_compare_a_group():
-    data = [t.encode() for t in texts() if t and len(t.encode()) >= 200]
-    assert (suffixes.repeated_windows(data) == suffixes.repeated_by_hash(data)).all()
-
-
-@pytest.mark.parametrize("bound", [None, "BLOCK", "HOT"])
-def test_against_brute_force(spark, monkeypatch, bound):
-    if bound:  # groups over a bound take another way
-        monkeypatch.setattr(suffixes, bound, {"BLOCK": 3000, "HOT": 2}[bound])
+@pytest.mark.parametrize("hot", [None, 2])
+def test_against_brute_force(spark, monkeypatch, hot):
+    if hot:  # marks with more contents take another way
+        monkeypatch.setattr(suffixes, "HOT", hot)
     rows = [(k if k % 37 else None, t) for k, t in enumerate(texts())]
     got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert Counter(map(tuple, got)) == Counter((k, *b) for (k, _), b in zip(rows, brute([(t or "").encode() for _, t in rows])))
