@@ -63,7 +63,7 @@ def test_general_form_is_used_where_it_pays():
     ramp = (np.arange(30000) * 3 // 64 % 200 + np.arange(30000) % 64).astype(np.uint8).tobytes()
     line = letters(64)
     payloads = [webp.padded(x) for x in (b"", letters(64) * 200, (letters(997) + b"\n") * 40, ramp, b"ab" * 5000, letters(3000), b"the quick brown fox " * 40)]
-    payloads += [webp.padded(b"".join(bytes([(g + 3) & 255, g, (g + 7) & 255, 255]) for g in rng.integers(0, 256, 4000).tolist())), webp.padded(b"".join(bytes([(r + 1) & 255, 5, r, 9]) for r in rng.integers(0, 256, 4000).tolist()))]
+    payloads += [webp.padded(b"".join(bytes([(g + 3) & 255, g, (g + 7) & 255, rng.integers(4)]) for g in rng.integers(0, 256, 4000).tolist())), webp.padded(b"".join(bytes([(r + 1) & 255, 5, r, rng.integers(4)]) for r in rng.integers(0, 256, 4000).tolist()))]
     media = webp.encode_payloads(payloads)
     assert webp.decode_payloads(media) == payloads
     assert all(webp.encode_payloads([p]) == [m] for p, m in zip(payloads, media))  # whatever stands beside it
