@@ -374,7 +374,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key
     # a mark with one content everywhere, or with several
     marks = runs.groupBy("m").agg(F.count(F.lit(1)).alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("twice").alias("twice")).where("tot > 1 OR twice").select("m", F.expr("lo = hi AND tot > 1").alias("same"))
     marks = written(marks, "marks")
-    shared = written(runs.drop("twice").join(marks, "m"), "shared")
+    # hashed by partition: a mark is two numbers, so partitions sized for the runs hold their marks many times over
+    shared = written(runs.drop("twice").join(marks.hint("shuffle_hash"), "m"), "shared")
     dropped(runs, marks)
     whole = F.shiftleft("a", LENGTH_BITS).bitwiseOR((F.col("n") + (width - 1)).cast("long")).alias("x")
     mixed = shared.where("NOT same")
