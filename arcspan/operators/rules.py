@@ -137,14 +137,17 @@ def suggestions(modules: DataFrame, edges: DataFrame, members: DataFrame) -> Dat
 # --- gates -------------------------------------------------------------------
 
 GRADES = "ABCDF"
-_COUNTED = ("cycles", "layer-violations", "recommendations", "contract-violations", "contract-errors", "bundle-bloat", "new-cycles", "new-layer-violations", "new-contract-violations", "signals", "new-signals", "regressed-signals")
+_COUNTED = ("cycles", "layer-violations", "recommendations", "contract-violations", "contract-errors", "new-cycles", "new-layer-violations", "new-contract-violations")
+#: Gates on the findings of a severity and above, and the severities they know.
+BY_SEVERITY = {"bundle-bloat": ("low", "medium", "high")} | dict.fromkeys(("signals", "new-signals", "regressed-signals"), ("info", "low", "medium", "high", "critical"))
 
 
 def parse_gate(text: str) -> tuple[str, str, str | int]:
     """``(name, operator, limit)`` of a rule ``name:limit``; the gate fails where the summary goes beyond it.
 
-    ``grade:C`` fails on C and worse; counts fail from the limit on, ``any``
-    from 1, and after ``>`` or ``>=`` as written.
+    ``grade:C`` fails on C and worse; counts fail above the limit, ``any`` from
+    1, and after ``>`` or ``>=`` as written; a gate of ``BY_SEVERITY`` fails if
+    there is one finding of its severity or above.
     """
     name, sep, value = text.strip().partition(":")
     value = value.strip()
@@ -154,16 +157,23 @@ def parse_gate(text: str) -> tuple[str, str, str | int]:
         if value.upper() not in GRADES or len(value) != 1:
             raise ValueError(f"no such grade: {value!r}")
         return name, ">=", value.upper()
+    if name in BY_SEVERITY:
+        if value.lower() not in BY_SEVERITY[name]:
+            raise ValueError(f"no such severity: {value!r}")
+        return f"{name}-{value.lower()}", ">", 0
     if name not in _COUNTED:
         raise ValueError(f"no such gate: {name!r}")
     m = re.fullmatch(r"(>=|>)?\s*(\d+)|any", value)
     if not m:
         raise ValueError(f"a count is expected, not {value!r}")
-    return (name, ">=", 1) if value == "any" else (name, m[1] or ">=", int(m[2]))
+    return (name, ">", 0) if value == "any" else (name, m[1] or ">", int(m[2]))
 
 
 def gates(summary: DataFrame, rules: list[str]) -> DataFrame:
-    """For each rule over a one-row summary (a column for each name, ``-`` as ``_``): ``gate, actual, failed``."""
+    """For each rule over a one-row summary (a column for each name, ``-`` as ``_``): ``gate, actual, failed``.
+
+    Gates by severity read a column for each, as ``signals_high``: what is as severe or more.
+    """
     rows = []
     for text in rules:
         name, op, limit = parse_gate(text)

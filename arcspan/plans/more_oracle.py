@@ -31,8 +31,10 @@ _part("ring", "SELECT 'now' AS t, string_agg(id, ',' ORDER BY id) AS k FROM memb
 _part("bad", "SELECT DISTINCT 'now' AS t, src || '>' || dst AS k FROM violation UNION ALL SELECT DISTINCT 'old', v.src || '>' || v.dst FROM violation v WHERE v.src NOT LIKE '%7.ts' AND v.src IN (SELECT id FROM before_module) AND v.dst IN (SELECT id FROM before_module)", "violation", "before_module")
 _part("cell", f"SELECT {{group_src}} AS from_group, {{group_dst}} AS to_group, (e2.src, e2.dst) IN (SELECT (src, dst) FROM violation) AS bad, a.comp IS NOT NULL AND a.comp = b.comp AS ring FROM edge e2 LEFT JOIN member a ON a.id = e2.src LEFT JOIN member b ON b.id = e2.dst WHERE e2.resolved", "edge", "member", "violation")
 _part("matrix", "SELECT from_group, to_group, count(*) AS imports, count(*) FILTER (WHERE bad) AS violations, count(*) FILTER (WHERE ring) AS cycle_edges FROM cell WHERE from_group <> to_group GROUP BY ALL", "cell")
-_part("reach100", "SELECT id AS source, id FROM module WHERE ord % 100 = 0 UNION SELECT r.source, edge.src FROM reach100 r JOIN edge ON edge.dst = r.id", "module", "edge")
-_part("risk", f"SELECT m.*, CAST(CASE WHEN member.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS cycle_count, (SELECT count(*) FROM violation v WHERE v.src = m.id) + (SELECT count(*) FROM violation v WHERE v.dst = m.id) AS violation_count, zone.id IS NOT NULL AS is_hot FROM metric m LEFT JOIN member USING (id) LEFT JOIN zone USING (id)", "metric", "member", "violation", "zone")
+_part("ring_of", "SELECT id, count(DISTINCT comp) AS n FROM member GROUP BY id", "member")
+_part("layer_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM violation UNION ALL SELECT dst FROM violation WHERE dst <> src) GROUP BY id", "violation")
+_part("bound_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM boundary UNION ALL SELECT dst FROM boundary WHERE dst <> src) GROUP BY id", "boundary")
+_part("risk", f"SELECT m.*, CAST(CASE WHEN member.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS cycle_count, (SELECT count(*) FROM violation v WHERE v.src = m.id) + (SELECT count(*) FROM violation v WHERE v.dst = m.id) + coalesce(b.n, 0) AS violation_count, zone.id IS NOT NULL AS is_hot FROM metric m LEFT JOIN member USING (id) LEFT JOIN zone USING (id) LEFT JOIN bound_end b USING (id)", "metric", "member", "violation", "zone", "bound_end")
 _part("risky", f"SELECT *, {_HALF.format('hotness + coupling + fan_in + fan_out + cycle_count * 12 + violation_count * 10 + CASE WHEN is_hot THEN 10 ELSE 0 END')} AS risk FROM risk", "risk")
 _part("dead", "SELECT id, loc, kind, 'isolated' AS \"group\" FROM fan WHERE fan_in + fan_out + n_exports = 0 AND kind NOT IN ('entry', 'test') AND NOT is_infra", "fan")
 _part("surface", "SELECT *, n_exports * 2 + fan_in * 3 + fan_out AS risk FROM fan WHERE NOT is_infra", "fan")
@@ -81,13 +83,13 @@ MORE = {
     "matrix_by_layer": _with("SELECT * FROM matrix WHERE violations > 0 ORDER BY violations * 1000 + cycle_edges * 100 + imports DESC, from_group, to_group LIMIT 10", "matrix", group_src=_LAYER.format("e2.src"), group_dst=_LAYER.format("e2.dst")),
     "impact_risk": _with(
         """SELECT source, affected, cycles, violations, CASE WHEN cycles > 0 OR violations > 1 OR affected >= 10 THEN 'high' WHEN violations > 0 OR affected >= 3 THEN 'medium' ELSE 'low' END AS risk FROM (
-        SELECT source, count(*) - 1 AS affected, count(DISTINCT member.comp) AS cycles, (SELECT count(*) FROM violation v WHERE v.src IN (SELECT id FROM reach100 x WHERE x.source = r.source) OR v.dst IN (SELECT id FROM reach100 x WHERE x.source = r.source)) AS violations FROM reach100 r LEFT JOIN member USING (id) GROUP BY source)""",
-        "reach100", "member", "violation",
+        SELECT i.source, count(*) - 1 AS affected, coalesce(any_value(r.n), 0) AS cycles, coalesce(any_value(l.n), 0) AS violations FROM importer i LEFT JOIN ring_of r ON r.id = i.source LEFT JOIN layer_end l ON l.id = i.source GROUP BY i.source)""",
+        "importer", "ring_of", "layer_end",
     ),
     "ownership": _with(
         f"""SELECT area, count(*) AS modules, CAST(sum(hit) AS BIGINT) AS findings, {_HALF.format('sum(hotness + coupling + fan_in + fan_out + hit * 10)')} AS risk, coalesce(max_by(kind, ord) FILTER (WHERE kind <> 'module'), 'module') AS primary_kind, count(*) >= 3 AND sum(hit) / count(*) >= CAST(0.3 AS DOUBLE) AS drift FROM (
-        SELECT *, {_AREA.format('id')} AS area, CASE WHEN in_cycle OR id IN (SELECT src FROM violation) OR id IN (SELECT dst FROM violation) THEN 1 ELSE 0 END AS hit FROM metric) GROUP BY area""",
-        "metric", "violation",
+        SELECT *, {_AREA.format('id')} AS area, CASE WHEN in_cycle OR id IN (SELECT id FROM layer_end) OR id IN (SELECT id FROM bound_end) OR id IN (SELECT id FROM zone) THEN 1 ELSE 0 END AS hit FROM metric) GROUP BY area""",
+        "metric", "layer_end", "bound_end", "zone", n=40,
     ),
     "semantic_surface": _with("(SELECT 'broad' AS list, id, n_exports, risk FROM surface WHERE n_exports >= 8 OR (n_exports >= 4 AND fan_in >= 4) ORDER BY risk DESC, id LIMIT 20) UNION ALL (SELECT 'quiet', id, n_exports, risk FROM surface WHERE n_exports > 0 AND fan_in = 0 AND kind NOT IN ('entry', 'test') ORDER BY n_exports DESC, id LIMIT 20) UNION ALL (SELECT 'types', id, n_exports, risk FROM surface WHERE kind = 'schema' OR regexp_matches(id, '(^|/)(types?|schemas?|models?)(/|\\.)') ORDER BY risk DESC, id LIMIT 20)", "surface"),
     "dead_code": _with('SELECT id, loc, kind, "group" FROM dead', "dead"),
@@ -98,8 +100,8 @@ MORE = {
     "rules_model": _with("SELECT 'layer:' || src_layer || '>' || dst_layer AS rule, severity, count(*) AS n, count(DISTINCT src) AS n_modules FROM violation GROUP BY ALL UNION ALL SELECT 'contract:' || rule, severity, count(*), count(DISTINCT src) FROM boundary GROUP BY ALL", "violation", "boundary"),
     "review_risk": _with(
         f"""SELECT raw, greatest(0, least(100, raw)) AS score, CASE WHEN greatest(0, least(100, raw)) >= 80 THEN 'critical' WHEN greatest(0, least(100, raw)) >= 55 THEN 'high' WHEN greatest(0, least(100, raw)) >= 25 THEN 'medium' ELSE 'low' END AS level FROM (
-        SELECT CAST((SELECT {_whole('s')} FROM graded) + (SELECT count(*) FROM cycle WHERE severity = 'direct') * 12 + (SELECT count(*) FROM violation WHERE severity = 'error') * 10 + (SELECT count(*) FROM boundary WHERE severity = 'error') * 10 + least(15, (SELECT count(*) FROM zone) * 2) + 0 * 8 + 1 * 15 + 4 * 10 + 3 * 5 - least(15, 2 * 6 + 5 * 3) AS BIGINT) AS raw)""",
-        "graded", "boundary", "zone", n=40,
+        SELECT CAST((SELECT {_whole('s')} FROM graded) + (SELECT count(*) FROM cycle WHERE severity = 'direct') * 12 + (SELECT count(*) FROM violation WHERE severity = 'error') * 10 + (SELECT count(*) FROM boundary WHERE severity = 'error') * 10 + least(15, (SELECT count(*) FROM zone) * 2) + (SELECT count(*) FROM signal WHERE severity = 'high' AND confidence = 'high' AND maturity = 'stable') * 8 + least(22, (SELECT count(*) FROM module WHERE loc >= 960) * 12 + (SELECT count(*) FROM module WHERE loc >= 990) * 3) AS BIGINT) AS raw)""",
+        "graded", "boundary", "zone", "signal", "module", n=40, edges="edge",
     ),
     "briefing": _with(f"SELECT id, kind, {_SIX.format('w')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {_SIX.format('w')} DESC, id) AS place FROM ranked) WHERE place <= 2 ORDER BY {_SIX.format('w')} DESC, id LIMIT 6", "ranked", n=40).replace(f"{_SIX.format('w')} AS weight", "CAST(floor(w * 1000 + 0.5) AS DOUBLE) / 1000 AS weight"),
     "affected_areas": _with(f"SELECT {_AREA.format('id')} AS area, count(*) AS n, count(DISTINCT id) AS n_modules FROM (SELECT src AS id FROM violation UNION ALL SELECT dst FROM violation) GROUP BY ALL", "violation"),
@@ -116,7 +118,9 @@ MORE = {
     "search_prefixes": _with(f"SELECT id, {_SIX.format('CASE WHEN s > 0 THEN s ELSE 0.5 END')} AS score FROM (SELECT id, least(1.0, {_hit('blue')} / 0.5) AS s FROM searchable WHERE (contains(id, 'core') OR contains(id, 'shared')) AND kind = 'util' AND len(list_filter(exports, lambda x: contains(x, 'bolt'))) > 0) ORDER BY CASE WHEN s > 0 THEN s ELSE 0.5 END DESC, length(id), id LIMIT 100", "searchable"),
     "search_imports": _with("SELECT id, CAST(0.5 AS DOUBLE) AS score FROM module WHERE id IN (SELECT src FROM e WHERE contains(specifier, './1')) ORDER BY length(id), id LIMIT 1000", "module", "e"),
     "module_matches": _with("SELECT id FROM module WHERE contains(id, 'core/small/1') ORDER BY length(id), id LIMIT 25", "module"),
-    "discovery": _with("SELECT CASE WHEN path LIKE 'node_modules/%' THEN 'dir' WHEN regexp_matches(path, '^src/app/(.*/)?1[^/]*\\.ts$') THEN 'excluded' ELSE 'source' END AS why, count(*) AS n FROM (SELECT DISTINCT path FROM chunk_module) GROUP BY ALL", "chunk_module"),
+    "discovery": """
+        WITH p AS (SELECT p_partkey % 11 AS h, p_partkey % 9 AS t, ['src/','tests/','e2e/','out/','.storybook/','src/__snapshots__/','lib/.idea/','test/','.vercel/','src/__tests__/','src/app/'][CAST(p_partkey % 11 AS INTEGER) + 1] || ['a.ts','a.config.js','vite.config.ts','a.stories.vue','a.d.mts','a.spec.tsx','a.story.ts','1a.ts','eslint.config.tsx'][CAST(p_partkey % 9 AS INTEGER) + 1] AS path FROM part)
+        SELECT path, CASE WHEN h IN (3, 6) THEN 'dir' WHEN h IN (2, 4, 5, 9) OR t = 5 THEN 'test' WHEN t = 3 THEN 'story' WHEN t = 4 THEN 'types' WHEN t IN (2, 8) THEN 'config' WHEN h = 10 AND t = 7 THEN 'excluded' ELSE 'source' END AS why, count(*) AS n FROM p GROUP BY ALL""",
     "module_kinds": """
         WITH p AS (SELECT ['src/api/','src/model/','tests/','src/types/','src/utils/','src/theme/','src/services/','src/router/','src/'][CAST(p_partkey % 9 AS INTEGER) + 1] AS head, ['.ts','.vue','.test.ts','.config.js','Loader.ts','.server.ts','.client.tsx'][CAST(p_partkey % 7 AS INTEGER) + 1] AS tail FROM part)
         SELECT CASE WHEN head = 'tests/' OR tail = '.test.ts' THEN 'test' WHEN tail = '.config.js' THEN 'config' WHEN head = 'src/theme/' THEN 'style' WHEN tail = '.vue' THEN 'component'
@@ -125,13 +129,13 @@ MORE = {
     "line_counts": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines FROM documents",
     "import_resolution": _with("SELECT DISTINCT src, dst AS wanted, dst FROM edge UNION ALL SELECT DISTINCT src, NULL, NULL FROM edge", "edge"),
     "alias_resolution": _with("SELECT DISTINCT src, dst AS wanted, CASE WHEN dst LIKE 'src/app/%' OR dst LIKE 'src/core/%' THEN dst END AS dst FROM edge", "edge"),
-    "prefix_expansion": _with("SELECT DISTINCT a.id AS src, b.id AS dst FROM module a JOIN module b ON a.id <> b.id AND starts_with(b.id, regexp_extract(a.id, '^(src/[^/]+/[^/]+/)', 1)) WHERE a.ord % 200 = 1", "module"),
+    "prefix_expansion": _with("SELECT DISTINCT a.id AS src, b.id AS dst FROM module a JOIN module b ON a.id <> b.id AND starts_with(b.id, regexp_extract(a.id, '^(src/[^/]+/[^/]+/)', 1))", "module"),
     "glob_expansion": _with("SELECT 'src/app/main.ts' AS src, id AS dst FROM module WHERE regexp_matches(id, '^src/app/small/[^/]*\\.ts$') AND NOT regexp_matches(id, '^src/app/small/1[^/]*\\.ts$') UNION ALL SELECT 'src/core/all.ts', id FROM module WHERE regexp_matches(id, '^src/core/(.*/)?[^/]*7\\.ts$')", "module"),
     "name_registry": _with("SELECT DISTINCT e2.src, m.id AS dst FROM edge e2 JOIN module m ON regexp_extract(m.id, '([^/]*)\\.ts$', 1) = substr(e2.specifier, 3) WHERE m.id <> e2.src AND (e2.src, m.id) NOT IN (SELECT (src, dst) FROM edge WHERE kind = 'static')", "edge", "module"),
     "entry_points": _with("SELECT id AS rel_path FROM module WHERE regexp_matches(id, '^src/app/(.*/)?[^/]*5\\.ts$')", "module"),
     "page_links": "SELECT regexp_matches(s, '\\.(css|scss|sass|less|styl|svg|png|jpe?g|gif|webp|avif|ico|woff2?|ttf|otf|eot|mp[34]|webm|json|wasm|md|txt|html|graphql|gql)(\\?.*)?$') AS asset, NOT regexp_matches(s, '^(\\.|/|~/|@/|#)') AS external, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS s FROM pages) GROUP BY ALL",
     "parsed_sources": "SELECT 'src/' || p_partkey || '.ts' AS rel_path, CAST(6 AS BIGINT) AS loc, 'static:./' || p_name || ',type-only:./t,dynamic:./lazy' || p_size || CASE WHEN p_size % 2 = 0 THEN ',re-export:./all' ELSE ',side-effect:./side' END AS imports, lower(p_type) AS exports FROM part",
-    "git_log": "SELECT 'a@x.org' AS author, CASE WHEN l_linenumber % 4 = 0 THEN 'src/new/' ELSE 'src/' END || l_partkey || '.ts' AS path, CASE WHEN l_linenumber % 4 = 0 THEN 'src/old/' || l_partkey || '.ts' END AS renamed_from, count(*) AS n, CAST(sum(CASE WHEN l_linenumber <> 5 THEN CAST(trunc(l_quantity) AS BIGINT) END) AS BIGINT) AS added, CAST(sum(l_suppkey) AS BIGINT) AS removed FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY ALL",
+    "git_log": "SELECT 'a@x.org' AS author, CASE WHEN l_linenumber % 4 = 0 THEN 'src/new/' ELSE 'src/' END || l_partkey || '.ts' AS path, CASE WHEN l_linenumber % 4 = 0 THEN 'src/old/' || l_partkey || '.ts' END AS renamed_from, count(*) AS n, CAST(sum(CASE WHEN l_linenumber <> 5 THEN CAST(trunc(l_quantity) AS BIGINT) END) AS BIGINT) AS added, CAST(sum(l_suppkey) AS BIGINT) AS removed FROM lineitem GROUP BY ALL",
     "debounced_changes": "SELECT user_id AS watch_id, min(ts) AS started, count(*) AS n_events, string_agg(DISTINCT 'src/' || event_type || '.ts', ',' ORDER BY 'src/' || event_type || '.ts') AS paths FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY user_id, s",
     "incremental_edges": _with("SELECT 'edge' AS what, src, dst, specifier FROM edge WHERE src NOT IN (SELECT id FROM module WHERE ord % 10 = 7) AND dst NOT IN (SELECT id FROM module WHERE ord % 10 = 7) UNION ALL SELECT 'warning', src, '', specifier FROM edge WHERE src NOT IN (SELECT id FROM module WHERE ord % 10 = 7) AND dst IN (SELECT id FROM module WHERE ord % 10 = 7)", "edge", "module"),
 }

@@ -184,41 +184,18 @@ def matrix_by_layer(spark, d):
 
 @query
 def impact_risk(spark, d):
-    s = _scan(spark, d)
-    targets = s["modules"].where("ord % 100 = 0")
-    return views.impact(targets, graph.importers(s["edges"], targets), s["members"], s["violations"])
-
-
-@query
-def impact_risk_all(spark, d):
-    """``impact_risk`` of every module."""
     s = _scan(spark, d)
     return views.impact(s["modules"], graph.importers(s["edges"], s["modules"]), s["members"], s["violations"])
 
 
-@query
-def transitive_importers_all(spark, d):
-    """``transitive_importers`` of every module."""
-    modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
-    return graph.importers(edges, modules).select("source", "id")
-
-
-@query
-def bounded_impact_all(spark, d):
-    """``bounded_impact`` of every module by itself."""
-    modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
-    near = graph.importers(edges, modules, 3).select("source", "id", "distance").union(graph.reach(edges, modules, 3).select("source", "id", "distance"))
-    return near.where("source <> id").groupBy("source", "id").agg(F.min("distance").cast("long").alias("distance"))
-
-
-def _finding_modules(s):
-    return views.finding_modules(s["violations"].select(F.col("src").alias("id")), s["violations"].select(F.col("dst").alias("id")), s["members"])
+def _bound(s):
+    return rules.boundary_violations(s["edges"], BOUNDARIES)
 
 
 @query
 def ownership(spark, d):
     s = _scan(spark, d)
-    return views.ownership(s["metrics"], _finding_modules(s))
+    return views.ownership(s["metrics"], views.finding_modules(s["hot"], s["members"], s["violations"], _bound(s)))
 
 
 @query
@@ -232,7 +209,7 @@ def dead_code(spark, d):
 
 
 def _risks(s):
-    return views.module_risk(s["metrics"], s["members"], s["violations"], s["hot"])
+    return views.module_risk(s["metrics"], s["members"], s["violations"], _bound(s), s["hot"])
 
 
 @query
@@ -264,13 +241,13 @@ def rules_model(spark, d):
 
 @query
 def review_risk(spark, d):
+    """Without a baseline; the side-effect owners are those of ``hygiene``, the risks its modules of 990 lines and more."""
     s = _scan(spark, d)
     rings = graph.cycles(s["members"])
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    bound = rules.boundary_violations(s["edges"], BOUNDARIES)
-    parts = [metrics.arch_debt(s["metrics"], rings, s["violations"], s["hot"]).select(F.col("score").alias("debt")), n(rings.where("severity = 'direct'"), "direct_cycles"), n(s["violations"].where("severity = 'error'"), "layer_errors"), n(bound.where("severity = 'error'"), "contract_errors"), n(s["hot"], "hot_zones")]
-    one = reduce(DataFrame.crossJoin, parts).withColumns({c: F.lit(k) for k, c in enumerate(("ci_signals", "new_cycles", "resolved_cycles", "new_signals", "regressed_signals", "resolved_signals"))})
-    return views.review_risk(one)
+    debt = metrics.arch_debt(s["metrics"], rings, s["violations"], s["hot"]).select(F.col("score").alias("debt"))
+    blocking = _signals(s, s["edges"]).withColumns({"suppressed": F.lit(False), "status": F.lit("active")}).where(recommend.can_fail_ci("high"))
+    big = s["modules"].where("loc >= 960")
+    return views.review_risk(views.review_parts(debt, rings, s["violations"], _bound(s), blocking, s["hot"], big, big.where("loc >= 990")))
 
 
 @query
@@ -354,16 +331,13 @@ def module_matches(spark, d):
 
 @query
 def discovery(spark, d):
-    paths = data.chunk_modules(spark, d).select(F.col("path").alias("rel_path")).distinct()
-    return paths.select(F.coalesce(files.skipped(F.col("rel_path"), ["src/app/**/1*.ts"]), F.lit("source")).alias("why")).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _paths(spark, d):
-    """Names that show every branch of the classifiers, made of the parts' names."""
-    p = data.table(spark, d, "part")
-    head = F.element_at(F.array(*map(F.lit, ("src/api/", "src/model/", "tests/", "src/types/", "src/utils/", "src/theme/", "src/services/", "src/router/", "src/"))), (F.col("p_partkey") % 9 + 1).cast("int"))
-    tail = F.element_at(F.array(*map(F.lit, (".ts", ".vue", ".test.ts", ".config.js", "Loader.ts", ".server.ts", ".client.tsx"))), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return p.select("p_partkey", F.concat(head, F.replace("p_name", F.lit(" "), F.lit("-")), tail).alias("path"))
+    """Paths in 11 folders with 9 kinds of names, and whether they are source."""
+    heads = ("src/", "tests/", "e2e/", "out/", ".storybook/", "src/__snapshots__/", "lib/.idea/", "test/", ".vercel/", "src/__tests__/", "src/app/")
+    tails = ("a.ts", "a.config.js", "vite.config.ts", "a.stories.vue", "a.d.mts", "a.spec.tsx", "a.story.ts", "1a.ts", "eslint.config.tsx")
+    key = F.col("p_partkey")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    paths = data.table(spark, d, "part").select(F.concat(pick(heads), pick(tails)).alias("path"))
+    return paths.select("path", F.coalesce(files.skipped(F.col("path"), ["src/app/**/1*.ts"]), F.lit("source")).alias("why")).groupBy("path", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -406,12 +380,6 @@ def _prefixes(spark, d, modules):
 
 @query
 def prefix_expansion(spark, d):
-    return _prefixes(spark, d, data.modules(spark, d).where("ord % 200 = 1"))
-
-
-@query
-def prefix_expansion_all(spark, d):
-    """``prefix_expansion`` of every module."""
     return _prefixes(spark, d, data.modules(spark, d))
 
 
@@ -455,16 +423,7 @@ def parsed_sources(spark, d):
 @query
 def git_log(spark, d):
     """A log written from orders and line items, read back."""
-    return _log(data.table(spark, d, "lineitem").where("l_orderkey % 7 = 0"))
-
-
-@query
-def git_log_all(spark, d):
-    """``git_log`` of all line items."""
-    return _log(data.table(spark, d, "lineitem"))
-
-
-def _log(items: DataFrame) -> DataFrame:
+    items = data.table(spark, d, "lineitem")
     name = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("src/{old => new}/"), F.col("l_partkey").cast("string"), F.lit(".ts"))).otherwise(F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), F.lit(".ts")))
     line = F.concat_ws("\t", F.when(F.col("l_linenumber") == 5, "-").otherwise(F.col("l_quantity").cast("long").cast("string")), F.col("l_suppkey").cast("string"), name)
     lines = items.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))

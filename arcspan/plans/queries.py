@@ -25,7 +25,7 @@ BUDGETS = [
 ]
 OVERRIDES = {"src/core/small/**": "shared", "*.vue": "pages", "src/app/large/": "entities"}
 COUPLING = {"min_co": 20, "min_score": 0.02, "max_pairs": 200, "fan_out_cap": 8}
-GATES = ["grade:C", "cycles:any", "layer-violations:>100", "contract-violations:5000", "contract-errors:>=1"]
+GATES = ["grade:C", "cycles:any", "cycles:0", "layer-violations:>100", "contract-violations:5000", "contract-errors:>=1"]
 
 QUERIES: dict = {}
 
@@ -164,13 +164,15 @@ def runtime_leaks(spark, d):
 @query
 def transitive_importers(spark, d):
     modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
-    return graph.importers(edges, modules.where("ord % 400 = 0")).select("source", "id")
+    return graph.importers(edges, modules).select("source", "id")
 
 
 @query
 def bounded_impact(spark, d):
+    """Of every module by itself: what it reaches or is reached from in three steps."""
     modules, edges = data.modules(spark, d), written(data.edges(spark, d), "edges")
-    return graph.impact(edges, modules.where("ord % 250 = 0"), 3).select("id", F.col("distance").cast("long").alias("distance"))
+    near = graph.importers(edges, modules, 3).select("source", "id", "distance").union(graph.reach(edges, modules, 3).select("source", "id", "distance"))
+    return near.where("source <> id").groupBy("source", "id").agg(F.min("distance").cast("long").alias("distance"))
 
 
 @query

@@ -9,16 +9,17 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, rules
+from ..operators import graph, recommend, rules
 from . import views
-from .scan import Scan
+from .scan import Scan, compared
 
 SCHEMA_VERSION = 1
+LISTED = 50  # lines of a table in the Markdown report, which says how many there are
 
 
-def _rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    """At most ``limit`` rows for a reader; tables of any size are written with ``DataFrame.write``."""
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def _rows(df: DataFrame) -> list[dict]:
+    """All rows of a table of findings, partition by partition."""
+    return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
 
 def summary(scan: Scan) -> dict:
@@ -36,8 +37,10 @@ def as_markdown(scan: Scan) -> str:
     out = ["# Architecture report", "", f"Grade **{s['debt']['grade']}** ({s['debt']['score']} of 100)", "", "| | |", "|-|-|"]
     out += [f"| {k.replace('_', ' ')} | {v} |" for k, v in s.items() if k != "debt"]
     for title, table, line in (("Cycles", scan.cycles, lambda r: f"- {r['severity']}: {' → '.join(r['modules'])}"), ("Layer violations", scan.violations, lambda r: f"- {r['severity']}: `{r['src']}` → `{r['dst']}`"), ("Recommendations", scan.recommendations, lambda r: f"- {r['kind']} ({r['weight']:.2f}): {', '.join(r['modules'])}")):
-        if rows := _rows(table, 50):
-            out += ["", f"## {title}", "", *map(line, rows)]
+        if rows := [r.asDict(recursive=True) for r in table.limit(LISTED + 1).collect()]:
+            out += ["", f"## {title}", "", *map(line, rows[:LISTED])]
+            if len(rows) > LISTED:
+                out += ["", f"The first {LISTED} of {table.count()}; the JSON report has all."]
     return "\n".join(out) + "\n"
 
 
@@ -68,8 +71,8 @@ def explain(scan: Scan, what: str) -> dict:
     return {"module": rows[0], "imports": _rows(near.where(F.col("src") == what).select("dst", "kind")), "importers": _rows(near.where(F.col("dst") == what).select("src", "kind")), "impact": _rows(views.impact(one, graph.importers(scan.edges, one), scan.members, scan.violations)), "findings": _rows(scan.recommendations.where(F.array_contains("modules", what)))}
 
 
-def check(scan: Scan, gates: list[str]) -> tuple[int, list[dict]]:
-    """0 if all gates hold, 1 if one fails, 2 if one can't be read."""
+def check(scan: Scan, gates: list[str], before: Scan | None = None) -> tuple[int, list[dict]]:
+    """0 if all gates hold, 1 if one fails, 2 if one can't be read. Without ``before`` nothing counts as new."""
     try:
         for g in gates:
             rules.parse_gate(g)
@@ -77,8 +80,21 @@ def check(scan: Scan, gates: list[str]) -> tuple[int, list[dict]]:
         return 2, [{"gate": str(e), "actual": None, "failed": True}]
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     one = scan.debt.select("grade")
-    for df, name in ((scan.cycles, "cycles"), (scan.violations, "layer_violations"), (scan.contracts, "contract_violations"), (scan.contracts.where("severity = 'error'"), "contract_errors"), (scan.recommendations, "recommendations"), (scan.signals, "signals")):
+    for df, name in ((scan.cycles, "cycles"), (scan.violations, "layer_violations"), (scan.contracts, "contract_violations"), (scan.contracts.where("severity = 'error'"), "contract_errors"), (scan.recommendations, "recommendations")):
         one = one.crossJoin(n(df, name))
-    one = one.withColumns({c: F.lit(0).cast("long") for c in ("bundle_bloat", "new_cycles", "new_layer_violations", "new_contract_violations", "new_signals", "regressed_signals")})
+    active = scan.signals.withColumns({"suppressed": F.lit(False), "status": F.lit("active")})
+    severities = rules.BY_SEVERITY["signals"]
+    count = lambda where, name: F.coalesce(F.sum(F.when(where, 1)), F.lit(0)).cast("long").alias(name)
+    one = one.crossJoin(active.agg(*(count(recommend.can_fail_ci(s), f"signals_{s}") for s in severities)))
+    zero = [f"bundle_bloat_{s}" for s in rules.BY_SEVERITY["bundle-bloat"]]
+    if before is None:
+        zero += ["new_cycles", "new_layer_violations", "new_contract_violations", *(f"{k}_signals_{s}" for k in ("new", "regressed") for s in severities)]
+    else:
+        found = compared(before, scan)
+        one = one.crossJoin(found.agg(*(count((F.col("what") == w) & (F.col("change") == "new"), f"new_{w}") for w in ("cycles", "layer_violations", "contract_violations"))))
+        status = recommend.lifecycle(before.signals, scan.signals).select("stable_key", F.col("status").alias("now")).distinct()
+        aged = active.join(status, "stable_key")
+        one = one.crossJoin(aged.agg(*(count((F.col("now") == k) & recommend.can_fail_ci(s), f"{k}_signals_{s}") for k in ("new", "regressed") for s in severities)))
+    one = one.withColumns({c: F.lit(0).cast("long") for c in zero})
     rows = _rows(rules.gates(one, gates))
     return int(any(r["failed"] for r in rows)), rows

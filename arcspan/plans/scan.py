@@ -56,9 +56,7 @@ def link(sources: DataFrame, config: Config, aliases: list[tuple[str, str]], fra
     order = lambda df: df.withColumn("ord", F.concat_ws("|", "src", F.lpad(F.col("n").cast("string"), 6, "0"), "dst"))
     edges = order(direct).select("ord", "src", "dst", "kind", "specifier", F.lit(True).alias("resolved"), "confidence")
     low = lambda df, n: order(df.withColumn("n", F.lit(n))).select("ord", "src", "dst", F.lit("dynamic").alias("kind"), F.col("dst").alias("specifier"), F.lit(True).alias("resolved"), F.lit("low").alias("confidence"))
-    globs = [(r.src, r.specifier) for r in wanted.where("kind = 'glob'").select("src", "specifier").limit(10_000).collect()]  # patterns of the code
-    if globs:
-        edges = edges.union(low(resolve.expanded_globs(globs, known), 900_000))
+    edges = edges.union(low(resolve.expanded_globs(wanted.where("kind = 'glob'").select("src", F.col("specifier").alias("pattern")), known), 900_000))
     prefixes = wanted.where("kind = 'dynamic' AND approximate AND specifier LIKE '.%/%'").select("src", F.col("specifier").alias("prefix"))
     edges = edges.union(low(resolve.expanded_prefixes(prefixes, known), 900_001))
     uses = parsed.select(path.alias("src"), F.explode(F.concat("tags", "calls") if framework == "nuxt" else F.col("tags")).alias("name"))
@@ -89,7 +87,7 @@ def measured(modules: DataFrame, edges: DataFrame, warnings: DataFrame, config:
     parts = [recommend.god_modules(m), recommend.unused_utilities(m, entries), recommend.from_cycles(rings, shapes), recommend.misplaced(modules, edges), recommend.from_isolated(graph.isolated(modules, edges, entries)), recommend.top_violators(violations), recommend.from_contracts(contracts)]
     recs = written(recommend.ranked(parts, hot), "recommendations")
     unsure = edges.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("kind") == "dynamic").alias("n_approximate"), F.count_if(F.col("confidence") == "low").alias("n_low"))
-    return Scan(modules, edges, members, rings.withColumn("id", cycle_id(F.col("modules"))), m, violations, contracts, leaks, hot, metrics.arch_debt(m, rings, violations, hot), breaks, recs, recommend.signals(recs, unsure), views.module_risk(m, members, violations, hot), warnings)
+    return Scan(modules, edges, members, rings.withColumn("id", cycle_id(F.col("modules"))), m, violations, contracts, leaks, hot, metrics.arch_debt(m, rings, violations, hot), breaks, recs, recommend.signals(recs, unsure), views.module_risk(m, members, violations, contracts, hot), warnings)
 
 
 def compared(before: Scan, after: Scan) -> DataFrame:
@@ -97,6 +95,8 @@ def compared(before: Scan, after: Scan) -> DataFrame:
     names = lambda s: s.cycles.select(F.array_join("modules", ",").alias("members"))
     out = diff.modules(before.modules, after.modules).select(F.lit("modules").alias("what"), F.col("id").alias("key"), "change")
     out = out.union(diff.keyed(names(before), names(after), "members", "cycles")).union(diff.keyed(before.violations, after.violations, "edge_id", "layer_violations"))
+    contract = lambda s: s.contracts.select(F.concat_ws("|", "rule", "src", "dst").alias("key"))
+    out = out.union(diff.keyed(contract(before), contract(after), "key", "contract_violations"))
     return out.union(recommend.lifecycle(before.signals, after.signals).select(F.lit("signals"), "stable_key", "status"))
 
 

@@ -46,8 +46,8 @@ def diff(before: Scan, after: Scan) -> DataFrame:
     return differ.summary(compared(before, after))
 
 
-def check(scan: Scan, gates: list[str]):
-    return report.check(scan, gates)
+def check(scan: Scan, gates: list[str], before: Scan | None = None):
+    return report.check(scan, gates, before)
 
 
 ci = check
@@ -84,7 +84,7 @@ def explain(scan: Scan, what: str) -> dict:
 
 
 def ownership(scan: Scan) -> DataFrame:
-    return views.ownership(scan.metrics, views.finding_modules(scan.violations.select(F.col("src").alias("id")), scan.members))
+    return views.ownership(scan.metrics, views.finding_modules(scan.hot, scan.members, scan.violations, scan.contracts))
 
 
 def semantic(scan: Scan) -> DataFrame:

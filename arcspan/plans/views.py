@@ -69,20 +69,20 @@ def matrix(edges: DataFrame, members: DataFrame, violations: DataFrame, grouping
 
 
 def impact(target: DataFrame, importers: DataFrame, members: DataFrame, violations: DataFrame) -> DataFrame:
-    """Per target: affected modules, cycles and violations they touch, and the risk of a change."""
-    scope = importers.select("source", "id").union(target.select(F.col("id").alias("source"), "id"))
-    n = importers.groupBy("source").agg(F.count_distinct("id").alias("affected"))
-    rings = scope.join(members, "id").groupBy("source").agg(F.count_distinct("comp").alias("cycles"))
-    ends = violations.select("edge_id", "ord", F.explode(F.array("src", "dst")).alias("id"))
-    bad = scope.join(ends, "id").groupBy("source").agg(F.count_distinct("edge_id", "ord").alias("violations"))
-    rows = target.select(F.col("id").alias("source")).join(n, "source", "left").join(rings, "source", "left").join(bad, "source", "left").na.fill(0)
+    """Per target: modules that import it over any number of steps, its own cycles and layer violations, and the risk of a change."""
+    source = F.col("id").alias("source")
+    n = importers.where("id <> source").groupBy("source").agg(F.count_distinct("id").alias("affected"))
+    rings = members.groupBy(source).agg(F.count_distinct("comp").alias("cycles"))
+    bad = violations.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy(source).agg(F.count(F.lit(1)).alias("violations"))
+    rows = target.select(source).join(n, "source", "left").join(rings, "source", "left").join(bad, "source", "left").na.fill(0)
     risk = F.when((F.col("cycles") > 0) | (F.col("violations") > 1) | (F.col("affected") >= 10), "high").when((F.col("violations") > 0) | (F.col("affected") >= 3), "medium").otherwise("low")
     return rows.withColumn("risk", risk)
 
 
-def finding_modules(*frames: DataFrame) -> DataFrame:
-    """Distinct modules of findings given as frames with ``id``."""
-    return reduce(DataFrame.union, [f.select("id") for f in frames]).distinct()
+def finding_modules(hot: DataFrame, members: DataFrame, *violations: DataFrame) -> DataFrame:
+    """Distinct modules of hot zones, cycles, and both ends of layer and contract violations."""
+    ends = [v.select(F.explode(F.array("src", "dst")).alias("id")) for v in violations]
+    return reduce(DataFrame.union, [hot.select("id"), members.select("id"), *ends]).where("id IS NOT NULL").distinct()
 
 
 def ownership(metrics: DataFrame, findings: DataFrame) -> DataFrame:
@@ -111,10 +111,11 @@ def dead_code(metrics: DataFrame) -> DataFrame:
     return rows.select("id", "loc", "kind", F.when(script, "script-entry").otherwise("isolated").alias("group"))
 
 
-def module_risk(metrics: DataFrame, members: DataFrame, violations: DataFrame, hot: DataFrame) -> DataFrame:
-    """``metrics`` with ``cycle_count, violation_count, risk``."""
+def module_risk(metrics: DataFrame, members: DataFrame, violations: DataFrame, contracts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``metrics`` with ``cycle_count, violation_count, risk``; violations are those of layers, at each end, and of contracts, once a module."""
     rings = members.groupBy("id").agg(F.count_distinct("comp").alias("cycle_count"))
-    bad = violations.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("violation_count"))
+    ends = violations.select(F.explode(F.array("src", "dst")).alias("id")).union(contracts.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")))
+    bad = ends.groupBy("id").agg(F.count(F.lit(1)).alias("violation_count"))
     rows = metrics.join(rings, "id", "left").join(bad, "id", "left").join(hot.select("id", F.lit(1).alias("is_hot")), "id", "left").na.fill(0, ["cycle_count", "violation_count", "is_hot"])
     return rows.withColumn("risk", half_up(F.col("hotness") + F.col("coupling") + F.col("fan_in") + F.col("fan_out") + F.col("cycle_count") * 12 + F.col("violation_count") * 10 + F.col("is_hot") * 10))
 
@@ -149,10 +150,35 @@ def rules_model(layers: DataFrame, contracts: DataFrame) -> DataFrame:
     return a.union(b).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_modules"))
 
 
+#: A review's figures that need an older scan.
+BASELINE = ("new_cycles", "resolved_cycles", "new_signals", "regressed_signals", "resolved_signals")
+
+
+def review_parts(debt: DataFrame, cycles: DataFrame, violations: DataFrame, contracts: DataFrame, signals: DataFrame, hot: DataFrame, owners: DataFrame, risks: DataFrame, baseline: dict[str, int] | None = None) -> DataFrame:
+    """One row for :func:`review_risk`: what concerns modules that a review looks at.
+
+    ``signals`` are those that may fail a build at ``high``; ``owners`` and ``risks`` hold an ``id`` of modules with
+    side effects that need a review, and of memory and asynchronous risks.
+    """
+    some = lambda ids: F.exists(ids, is_review)
+    ends = F.array("src", "dst")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        n(cycles.where(some(F.col("modules")) & (F.col("severity") == "direct")), "direct_cycles"), n(violations.where(is_review(F.col("src")) & is_review(F.col("dst")) & (F.col("severity") == "error")), "layer_errors"),
+        n(contracts.where(some(ends) & (F.col("severity") == "error")), "contract_errors"), n(signals.where(some(F.col("modules"))), "ci_signals"), n(hot.where(is_review(F.col("id"))), "hot_zones"),
+        n(owners.where(is_review(F.col("id"))), "lifecycle_owners"), n(risks, "lifecycle_risks"),
+    ]
+    one = reduce(DataFrame.crossJoin, [debt.select("debt"), *parts])  # one row each
+    return one.withColumns({c: F.lit((baseline or {}).get(c, 0)) for c in BASELINE})
+
+
 def review_risk(parts: DataFrame) -> DataFrame:
-    """Score and level from a row ``debt, direct_cycles, layer_errors, contract_errors, ci_signals, hot_zones, new_cycles, resolved_cycles, new_signals, regressed_signals, resolved_signals``."""
+    """Score and level from a row ``debt, direct_cycles, layer_errors, contract_errors, ci_signals, hot_zones, lifecycle_owners, lifecycle_risks, new_cycles, resolved_cycles, new_signals, regressed_signals, resolved_signals``.
+
+    :func:`review_parts` counts them; without a baseline the last five are 0.
+    """
     c = F.col
-    raw = c("debt") + c("direct_cycles") * 12 + c("layer_errors") * 10 + c("contract_errors") * 10 + c("ci_signals") * 8 + F.least(F.lit(15), c("hot_zones") * 2)
+    raw = c("debt") + c("direct_cycles") * 12 + c("layer_errors") * 10 + c("contract_errors") * 10 + c("ci_signals") * 8 + F.least(F.lit(15), c("hot_zones") * 2) + F.least(F.lit(22), c("lifecycle_owners") * 12 + c("lifecycle_risks") * 3)
     raw = raw + c("new_cycles") * 15 + c("regressed_signals") * 10 + c("new_signals") * 5 - F.least(F.lit(15), c("resolved_cycles") * 6 + c("resolved_signals") * 3)
     score = F.greatest(F.lit(0), F.least(F.lit(100), raw)).cast("long")
     return parts.select(raw.cast("long").alias("raw"), score.alias("score"), F.when(score >= 80, "critical").when(score >= 55, "high").when(score >= 25, "medium").otherwise("low").alias("level"))

@@ -9,8 +9,9 @@ from ..functions.globs import glob_regex
 
 # Extensions, folders never read, and names that are not product code.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte")
-SKIPPED_DIRS = ("node_modules", "dist", "build", "coverage", ".git", ".nuxt", ".next", ".output", ".svelte-kit", ".cache", ".turbo", ".vercel")
-TEST_DIRS = ("__tests__", "__mocks__", "__fixtures__", "tests", "test", "e2e", "cypress", "playwright")
+SKIPPED_DIRS = ("node_modules", ".git", "dist", "build", "out", ".cache", ".next", ".nuxt", "coverage", ".turbo", ".svelte-kit", ".output", ".idea", ".vscode")
+TEST_DIRS = ("__tests__", "__mocks__", "__snapshots__", "cypress", "playwright", "e2e", ".storybook")
+TOOLS = ("vite", "vitest", "rollup", "webpack", "esbuild", "jest", "cypress", "playwright", "tailwind", "postcss", "svgo", "babel", "eslint", "prettier", "stylelint", "tsup", "rolldown", "nuxt", "astro")
 MAX_CHARS = 1_000_000
 
 
@@ -29,8 +30,9 @@ def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
 def skipped(path: Column, exclude: list[str] | None = None) -> Column:
     """Why a file is left out: ``dir, test, story, types, config, excluded``; null for source files."""
     why = F.when(path.rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS) + ")/"), "dir")
-    why = why.when(path.rlike("(^|/)(" + "|".join(TEST_DIRS) + r")/|\.(test|spec)\.[cm]?[jt]sx?$"), "test")
-    why = why.when(path.rlike(r"\.(stories|story)\.[cm]?[jt]sx?$"), "story").when(path.rlike(r"\.d\.[cm]?ts$"), "types").when(path.rlike(r"\.config\.[cm]?[jt]s$"), "config")
+    why = why.when(path.rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in TEST_DIRS) + r")/|\.(test|spec)\.[cm]?[jt]sx?$"), "test")
+    why = why.when(path.rlike(r"\.stories\.([cm]?[jt]sx?|vue)$"), "story").when(path.rlike(r"\.d\.[cm]?ts$"), "types")
+    why = why.when(path.rlike("(^|/)(" + "|".join(TOOLS) + r")\.config\.[cm]?[jt]sx?$"), "config")
     for g in exclude or ():
         why = why.when(path.rlike(glob_regex(g)), "excluded")
     return why

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from arcspan.functions.globs import glob_regex, ignore_regex, ignored
 from arcspan.functions.values import fnv1a, half_up
 from arcspan.operators import bundle, cycles, diff, graph, history, metrics, recommend, rules
+from arcspan.plans import views
+from arcspan.sources import files
 
 
 def edges(spark, pairs, kind="static"):
@@ -169,12 +171,55 @@ def test_layers(spark):
 
 
 def test_gates():
-    assert rules.parse_gate("cycles:any") == ("cycles", ">=", 1) and rules.parse_gate("grade:c") == ("grade", ">=", "C") and rules.parse_gate("signals:>3") == ("signals", ">", 3)
-    for bad in ("cycles", "grade:Z", "nothing:1", "cycles:x"):
+    assert rules.parse_gate("cycles:any") == ("cycles", ">", 0) and rules.parse_gate("grade:c") == ("grade", ">=", "C") and rules.parse_gate("cycles:>3") == ("cycles", ">", 3)
+    assert rules.parse_gate("signals:High") == ("signals-high", ">", 0) and rules.parse_gate("bundle-bloat:low") == ("bundle-bloat-low", ">", 0)
+    for bad in ("cycles", "grade:Z", "nothing:1", "cycles:x", "signals:3", "bundle-bloat:critical"):
         with pytest.raises(ValueError):
             rules.parse_gate(bad)
 
 
+def test_gates_fail_above_their_count(spark):
+    one = spark.createDataFrame([("B", 0, 2, 1)], "grade string, cycles long, layer_violations long, signals_high long")
+    got = {r.gate: r.failed for r in rules.gates(one, ["grade:C", "grade:B", "cycles:0", "cycles:any", "layer-violations:2", "layer-violations:1", "layer-violations:>=2", "signals:high"]).collect()}
+    assert got == {"grade:C": False, "grade:B": True, "cycles:0": False, "cycles:any": False, "layer-violations:2": False, "layer-violations:1": True, "layer-violations:>=2": True, "signals:high": True}
+
+
+def test_impact_counts_the_target_alone(spark):
+    # d imports c imports b imports a; b and c are a cycle, d breaks a layer rule twice
+    target = spark.createDataFrame([("a",), ("b",), ("d",)], "id string")
+    importers = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "b"), ("b", "c"), ("b", "d")], "source string, id string")
+    members = spark.createDataFrame([("b", "b"), ("c", "b")], "id string, comp string")
+    bad = spark.createDataFrame([("e1", 1, "d", "c"), ("e2", 2, "d", "x")], "edge_id string, ord long, src string, dst string")
+    got = {r.source: (r.affected, r.cycles, r.violations, r.risk) for r in views.impact(target, importers, members, bad).collect()}
+    assert got == {"a": (3, 0, 0, "medium"), "b": (2, 1, 0, "high"), "d": (0, 0, 2, "high")}
+
+
+def test_risk_counts_contracts_once_a_module(spark):
+    m = spark.createDataFrame([("src/a.ts", 1.0, 2.0, 1, 1), ("src/b.ts", 0.0, 0.0, 0, 0)], "id string, hotness double, coupling double, fan_in long, fan_out long")
+    pairs = lambda *x: spark.createDataFrame(x, "src string, dst string")
+    got = {r.id: (r.violation_count, r.risk) for r in views.module_risk(m, spark.createDataFrame([("src/b.ts", "x")], "id string, comp string"), pairs(("src/a.ts", "src/b.ts")), pairs(("src/a.ts", "src/a.ts"), ("src/b.ts", None)), m.where("fan_in = 1")).collect()}
+    assert got == {"src/a.ts": (2, 1 + 2 + 1 + 1 + 20 + 10), "src/b.ts": (2, 12 + 20)}
+    found = views.finding_modules(spark.createDataFrame([("h",)], "id string"), spark.createDataFrame([("c",)], "id string"), pairs(("v", "w")), pairs(("x", "w"), ("y", None)))
+    assert sorted(r.id for r in found.collect()) == ["c", "h", "v", "w", "x", "y"]
+
+
+def test_review_risk_by_hand(spark):
+    names = "debt double, direct_cycles long, layer_errors long, contract_errors long, ci_signals long, hot_zones long, lifecycle_owners long, lifecycle_risks long, new_cycles long, resolved_cycles long, new_signals long, regressed_signals long, resolved_signals long"
+    row = lambda *x: tuple(views.review_risk(spark.createDataFrame([x], names)).first())[1:]
+    assert row(10.0, 1, 0, 0, 0, 3, 1, 2, 0, 0, 0, 0, 0) == (10 + 12 + 6 + 18, "medium")
+    assert row(0.0, 0, 1, 1, 1, 20, 2, 5, 1, 1, 1, 1, 1) == (10 + 10 + 8 + 15 + 22 + 15 + 5 + 10 - 9, "critical")
+    assert row(0.0, 0, 0, 0, 0, 0, 0, 0, 0, 9, 0, 0, 9) == (0, "low")
+
+
+def test_what_discovery_leaves_out(spark):
+    want = {
+        "src/a.ts": None, "src/app.config.ts": None, "vite.config.mts": "config", "x/eslint.config.js": "config", "test/a.ts": None, "tests/a.ts": None, "src/__fixtures__/a.ts": None, ".vercel/a.ts": None, "out/a.ts": "dir", ".idea/a.ts": "dir",
+        ".vscode/a.js": "dir", "a/__snapshots__/b.ts": "test", ".storybook/main.ts": "test", "e2e/a.ts": "test", "a.spec.mts": "test", "B.stories.vue": "story", "b.stories.tsx": "story", "b.story.ts": None, "a.d.ts": "types", "a.d.cts": "types",
+    }
+    rows = spark.createDataFrame([(p,) for p in want], "path string").select("path", files.skipped(F.col("path")).alias("why")).collect()
+    assert {r.path: r.why for r in rows} == want
+
+
 def test_coupling(spark):
     rows = [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), ("3", "a"), ("3", "b"), ("4", "a"), ("5", "c")]
     changes = spark.createDataFrame([(s, p, None, 1, None) for s, p in rows], "sha string, path string, renamed_from string, added long, removed long")

@@ -33,29 +33,28 @@ def graph(spark, sf):
 def test_reach_of_every_module(spark, sf):
     ids, down, up = graph(spark, sf)
     want = {k for k in ways(up) if k[0] in ids} | {(i, i) for i in ids}
-    got = {tuple(r) for r in entry.queries()["transitive_importers_all"](spark, sf).collect()}
+    got = {tuple(r) for r in entry.queries()["transitive_importers"](spark, sf).collect()}
     assert got | {(i, i) for i in ids} == want and len({s for s, _ in got}) > len(ids) / 100
     far = defaultdict(lambda: 9)
     for found in (ways(up, 3), ways(down, 3)):
         for k, n in found.items():
             far[k] = min(far[k], n)
     want = {(*k, n) for k, n in far.items() if n and k[0] in ids}
-    assert sorted(map(tuple, entry.queries()["bounded_impact_all"](spark, sf).collect())) == sorted(want)
+    assert sorted(map(tuple, entry.queries()["bounded_impact"](spark, sf).collect())) == sorted(want)
 
 
 def test_risk_of_every_module(spark, sf):
     ids, _, up = graph(spark, sf)
     n = Counter(s for s, i in ways(up) if s != i)
-    got = entry.queries()["impact_risk_all"](spark, sf).collect()
-    part = {tuple(r) for r in entry.queries()["impact_risk"](spark, sf).collect()}
-    assert sorted(r.source for r in got) == sorted(ids) and part <= {tuple(r) for r in got}
-    assert all(abs(r.affected - n[r.source]) <= 1 for r in got)  # a module in a cycle reaches itself
+    got = entry.queries()["impact_risk"](spark, sf).collect()
+    assert sorted(r.source for r in got) == sorted(ids)
+    assert all(r.affected == n[r.source] for r in got)
 
 
 def test_prefixes_of_every_module(spark, sf):
     ids, *_ = graph(spark, sf)
     want = {(a, b) for a in ids for b in ids if a != b and a.split("/")[:3] == b.split("/")[:3]}
-    assert {tuple(r) for r in entry.queries()["prefix_expansion_all"](spark, sf).collect()} == want
+    assert {tuple(r) for r in entry.queries()["prefix_expansion"](spark, sf).collect()} == want
 
 
 def test_log_of_all_line_items(spark, sf):
@@ -66,5 +65,5 @@ def test_log_of_all_line_items(spark, sf):
         at[0] += 1
         at[1] += 0 if r.l_linenumber == 5 else int(r.l_quantity)
         at[2] += r.l_suppkey
-    got = {(r.author, r.path, r.renamed_from): [r.n, r.added or 0, r.removed] for r in entry.queries()["git_log_all"](spark, sf).collect()}
+    got = {(r.author, r.path, r.renamed_from): [r.n, r.added or 0, r.removed] for r in entry.queries()["git_log"](spark, sf).collect()}
     assert got == dict(want)
