@@ -307,7 +307,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     keys, values = placements(plan(counts, capacity))
     shared = docs.sparkSession.sparkContext.broadcast((keys, values))  # bounded by the lengths there are
-    ranked = rows.join(before.drop("n"), ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = rows.join(before.drop("n").hint("merge"), ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
