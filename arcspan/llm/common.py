@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Long texts make large batches, of which a task has several copies (JVM, Arrow, Python).
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
+
+
 def held_out(key: str, folds: int, fold: int) -> Column:
     """The column that tells the rows no label may be learnt from: crc32 of the key as text, mod ``folds``."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(False))
@@ -44,12 +48,30 @@ def trimmed() -> None:
         libc.malloc_trim(0)
 
 
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The one large object a Python worker keeps between batches and tasks; another key's takes its place.
+
+    ``key`` is compared by identity and held, so another one can't take its place unseen.
+    """
+    if not _held or _held[0][0] is not key:
+        _held.clear()
+        trimmed()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with one output batch for each input batch."""
+    """``mapInArrow`` with one output batch for each input batch; the session's batches are held to ``BATCH_BYTES``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,6 +22,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_batch, written
+from .common import as_bytes, by_batch, held, written
 
 CAPACITY, END = 4096, 1
 SLICE = 1 << 22
@@ -157,13 +158,8 @@ _MEET = [(a, b) for a in range(4) for b in range(4)]
 _BEGINS = np.array([b > 0 and (a == 0 or {a, b} == {1, 2}) for a, b in _MEET])
 _ENDS = np.array([a > 0 and (b == 0 or {a, b} == {1, 2}) for a, b in _MEET])
 _BLANKS = bytes(32 if c in b"\t\n\r" else c for c in range(256))
-_loaded: dict[str, Words] = {}
-
-
 def _words(path: str) -> Words:
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    return held(sys.intern(path), lambda: Words(path))
 
 
 def _path(tokenizer: str) -> str:
