@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_batch, dropped, written
 
 WIDTH, GRAM, LONGEST_RUN, CHUNK = 200, 16, 256, 1 << 19
-HOT = 1 << 13  # contents of a mark that are sorted together at most: under four megabytes
+HOT = 1 << 14  # contents of a mark that are sorted together at most: under eight megabytes
 FILL = 1 << 19  # bytes of small groups that share a sort
 LENGTH_BITS = 10  # an interval is its start and, in the lowest bits, its length
 
