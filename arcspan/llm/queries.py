@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dominance
 from . import license as lic
 from . import mixing, packing, pii, quality, rules, simhash, suffixes, toxicity, webp
 from .common import table, written
@@ -72,7 +73,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op2_webp, op3_simhash, op4_toxicity, op5_suffixes, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality, rule_ablations)}
+def op11_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dominance.dominated(table(spark, sf_dir, "sales"), "sale_id", "sold_at", "total")
+    return rows.withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license, op2_webp, op3_simhash, op4_toxicity, op5_suffixes, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality,
+        op11_dominance, rule_ablations,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -154,4 +166,15 @@ SELECT doc_id, {leaf}, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(CASE WHEN
     return ",".join(parts)
 
 
-ORACLE = {"op1_license": _license_sql(), "op6_rules": _RULES_SQL, "rule_ablations": _ablations_sql(), "op8_mixing": _mixing_sql()}
+#: DuckDB has no crc32: its table from the polynomial, then one step a byte.
+_DOMINANCE_SQL = """
+WITH steps AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+coded AS (SELECT sale_id, CAST(floor(epoch(sold_at) / 3600) AS BIGINT) AS slot, CAST(floor(floor(100 * total + 0.5) / 100) AS BIGINT) AS level,
+  list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM sales),
+placed AS (SELECT sale_id, slot, level, 1 + coalesce(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 2, 0) AS w FROM coded, steps),
+points AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM placed WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+above AS (SELECT a.slot, a.level, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.w), 0) AS w FROM points a LEFT JOIN points b ON b.slot <= a.slot AND b.level > a.level GROUP BY ALL)
+SELECT sale_id, slot, level, CAST(n AS BIGINT) AS n_sales, CAST(above.w AS BIGINT) AS n_rows FROM placed LEFT JOIN above USING (slot, level)"""
+
+
+ORACLE = {"op11_dominance": _DOMINANCE_SQL, "op1_license": _license_sql(), "op6_rules": _RULES_SQL, "rule_ablations": _ablations_sql(), "op8_mixing": _mixing_sql()}
