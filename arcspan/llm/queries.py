@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dominance
+from . import divergence, dominance
 from . import license as lic
 from . import mixing, packing, pii, quality, rules, simhash, suffixes, toxicity, webp
 from .common import table, written
@@ -78,11 +78,15 @@ def op11_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license, op2_webp, op3_simhash, op4_toxicity, op5_suffixes, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality,
-        op11_dominance, rule_ablations,
+        op11_dominance, op13_divergence, rule_ablations,
     )
 }
 
@@ -177,4 +181,26 @@ above AS (SELECT a.slot, a.level, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.w),
 SELECT sale_id, slot, level, CAST(n AS BIGINT) AS n_sales, CAST(above.w AS BIGINT) AS n_rows FROM placed LEFT JOIN above USING (slot, level)"""
 
 
-ORACLE = {"op11_dominance": _DOMINANCE_SQL, "op1_license": _license_sql(), "op6_rules": _RULES_SQL, "rule_ablations": _ablations_sql(), "op8_mixing": _mixing_sql()}
+_P = "1 + CAST(1000000000 AS HUGEINT) * (coalesce({c}, 0) + 2) // nullif({n} + 2 * v, 0)"
+_F = "({p} - {q}) * ({p} - {q}) // ({p} + {q})"
+#: Every pair of sources over every kept term, without vectors.
+_DIVERGENCE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+words AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+own AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN sizes USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM own GROUP BY ALL) USING (lang, source)),
+shares AS (SELECT g.lang, g.source, k.term, c, {_P.format(c='c', n='n')} AS p, {_P.format(c='total', n='lang_n')} AS q FROM groups g JOIN kept k USING (lang) LEFT JOIN own USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum({_F.format(p='a.p', q='b.p')}) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, {_F.format(p='p', q='q')} AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 10))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""
+
+
+ORACLE = {"op11_dominance": _DOMINANCE_SQL, "op13_divergence": _DIVERGENCE_SQL, "op1_license": _license_sql(), "op6_rules": _RULES_SQL, "rule_ablations": _ablations_sql(), "op8_mixing": _mixing_sql()}
