@@ -154,7 +154,7 @@ def _merged(runs: DataFrame, width: int, fan: int, tasks: int) -> DataFrame:
     spans = blocks.select("grp", "block").distinct()
     every = spans.withColumn("child", F.explode(F.sequence(F.lit(0), F.lit(fan - 1)).cast("array<long>")))
     above = Window.partitionBy("grp", "child").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(sums, ["grp", "child", "block"], "left").select("grp", "child", "block", *(F.sum(c).over(above).alias(c) for c in ("n", "w"))).where("n > 0").toDF("grp", "child", "block", "n", "w")
+    carry = every.join(sums.hint("merge"), ["grp", "child", "block"], "left").select("grp", "child", "block", *(F.sum(c).over(above).alias(c) for c in ("n", "w"))).where("n > 0").toDF("grp", "child", "block", "n", "w")
     out = blocks.groupBy("block").cogroup(carry.groupBy("block")).applyInArrow(_block(fan), _POINT)
     return written(out, "runs")
 
@@ -178,6 +178,6 @@ def dominated(rows: DataFrame, key: str, at: str, amount: str, run_rows: int = R
     whole = placed.where("slot IS NOT NULL AND level IS NOT NULL")
     points = whole.groupBy("slot", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(copies(key)).alias("w"))
     found = credits(written(points, "points"), run_rows, fan)
-    counted = whole.join(found, ["slot", "level"], "left").select(key, "slot", "level", F.coalesce("up_n", F.lit(0)).alias("n_above"), F.coalesce("up_w", F.lit(0)).alias("w_above"))
+    counted = whole.join(found.hint("merge"), ["slot", "level"], "left").select(key, "slot", "level", F.coalesce("up_n", F.lit(0)).alias("n_above"), F.coalesce("up_w", F.lit(0)).alias("w_above"))
     none = F.lit(None).cast("long")
     return counted.unionByName(placed.where("slot IS NULL OR level IS NULL").select(key, "slot", "level", none.alias("n_above"), none.alias("w_above")))

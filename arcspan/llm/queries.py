@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import divergence, dominance
 from . import license as lic
-from . import mixing, packing, pii, quality, rules, simhash, suffixes, toxicity, webp
+from . import mixing, packing, pii, quality, rules, simhash, suffixes, toxicity, webp, webtext
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,10 @@ def op11_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license, op2_webp, op3_simhash, op4_toxicity, op5_suffixes, op6_rules, op7_packing, op8_mixing, op9_pii, op10_quality,
-        op11_dominance, op13_divergence, rule_ablations,
+        op11_dominance, op12_html, op13_divergence, rule_ablations,
     )
 }
 
