@@ -60,6 +60,17 @@ def ignore_regex(pattern: str) -> str | None:
     return f"^{'' if rooted else '(?:.*/)?'}{_body(core)}{'/.*' if folder else '(?:/.*)?'}$"
 
 
+def ignore_parts(pattern: str) -> tuple[str, bool] | None:
+    """What one pattern says of a path itself, not of what lies below: its regular expression, and whether it means folders only."""
+    whole = ignore_regex(pattern)
+    if whole is None:
+        return None
+    for tail, folder in (("(?:/.*)?$", False), ("/.*$", True)):
+        if whole.endswith(tail):
+            return whole.removesuffix(tail) + "$", folder
+    return whole, False
+
+
 def ignored(path: Column, patterns: str | list[str]) -> Column:
     """Does the list of patterns match (the last one that does decides)?"""
     result = F.lit(False)

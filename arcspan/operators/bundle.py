@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,21 @@ def webpack_modules(stats: DataFrame, root: str = "") -> DataFrame:
     return c.select("chunk_id", normal_path(F.col("m.name"), root).alias("path"), F.col("m.size").cast("long").alias("size"))
 
 
+
+
+def stats_rows(text: str) -> list[tuple[str, str, int]]:
+    """``chunk_id, path, size`` of a bundler's statistics, [] for what is none: one document, as large as the bundler made it."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return []
+    if not isinstance(data, dict):
+        return []
+    if isinstance(data.get("chunks"), list):
+        chunks = [c for c in data["chunks"] if isinstance(c, dict)]
+        mods = [(str(c.get("id")), m) for c in chunks for m in c.get("modules") or [] if isinstance(m, dict)]
+        return [(c, str(m.get("name", "")), int(m.get("size") or 0)) for c, m in mods]
+    if isinstance(data.get("tree"), dict):
+        tops = data["tree"].get("children") or []
+        return [(str(t.get("name")), path, size) for t in tops for path, size in rollup_leaves({**t, "name": ""})]
+    return []

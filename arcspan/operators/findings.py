@@ -61,26 +61,37 @@ def unsuppressed(recommendations: DataFrame, signals: DataFrame) -> DataFrame:
     return recommendations.join(muted, "id", "left_anti")
 
 
-def type_only_candidates(parsed: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """``src, dst, specifier, names``: imports inside a cycle whose names stand in type positions only.
+def probed_types(texts: DataFrame, edges: DataFrame, members: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``src, dst, specifier, names``: the imports inside cycles, with the names of those all of whose uses are types, else ''.
 
-    Reads ``parsed`` (``id, content``) for files with such an edge alone. A
-    name counts as a type where a colon, ``as``, ``extends``, ``implements``,
-    a generic bracket or ``typeof`` stands before it; one other use makes it a value. This is a
-    reading of text, so it is a candidate, never an erasure.
+    Reads ``texts`` (``id, content``) of files with such an edge alone, each
+    once for all its edges (see :mod:`..sources.typeuse` for what counts). What
+    ``before`` says isn't read again.
     """
+    import pyarrow as pa
+
+    from ..sources.typeuse import type_only_names
     from .graph import cycle_edges
 
-    inner = cycle_edges(edges, members).where("src <> dst").select(F.col("src").alias("id"), "dst", "specifier")
-    rows = inner.join(parsed.select("id", "content"), "id")
-    quoted = F.regexp_replace("specifier", r"([.\\+*?\[\](){}^$|])", r"\\$1")
-    clause = F.concat(F.lit(r"import\s*\{([^}]*)\}\s*from\s*['\"]"), quoted, F.lit("['\"]"))
-    rows = rows.withColumn("clause", F.explode(F.regexp_extract_all("content", clause, F.lit(1))))
-    names = F.split("clause", ",")
-    rows = rows.withColumn("names", F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"^.*\bas\b", ""))), lambda n: n != "")).where(F.size("names") > 0)
-    body = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*import[^;\n]*(?:;|$)", ""), r"//[^\n]*|(?s)/\*.*?\*/", " ")
-    rows = rows.withColumn("body", body)
-    uses = lambda n: F.regexp_count(F.col("body"), F.concat(F.lit(r"\b"), n, F.lit(r"\b")))
-    typed = lambda n: F.regexp_count(F.col("body"), F.concat(F.lit(r"(?:[:<|&]\s*|\b(?:as|extends|implements|typeof|keyof|type\s+\w+\s*=)\s+)"), n, F.lit(r"\b(?!\s*[({.])")))
-    only = F.forall("names", lambda n: (uses(n) > 0) & (uses(n) == typed(n)))
-    return rows.where(only).select(F.col("id").alias("src"), "dst", "specifier", F.array_join("names", ",").alias("names"))
+    keys = ["src", "dst", "specifier"]
+    inner = cycle_edges(edges, members).where("src <> dst").select(*keys)
+    asked = inner if before is None else inner.join(before.select(*keys), keys, "left_anti")
+    rows = asked.groupBy("src").agg(F.collect_set(F.struct("dst", "specifier")).alias("imports"))
+    rows = rows.join(texts.select(F.col("id").alias("src"), "content"), "src").select("src", "content", "imports")
+    columns = (*keys, "names")
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for src, text, imports in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                names = {x: type_only_names(src, text or "", x) for x in {i["specifier"] for i in imports}}
+                found += [(src, i["dst"], i["specifier"], ",".join(names[i["specifier"]])) for i in imports]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in range(4)], names=list(columns))
+
+    out = rows.mapInArrow(run, ", ".join(f"{c} string" for c in columns))
+    return out if before is None else before.join(inner, keys, "left_semi").select(*columns).union(out)
+
+
+def type_only_candidates(texts: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The imports inside cycles that only bring types."""
+    return probed_types(texts, edges, members).where("names <> ''")

@@ -131,6 +131,27 @@ def scc(edges: DataFrame, small: int = SMALL) -> DataFrame:
     return whole.union(loops.join(whole, "id", "left_anti").select("id", "comp"))
 
 
+def without(edges: DataFrame, erased: DataFrame) -> DataFrame:
+    """Edges but for those erased (``src, dst, specifier``); edges of types stay, as they count for no cycle anyway."""
+    typed, rest = edges.where("kind = 'type-only'"), edges.where("kind <> 'type-only'")
+    return rest.join(erased.select("src", "dst", "specifier").distinct(), ["src", "dst", "specifier"], "left_anti").select(*edges.columns).union(typed)
+
+
+def scc_after(edges: DataFrame, members: DataFrame, erased: DataFrame) -> DataFrame:
+    """Members of the components of ``edges`` once ``erased`` are gone, from those before.
+
+    Erasing splits components and never joins them, so only a component that
+    loses an edge of its own is searched again, inside its own edges; all
+    others are carried over.
+    """
+    at = lambda side: members.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp"))
+    hit = erased.join(at("src"), "src").join(at("dst"), "dst").where("src_comp = dst_comp").select(F.col("src_comp").alias("comp"))
+    hit = written(hit.distinct(), "hit")
+    inside = cycle_edges(without(edges, erased), members).join(hit, "comp", "left_semi").withColumn("kind", F.lit("static"))
+    again = scc(inside)
+    return members.join(hit, "comp", "left_anti").select("id", "comp").union(again.select("id", "comp"))
+
+
 def cycles(members: DataFrame) -> DataFrame:
     """``comp, length, severity, modules`` from :func:`scc`; members sorted."""
     rows = members.groupBy("comp").agg(F.array_sort(F.collect_list("id")).alias("modules"))

@@ -44,6 +44,14 @@ def unused_utilities(metrics: DataFrame, entries: DataFrame | None = None) -> Da
     return _finding(rows, "unused-utility", F.concat(F.lit("unused:"), "id"), F.array("id"), F.lit(0.4), 1, F.lpad(F.col("ord").cast("string"), 20, "0"), name=short_id(F.col("id")))
 
 
+def from_type_only(candidates: DataFrame) -> DataFrame:
+    """An import that only brings types: the cheapest way out of a cycle. ``candidates``: ``src, dst, specifier, names``."""
+    return _finding(
+        candidates, "type-only-candidate", F.concat(F.lit("typeonly:"), "src", F.lit("\x01"), "dst"), F.array("src", "dst"), F.lit(0.7), 3,
+        F.concat_ws("|", "src", "dst", "specifier"), **{"from": short_id(F.col("src")), "to": short_id(F.col("dst")), "specifier": F.col("specifier"), "bindings": F.replace("names", F.lit(","), F.lit(", "))},
+    )
+
+
 def misplaced(modules: DataFrame, edges: DataFrame, least: int = 5, share: float = 0.7) -> DataFrame:
     """Modules that mostly another layer imports; importers of no layer stay in the denominator."""
     counted = live(edges).groupBy(F.col("dst").alias("id"), layer(F.col("src")).alias("by")).agg(F.count(F.lit(1)).alias("n"))
@@ -67,7 +75,7 @@ def from_contracts(violations: DataFrame, per_rule: int = 20) -> DataFrame:
     """At most ``per_rule`` of each rule, as the report defines; pass a larger number for all."""
     place = F.row_number().over(Window.partitionBy("rule").orderBy("ord"))
     rows = violations.withColumn("place", place).where(F.col("place") <= per_rule)
-    return _finding(rows, "contract-violation", F.concat(F.lit("contract:"), "id"), F.array("src", "dst"), F.when(F.col("severity") == "error", 0.9).otherwise(0.5), 7, F.concat(F.col("rule"), F.col("ord")), rule=F.col("rule"), severity=F.col("severity"))
+    return _finding(rows, "contract-violation", F.concat(F.lit("contract:"), "id"), F.array_compact(F.array("src", "dst")), F.when(F.col("severity") == "error", 0.9).otherwise(0.5), 7, F.concat(F.col("rule"), F.col("ord")), rule=F.col("rule"), severity=F.col("severity"))
 
 
 def from_coupling(pairs: DataFrame, top: int = 10) -> DataFrame:
@@ -121,7 +129,9 @@ def score(severity: Column, confidence: Column, maturity: Column, weight: Column
 def signals(recommendations: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """One signal for each recommendation: class, confidence (less where the parser was unsure), score and stable key.
 
-    ``quality`` has ``id, n_approximate, n_low`` of modules.
+    ``quality`` has ``id, n_approximate, n_low, n_limitations`` of modules of
+    which the parser is unsure: one more limitation, and of high confidence no
+    more where an import is approximate or of low confidence.
     """
     kind, given = F.col("kind"), F.col("params")["severity"]
     rows = recommendations.withColumns({
@@ -131,13 +141,53 @@ def signals(recommendations: DataFrame, quality: DataFrame | None = None) -> Dat
         "limitations": F.when(kind.isin("contract-violation", "bundle-bloat", "cycle-break-cluster", "type-only-candidate"), 0).otherwise(1),
     })
     if quality is not None:
-        unsure = rows.where(~kind.isin("bundle-bloat", "temporal-coupling")).select("id", F.explode("modules").alias("m")).join(quality.where("n_approximate > 0 OR n_low > 0").select(F.col("id").alias("m")), "m", "left_semi").select("id", F.lit(True).alias("unsure")).distinct()
-        rows = rows.join(unsure, "id", "left").withColumns({"confidence": F.when(F.col("unsure") & (F.col("confidence") == "high"), "medium").otherwise(F.col("confidence")), "limitations": F.col("limitations") + F.when(F.col("unsure"), 1).otherwise(0)}).drop("unsure")
+        touched = rows.where(~kind.isin("bundle-bloat", "temporal-coupling")).select("id", F.explode("modules").alias("m"))
+        doubtful = quality.where("n_approximate > 0 OR n_low > 0 OR n_limitations > 0")
+        poor = doubtful.select(F.col("id").alias("m"), (F.expr("n_approximate > 0 OR n_low > 0")).alias("poor"), F.lit(True).alias("unsure"))
+        unsure = touched.join(poor, "m").groupBy("id").agg(F.max("poor").alias("poor"), F.max("unsure").alias("unsure"))
+        less = F.col("poor") & (F.col("confidence") == "high")
+        rows = rows.join(unsure, "id", "left").withColumns({"confidence": F.when(less, "medium").otherwise(F.col("confidence")), "limitations": F.col("limitations") + F.when(F.col("unsure"), 1).otherwise(0)}).drop("unsure", "poor")
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+", "/"), r"\s+", " "))
     key = F.concat_ws(":", kind, F.array_join(F.array_sort(F.array_distinct(F.transform("modules", clean))), ","), F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), clean(e["value"]))), ","))
     return rows.select(F.concat(F.lit("signal:"), "id").alias("id"), key.alias("stable_key"), "kind", "severity", "confidence", "maturity", "modules", score(F.col("severity"), F.col("confidence"), F.col("maturity"), F.col("weight"), F.col("limitations")).alias("score"), F.col("id").alias("recommendation"))
 
 
+def _observed(rows: DataFrame, id_: Column, key: Column, kind: Column, severity: Column, confidence: Column, weight: Column, limitations: int) -> DataFrame:
+    """Signals that no recommendation stands behind; beta all of them."""
+    worth = score(severity, confidence, F.lit("beta"), weight, F.lit(limitations))
+    return rows.select(id_.alias("id"), key.alias("stable_key"), kind.alias("kind"), severity.alias("severity"), confidence.alias("confidence"), F.lit("beta").alias("maturity"), F.col("modules"), worth.alias("score"), F.lit(None).cast("string").alias("recommendation"))
+
+
+def from_warnings(warnings: DataFrame) -> DataFrame:
+    """A signal for each warning ``code, file, detail``."""
+    rows = warnings.distinct().withColumn("modules", F.array_compact(F.array("file")))
+    kind = F.concat(F.lit("warning:"), "code")
+    key = F.concat_ws(":", kind, F.coalesce("file", F.lit("")), F.coalesce("detail", F.lit("")))
+    return _observed(rows, F.concat(F.lit("signal:"), key), key, kind, F.lit("low"), F.lit("medium"), F.lit(1), 0)
+
+
+def from_lifecycles(risks: DataFrame) -> DataFrame:
+    """A signal for each lifecycle risk ``id, risk, kind, line, severity, confidence, message``; its key has no line, so code may move."""
+    rows = risks.withColumn("modules", F.array("id"))
+    group = F.when(F.col("risk") == "memory-risk", "memory").otherwise("async-lifecycle")
+    id_ = F.concat_ws(":", F.lit("signal"), group, F.col("kind"), F.col("id"), F.col("line").cast("string"))
+    key = F.concat_ws(":", "risk", "kind", "id", "message")
+    return _observed(rows, id_, key, F.col("risk"), F.col("severity"), F.col("confidence"), F.when(F.col("confidence") == "high", 8).otherwise(4), 1)
+
+
+def all_signals(recommendations: DataFrame, quality: DataFrame, warnings: DataFrame, risks: DataFrame) -> DataFrame:
+    """Signals of recommendations, warnings and lifecycle risks."""
+    return signals(recommendations, quality).unionByName(from_warnings(warnings)).unionByName(from_lifecycles(risks))
+
+
+def suppressed_by(rows: DataFrame, suppressions: tuple[dict, ...], now: str) -> DataFrame:
+    """Signals with ``suppressed``, by the suppressions of a configuration (``stableKey, module, expires``)."""
+    if not suppressions:
+        return rows.withColumn("suppressed", F.lit(False))
+    table = [(x["stableKey"], x.get("module"), x.get("expires")) for x in suppressions]
+    return suppress(rows, rows.sparkSession.createDataFrame(table, "stable_key string, module string, expires string"), now)
+
+
 def can_fail_ci(least: str = "high", beta: bool = False) -> Column:
     """Unsuppressed, unresolved, of high confidence, severe enough and mature."""
     mature = F.col("maturity").isin("stable", "beta") if beta else F.col("maturity") == "stable"

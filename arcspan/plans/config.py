@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
 from dataclasses import dataclass, field
 
 from ..operators.rules import Boundary, Budget, override_error
@@ -19,10 +21,12 @@ class Config:
     boundaries: list[Boundary] = field(default_factory=list)
     budgets: list[Budget] = field(default_factory=list)
     generated: tuple[str, ...] = ()
+    generated_mode: str = "classify"  # exclude, classify or include
     hot_zones: int = 10
     git_window: str = "90d"
     loaders: tuple[dict, ...] = ()
     suppressions: tuple[dict, ...] = ()
+    today: str = field(default_factory=lambda: datetime.date.today().isoformat())  # decides what has expired
 
 
 def load(text: str) -> tuple[Config, list[str]]:
@@ -63,11 +67,32 @@ def load(text: str) -> tuple[Config, list[str]]:
     presets = strings("generatedPresets")
     problems += [f"generatedPresets: no such preset: {p}" for p in presets if p not in GENERATED]
     out.generated = strings("generated") + tuple(g for p in presets for g in GENERATED.get(p, ()))
+    out.generated_mode = data.get("generatedMode", "classify")
+    if out.generated_mode not in ("exclude", "classify", "include"):
+        problems.append("generatedMode: exclude, classify or include is expected")
+        out.generated_mode = "classify"
+    loaders, hidden = [], []
+    for k, x in enumerate(data.get("loaders") or []):
+        if isinstance(x, dict) and isinstance(x.get("name"), str) and isinstance(x.get("resolveAs"), str) and isinstance(x.get("argIndex", 0), int):
+            loaders.append(x)
+        else:
+            problems.append(f"loaders[{k}]: name, resolveAs and a whole argIndex are expected")
+    for k, x in enumerate(data.get("suppressions") or []):
+        if isinstance(x, dict) and isinstance(x.get("stableKey"), str) and all(isinstance(x.get(c), str | None) for c in ("module", "expires")):
+            hidden.append(x)
+        else:
+            problems.append(f"suppressions[{k}]: stableKey and, as texts, module and expires are expected")
+    out.loaders, out.suppressions = tuple(loaders), tuple(hidden)
+    window = (data.get("git") or {}).get("window", out.git_window)
+    if isinstance(window, str) and re.fullmatch(r"\d+[dwmy]", window):
+        out.git_window = window
+    else:
+        problems.append("git.window: a number of d, w, m or y is expected")
     if isinstance(n := data.get("hotZones", 10), int) and n > 0:
         out.hot_zones = n
     else:
         problems.append("hotZones: a number above 0 is expected")
-    problems += [f"{k}: unknown field" for k in data if k not in ("entries", "exclude", "layers", "boundaries", "budgets", "generated", "generatedPresets", "hotZones", "git", "loaders", "suppressions")]
+    problems += [f"{k}: unknown field" for k in data if k not in ("entries", "exclude", "layers", "boundaries", "budgets", "generated", "generatedPresets", "generatedMode", "hotZones", "git", "loaders", "suppressions")]
     return out, problems
 
 
@@ -78,6 +103,4 @@ def initial(layers: list[str], entries: list[str]) -> str:
 
 def type_only(line: str) -> str:
     """An import line that names types only, as a type import; other lines unchanged."""
-    import re
-
     return re.sub(r"^(\s*)import\s+(?!type\b)(\{[^}]*\}|\w+)(\s+from\s)", r"\1import type \2\3", line)

@@ -128,7 +128,7 @@ MORE = {
         tail = '.config.js' AS infra, CASE tail WHEN '.server.ts' THEN 'server' WHEN '.client.tsx' THEN 'client' ELSE 'shared' END AS runtime, count(*) AS n FROM p GROUP BY ALL""",
     "line_counts": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines FROM documents",
     "import_resolution": _with("SELECT DISTINCT src, dst AS wanted, dst FROM edge UNION ALL SELECT DISTINCT src, NULL, NULL FROM edge", "edge"),
-    "alias_resolution": _with("SELECT DISTINCT src, dst AS wanted, CASE WHEN dst LIKE 'src/app/%' OR dst LIKE 'src/core/%' THEN dst END AS dst FROM edge", "edge"),
+    "alias_resolution": _with("SELECT DISTINCT src, dst AS wanted, CASE WHEN split_part(dst, '/', 2) IN ('app', 'core', 'pages') THEN dst END AS dst FROM edge UNION SELECT src, NULL, NULL FROM edge", "edge"),
     "prefix_expansion": _with("SELECT DISTINCT a.id AS src, b.id AS dst FROM module a JOIN module b ON a.id <> b.id AND starts_with(b.id, regexp_extract(a.id, '^(src/[^/]+/[^/]+/)', 1))", "module"),
     "glob_expansion": _with("SELECT 'src/app/main.ts' AS src, id AS dst FROM module WHERE regexp_matches(id, '^src/app/small/[^/]*\\.ts$') AND NOT regexp_matches(id, '^src/app/small/1[^/]*\\.ts$') UNION ALL SELECT 'src/core/all.ts', id FROM module WHERE regexp_matches(id, '^src/core/(.*/)?[^/]*7\\.ts$')", "module"),
     "name_registry": _with("SELECT DISTINCT e2.src, m.id AS dst FROM edge e2 JOIN module m ON regexp_extract(m.id, '([^/]*)\\.ts$', 1) = substr(e2.specifier, 3) WHERE m.id <> e2.src AND (e2.src, m.id) NOT IN (SELECT (src, dst) FROM edge WHERE kind = 'static')", "edge", "module"),

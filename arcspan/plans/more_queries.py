@@ -91,7 +91,7 @@ def all_recommendations(spark, d):
 
 
 def _signals(s: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
-    unsure = edges.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("kind") == "dynamic").alias("n_approximate"), F.count_if(~F.col("resolved")).alias("n_low"))
+    unsure = edges.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("kind") == "dynamic").alias("n_approximate"), F.count_if(~F.col("resolved")).alias("n_low"), F.lit(0).alias("n_limitations"))
     return recommend.signals(recommend.from_contracts(rules.boundary_violations(edges, BOUNDARIES), 1000).unionByName(recommend.unused_utilities(s["metrics"])), unsure)
 
 
@@ -372,11 +372,20 @@ def import_resolution(spark, d):
     return resolve.resolve(wanted, known).select("src", "wanted", "dst").distinct()
 
 
+#: Fifty aliases: chains, several targets, circles, prefixes of prefixes.
+ALIASES = [
+    ("@app/*", "src/app/*"), ("@*", "~/*"), ("~/core/*", "src/core/*"), ("~/pages/*", ["nowhere/*", "%/pages/*"]), ("%/*", "src/*"),
+    ("@loop/*", "@pool/*"), ("@pool/*", "@loop/*"), *((f"@p{k}/*", [f"@p{k + 1}/*", f"packages/p{k}/*"]) for k in range(43)),
+]
+
+
 @query
 def alias_resolution(spark, d):
     known = data.modules(spark, d).select(F.col("id").alias("rel_path"))
-    edges = data.edges(spark, d).select("src", F.concat(F.lit("@"), F.expr("substring(dst, 5)")).alias("specifier"), F.col("dst").alias("wanted"))
-    return resolve.resolve(edges, known, [("@app/*", "src/app/*"), ("@*", "~/*"), ("~/core/*", "src/core/*")]).select("src", "wanted", "dst").distinct()
+    edges = data.edges(spark, d)
+    named = edges.select("src", F.concat(F.lit("@"), F.expr("substring(dst, 5)")).alias("specifier"), F.col("dst").alias("wanted"))
+    circular = edges.select("src", F.lit("@loop/x").alias("specifier"), F.lit(None).cast("string").alias("wanted"))
+    return resolve.resolve(named.union(circular), known, ALIASES).select("src", "wanted", "dst").distinct()
 
 
 def _prefixes(spark, d, modules):

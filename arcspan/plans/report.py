@@ -82,11 +82,16 @@ def check(scan: Scan, gates: list[str], before: Scan | None = None) -> tuple[int
     one = scan.debt.select("grade")
     for df, name in ((scan.cycles, "cycles"), (scan.violations, "layer_violations"), (scan.contracts, "contract_violations"), (scan.contracts.where("severity = 'error'"), "contract_errors"), (scan.recommendations, "recommendations")):
         one = one.crossJoin(n(df, name))
-    active = scan.signals.withColumns({"suppressed": F.lit(False), "status": F.lit("active")})
+    active = scan.signals.withColumn("status", F.lit("active"))
     severities = rules.BY_SEVERITY["signals"]
     count = lambda where, name: F.coalesce(F.sum(F.when(where, 1)), F.lit(0)).cast("long").alias(name)
     one = one.crossJoin(active.agg(*(count(recommend.can_fail_ci(s), f"signals_{s}") for s in severities)))
-    zero = [f"bundle_bloat_{s}" for s in rules.BY_SEVERITY["bundle-bloat"]]
+    heavy, zero = rules.BY_SEVERITY["bundle-bloat"], []
+    if scan.bundle is None:  # without statistics there is nothing to find
+        zero += [f"bundle_bloat_{s}" for s in heavy]
+    else:
+        worse = {s: F.col("severity").isin(*heavy[k:]) for k, s in enumerate(heavy)}
+        one = one.crossJoin(scan.bundle.agg(*(count(test, f"bundle_bloat_{s}") for s, test in worse.items())))
     if before is None:
         zero += ["new_cycles", "new_layer_violations", "new_contract_violations", *(f"{k}_signals_{s}" for k in ("new", "regressed") for s in severities)]
     else:

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bundle, graph, recommend, rules
 from ..operators import diff as differ
-from ..operators import graph, recommend, rules
-from ..sources import files
-from . import report, views
+from ..session import written
+from ..sources import files, resolve
+from ..sources.aliases import project_aliases
+from . import report, store, views
 from .config import Config, initial, load
 from .scan import Scan, analyse, compared, measured
 
-STORED = ("modules", "edges", "warnings")
+#: Where bundlers leave their statistics.
+STATS = ("bundle-stats.json", "dist/stats.json")
+
+
+def project(spark: SparkSession, root: str, **options) -> dict:
+    """What a folder says about itself: framework, aliases of its compiler, bundler and packages, pages, bundle statistics."""
+    notes = written(files.manifests(spark, root), "manifests")
+    small = {r.rel_path: r.content for r in notes.where("rel_path NOT LIKE '%/%'").select("rel_path", "content").collect()}  # the root's own few
+    found = {"framework": resolve.framework(small["package.json"]) if "package.json" in small else "generic"}
+    declared = resolve.tsconfig_aliases(lambda p: _text(notes, p))
+    declared += next((resolve.vite_aliases(small[f]) for f in sorted(small) if f.startswith("vite.config.")), [])
+    found["aliases"] = project_aliases(notes, options.get("framework") or found["framework"], declared)
+    found["html"] = notes.where("rel_path LIKE '%.html'").select("content")
+    for name in STATS:
+        if (text := _text(notes, name)) and (rows := bundle.stats_rows(text)):
+            found["chunks"] = spark.createDataFrame(rows, "chunk_id string, path string, size long").withColumn("path", bundle.normal_path(F.col("path"), root))
+            break
+    return found | options
 
 
-def scan(spark: SparkSession, root: str, config: str | None = None, **options) -> Scan:
-    """A scan of a folder, with a configuration's text."""
-    return analyse(spark, files.read(spark, root), load(config)[0] if config else Config(), **options)
+def _text(notes: DataFrame, path: str) -> str | None:
+    row = notes.where(F.col("rel_path") == path).select("content").first()
+    return row.content if row else None
+
+
+def scan(spark: SparkSession, root: str, config: str | None = None, cache: str | None = None, **options) -> Scan:
+    """A scan of a folder, with a configuration's text; through a cache, if it has a place."""
+    settings = load(config)[0] if config else Config()
+    about = project(spark, root, **options)
+    if cache is None:
+        return analyse(spark, files.read(spark, root), settings, **about)
+    return store.rescanned(spark, files.read(spark, root), cache, settings, **about)[0]
 
 
 overview = analyze = scan
@@ -31,15 +57,16 @@ def init(scan: Scan) -> str:
     return initial(sorted(r.layer for r in found), [])
 
 
-def baseline(scan: Scan, store: str, project: str, at: str) -> None:
+def baseline(scan: Scan, folder: str, project: str, at: str) -> None:
     """Keeps the graph of a scan; the same time replaces itself, and everything else follows from the graph."""
-    for name in STORED:
-        getattr(scan, name).write.mode("overwrite").parquet(f"{store}/project={project}/at={at}/{name}")
+    path = f"{folder}/project={project}/at={at}"
+    store.keep(scan.base, path)
+    store.note(scan.modules.sparkSession, f"{path}/about", framework=scan.framework)
 
 
-def stored(spark: SparkSession, store: str, project: str, at: str, config: Config | None = None) -> Scan:
-    read = lambda name: spark.read.parquet(f"{store}/project={project}/at={at}/{name}")
-    return measured(read("modules"), read("edges"), read("warnings"), config or Config())
+def stored(spark: SparkSession, folder: str, project: str, at: str, config: Config | None = None) -> Scan:
+    path = f"{folder}/project={project}/at={at}"
+    return measured(store.kept(spark, path), config or Config(), store.noted(spark, f"{path}/about").get("framework", "generic"))
 
 
 def diff(before: Scan, after: Scan) -> DataFrame:
@@ -91,10 +118,8 @@ def semantic(scan: Scan) -> DataFrame:
     return views.semantic_surface(scan.metrics)
 
 
-def hygiene(scan: Scan, sources: DataFrame) -> DataFrame:
-    from ..sources.parse import lifecycle_risks
-
-    return views.hygiene(scan.metrics, lifecycle_risks(sources))
+def hygiene(scan: Scan) -> DataFrame:
+    return views.hygiene(scan.metrics, scan.base.lifecycles)
 
 
 def trend(before: Scan, after: Scan) -> DataFrame:
@@ -114,4 +139,4 @@ def signals_since(before: Scan, after: Scan) -> DataFrame:
 
 
 def tables(scan: Scan) -> list[str]:
-    return [f.name for f in fields(scan)]
+    return list(scan.tables())

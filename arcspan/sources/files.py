@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.globs import glob_regex
+from ..functions.globs import glob_regex, ignore_parts
 
 # Extensions, folders never read, and names that are not product code.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte")
@@ -15,12 +19,112 @@ TOOLS = ("vite", "vitest", "rollup", "webpack", "esbuild", "jest", "cypress", "p
 MAX_CHARS = 1_000_000
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """``rel_path, content`` of all source files below a folder of any store; the extension filter is at the listing."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "")
-    return rows.select(F.replace(rel, F.lit(base + "/"), F.lit("")).alias("rel_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+#: Files beside the sources that say something about a project.
+NOTES = r"(^|/)(package\.json|tsconfig[^/]*\.json|vite\.config\.[cm]?[jt]s|[^/]*\.html|\.gitignore)$|^(bundle-stats|dist/stats)\.json$"
+LISTED = "path string, rel_path string, size long, mtime timestamp"
+_STATUS = re.compile(r"path=(.*?); isDirectory=(true|false); (?:length=(\d+); )?.*?modification_time=(\d+)")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path, rel_path, size, mtime`` of all files below a folder of any store; folders that are never read aren't entered.
+
+    The driver walks, as it does for Spark's own file index, which would enter
+    every folder and leaves out names that begin with a dot or underscore.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    rows, todo = [], [base.rstrip("/")]
+    while todo:
+        found = jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(jvm.org.apache.hadoop.fs.Path(todo.pop())))
+        for path, folder, size, mtime in _STATUS.findall(found):
+            if folder == "true":
+                name = path.rpartition("/")[2]
+                if name not in SKIPPED_DIRS or path == f"{base}dist":
+                    todo.append(path)
+            else:
+                rows.append((path, path.removeprefix(base), int(size or 0), datetime.datetime.fromtimestamp(int(mtime) / 1000, datetime.UTC)))
+    out = spark.createDataFrame(sorted(rows), LISTED)
+    # of that one folder only what a bundler says of itself
+    return out.where(~F.startswith("rel_path", F.lit("dist/")) | (F.col("rel_path") == "dist/stats.json"))
+
+
+def _texts(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """``rel_path, content, size, mtime`` of a listing's files; no other file is opened.
+
+    Spark's reader leaves out names that begin with a dot or an underscore; the
+    few files of such names are read by the driver.
+    """
+    hidden = F.col("rel_path").rlike("(^|/)[._][^/]*$")
+    filled = listing.where("size > 0")  # Spark's reader gives no row for an empty file
+    there = [r.path for r in filled.where(~hidden | F.contains("path", F.lit("="))).select("path").toLocalIterator()]
+    parts = []
+    if there:  # names of files are no patterns
+        rows = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])
+        parts.append(rows.select("path", F.decode("content", "UTF-8").alias("content")))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = []
+    for r in filled.where(hidden & ~F.contains("path", F.lit("="))).select("path").toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(r.path)
+        stream = at.getFileSystem(conf).open(at)
+        own.append((r.path, bytes(stream.readAllBytes()).decode("utf-8", "replace")))
+        stream.close()
+    parts.append(spark.createDataFrame(own, "path string, content string"))
+    texts = reduce(DataFrame.union, parts)
+    rows = filled.join(texts, "path").select("rel_path", "content", "size", "mtime")
+    return rows.union(listing.where("size = 0").select("rel_path", F.lit(""), "size", "mtime"))
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The ``rel_path`` that ignore files leave out; ``rules`` holds their lines: ``folder, n, pattern``.
+
+    A pattern counts below its file's folder. Of the patterns that match a
+    path the last one of the deepest file decides, and what lies below an
+    ignored folder is ignored, whatever else is said of it.
+    """
+    compiled = F.udf(lambda p: ignore_parts(p[1:] if p.startswith("!") else p), "regex string, folders boolean")  # one row a line of an ignore file
+    table = rules.where("pattern IS NOT NULL").select("folder", "n", compiled("pattern").alias("p"), F.startswith("pattern", F.lit("!")).alias("back"))
+    table = table.where("p IS NOT NULL").select("folder", "n", "p.*", "back")
+    parts = F.split("rel_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    files = paths.select("rel_path").distinct()
+    folders = files.select(F.explode(above).alias("node")).where("node <> ''").distinct()
+    nodes = folders.withColumn("is_folder", F.lit(True)).union(files.withColumn("is_folder", F.lit(False)))
+    pieces = F.split("node", "/")
+    at = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), "/"))
+    hits = nodes.select("node", "is_folder", F.explode(at).alias("folder")).join(table, "folder").where("is_folder OR NOT folders")
+    below = F.when(F.col("folder") == "", F.col("node")).otherwise(F.expr("substring(node, length(folder) + 2)"))
+    hits = hits.where(F.rlike(below, F.col("regex")))
+    last = hits.groupBy("node", "is_folder").agg(F.max_by("back", F.struct(F.length("folder"), "n")).alias("back")).where("NOT back").select("node", "is_folder")
+    ways = files.select("rel_path", F.explode(above).alias("node"), F.lit(True).alias("is_folder")).union(files.select("rel_path", "rel_path", F.lit(False)))
+    return ways.join(last, ["node", "is_folder"], "left_semi").select("rel_path").distinct()
+
+
+def rules_of(notes: DataFrame) -> DataFrame:
+    """``folder, n, pattern`` of the ignore files among ``rel_path, content``."""
+    own = notes.where(F.col("rel_path").rlike(r"(^|/)\.gitignore$"))
+    lines = own.select(F.regexp_replace("rel_path", r"/?\.gitignore$", "").alias("folder"), F.posexplode(F.split("content", "\r?\n")).alias("n", "pattern"))
+    return lines.where("pattern <> ''")
+
+
+def read(spark: SparkSession, root: str, gitignore: bool = True) -> DataFrame:
+    """``rel_path, content, size, mtime`` of all source files below a folder of any store.
+
+    Which files those are is decided on paths: folders that are never read,
+    other extensions and what ignore files name are gone before a text is read.
+    """
+    found = listed(spark, root)
+    sources = found.where(F.col("rel_path").rlike(r"\.(" + "|".join(EXTENSIONS) + ")$") & ~F.startswith("rel_path", F.lit("dist/")))
+    if gitignore:
+        rules = rules_of(_texts(spark, found.where(F.col("rel_path").rlike(r"(^|/)\.gitignore$"))))
+        sources = sources.join(ignored_paths(sources, rules), "rel_path", "left_anti").select(*found.columns)
+    return _texts(spark, sources)
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """``rel_path, content`` of the files that say something about the project, packages below too."""
+    return _texts(spark, listed(spark, root).where(F.col("rel_path").rlike(NOTES))).select("rel_path", "content")
 
 
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:

@@ -61,12 +61,6 @@ def test_parsed_details():
     assert parse.parse_text("a.ts", "")["loc"] == 0
 
 
-def test_lifecycle_risks(spark):
-    rows = {"a.ts": "window.addEventListener('x', f)", "b.ts": "addEventListener('x', f); removeEventListener('x', f)", "c.ts": "const t = setTimeout(f)", "d.server.ts": "addEventListener('x', f)", "e.ts": "useEffect(() => { fetch(x).then(y) })", "f.ts": "// addEventListener('x')"}
-    got = {(r.id, r.kind) for r in parse.lifecycle_risks(files.in_memory(spark, rows)).collect()}
-    assert got == {("a.ts", "event-listener-cleanup"), ("c.ts", "timer-cleanup"), ("e.ts", "async-lifecycle")}
-
-
 def test_oversized_files_are_reported(spark):
     rows = files.in_memory(spark, {"a.ts": "x" * 30, "b.ts": "import 'x'"})
     assert parse.parse(rows, 20).count() == 1 and parse.unparsed(rows, 20).first().file == "a.ts"

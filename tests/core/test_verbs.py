@@ -1,6 +1,6 @@
 from test_sources import PROJECT
 
-from arcspan.operators import findings
+from arcspan.operators import findings, graph
 from arcspan.plans import config, scan, verbs
 from arcspan.sources import files
 
@@ -24,7 +24,7 @@ def test_verbs(spark, tmp_path):
     assert [r.id for r in near] == ["src/features/a/one.ts"]
     assert verbs.impact(now, "core", 2, group="layer").count() > 0
     assert verbs.matrix(now).count() > 0 and verbs.ownership(now).count() > 0 and verbs.semantic(now).count() > 0 and verbs.suggest(now).count() > 0
-    assert {r.list for r in verbs.hygiene(now, sources).collect()} >= {"side-effect-owner"}
+    assert {r.list for r in verbs.hygiene(now).collect()} >= {"side-effect-owner"}
     assert verbs.check(now, ["cycles:any"])[0] == 1 and verbs.explain(now, "nothing") == {}
     everything = findings.union(now.cycles, now.violations, now.contracts, now.hot, now.recommendations)
     assert findings.triaged(everything, ["cycle"], "high").count() <= findings.triaged(everything).count() == everything.count()
@@ -35,8 +35,9 @@ def test_verbs(spark, tmp_path):
 def test_type_only_candidates(spark):
     texts = {"a.ts": "import { B } from './b'\nimport { run } from './b'\nexport type A = string\nlet x: B = make()\nconst y = z as B", "b.ts": "import { A } from './a'\nexport class B {}\nexport const run = (a: A) => new A()"}
     s = scan.analyse(spark, files.in_memory(spark, texts))
-    got = findings.type_only_candidates(files.in_memory(spark, texts).withColumnRenamed("rel_path", "id"), s.edges, s.members).collect()
+    got = findings.type_only_candidates(files.in_memory(spark, texts).withColumnRenamed("rel_path", "id"), s.edges, graph.scc(s.edges)).collect()
     assert [(r.src, r.names) for r in got] == [("a.ts", "B")]
+    assert not s.members.count() and s.recommendations.where("kind = 'type-only-candidate'").count() == 1
 
 
 def test_hot_zone_severities(spark):
