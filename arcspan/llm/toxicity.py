@@ -22,15 +22,16 @@ of the models is that difference for each seen context and byte, so one table
 of bounded size is broadcast.
 
 Bound: at most ``SAMPLE`` labelled texts of each class are fitted, those whose
-key has the smallest hash, and of them the first that hold ``SAMPLE_BYTES``
-together (a documented sample). Their words are counted on the executors. The
+key has the smallest hash, and of them, in that order, each that still fits
+into ``SAMPLE_BYTES`` (a documented sample). Their words are counted on the executors. The
 shared counts cover all texts.
 
 Defined cases: a text without words (null, empty, blank) has figure 0; without
 a labelled text of each class every score is 0.5; repeated rows get the same
 score; a key whose labels contradict each other teaches nothing, and of
 several texts of one labelled key the one with the smallest hash is learnt
-from; texts of any length are scored whole; other columns are ignored.
+from; a labelled text of over ``SAMPLE_BYTES`` is passed over and changes
+nothing else; texts of any length are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * spread(figures, self.margin) + self.intercept, -700, 700)))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int, text: str, key: str) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int, text: str, key: str, most: int = SAMPLE_BYTES) -> DataFrame:
     """``(y, half, t)`` of the texts that are fitted; the halves of a class alternate in the order of the sample."""
     known = known_labels(labels, "toxic", key, folds, fold)
     # the bounded sample is chosen by key, before any text is read
@@ -234,8 +235,11 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: i
         order[r.y].append(r)
     used = []
     for c in (0, 1):
-        sizes = np.cumsum([r.n for r in order[c]])
-        used += [(r[key], k % 2) for k, (r, size) in enumerate(zip(order[c], sizes)) if size <= SAMPLE_BYTES]
+        room, kept = most, 0
+        for r in order[c]:  # a text that doesn't fit is passed over, and so takes nothing from the others
+            if r.n <= room:
+                used.append((r[key], kept % 2))
+                room, kept = room - r.n, kept + 1
     halves = docs.sparkSession.createDataFrame(used, f"{key} {docs.schema[key].dataType.simpleString()}, half int")
     return written(texts.join(F.broadcast(halves), key).select("y", "half", "t"), "halves")
 
@@ -256,8 +260,8 @@ def word_counts(texts: DataFrame) -> list[list[Counter]]:
     return counts
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", margin: float | None = MARGIN) -> Model:
-    texts = sampled(docs, labels, folds, fold, sample, text, key)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", margin: float | None = MARGIN, most: int = SAMPLE_BYTES) -> Model:
+    texts = sampled(docs, labels, folds, fold, sample, text, key, most)
     counts = word_counts(texts)
     whole = [c[0] + c[1] for c in counts]
     if not all(whole):

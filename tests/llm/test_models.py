@@ -132,6 +132,21 @@ def test_conflicting_labels_and_repeated_keys_have_one_outcome(spark):
         assert key(module.judged(docs, agreed)) == key(module.judged(docs, torn)) == key(module.judged(docs.repartition(7), torn.repartition(3)))
 
 
+def test_a_labelled_text_beyond_the_bound_changes_nothing_else(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    sizes = {r.y: r.n for r in toxicity.sampled(docs, labels, 3, 1, 2000, "text", "doc_id").selectExpr("y", "octet_length(t) AS n").groupBy("y").max("n").toDF("y", "n").collect()}
+    bound = 4 * max(sizes.values())
+    want = toxicity.train(docs, labels, most=bound)
+    assert want.table
+    for toxic in (0, 1):
+        far = next(k for k in range(10**9, 10**9 + 99) if zlib.crc32(str(k).encode()) % 3 != 1)
+        more = docs.union(spark.createDataFrame([(far, "vile words and more " * (bound // 18))], "doc_id long, text string"))
+        got = toxicity.train(more, labels.union(spark.createDataFrame([(far, toxic)], labels.schema)), most=bound)
+        assert got.table.keys() >= {k for k in want.table} and np.isclose(got.slope, want.slope, rtol=0.2)
+        words = lambda m: {k: round(v, 3) for k, v in list(m.table.items())[:200]}
+        assert sum(words(got).get(k) == v for k, v in words(want).items()) > 100
+
+
 def test_long_texts_and_words_are_scored_whole(spark):
     table = {b"id": 4.0, b" i\0": 0.1}
     score = toxicity.Scorer(table, None)
