@@ -300,6 +300,33 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int, direction: str = "b
     return both.join(targets.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min("distance").alias("distance"))
 
 
+def reach_counts(links: DataFrame, words: int = 16) -> DataFrame:
+    """``(id, n)``: how many other nodes lead to a node along ``src -> dst``; nodes that none leads to are left out.
+
+    Sources are bits, ``64 * words`` of them a row, so a round moves a row for
+    each node and block of sources that reached it, not one for each pair, and
+    what it adds is one ``OR`` in the shuffle. Rounds follow the longest of the
+    shortest ways; each is written.
+    """
+    bits, names = 64 * words, [f"w{k}" for k in range(words)]
+    step = written(links.where("src <> dst").select("src", "dst").distinct(), "steps")
+    sources = step.select(F.col("src").alias("id")).distinct().withColumn("at", F.monotonically_increasing_id())
+    sources = written(sources, "sources")  # numbers are what they are now
+    block, bit = F.expr(f"at DIV {bits}"), F.expr(f"CAST(at % {bits} AS INT)")
+    own = sources.withColumns({"block": block, "bit": bit}).select("id", "block", *(F.expr(f"CASE WHEN bit DIV 64 = {k} THEN shiftleft(1L, bit % 64) ELSE 0L END").alias(w) for k, w in enumerate(names)))
+    either = [F.bit_or(w).alias(w) for w in names]
+    state = front = written(own, "bits")
+    while not front.isEmpty():
+        met = step.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "block").agg(*either)
+        old = state.select("id", "block", *(F.col(w).alias(f"o{w}") for w in names))
+        new = met.join(old, ["id", "block"], "left").select("id", "block", *(F.expr(f"{w} & ~COALESCE(o{w}, 0L)").alias(w) for w in names))
+        front = written(new.where(" OR ".join(f"{w} <> 0" for w in names)), "bits")
+        state = written(state.union(front).groupBy("id", "block").agg(*either), "bits")
+    found = state.groupBy("id").agg(F.sum(F.expr(" + ".join(f"bit_count({w})" for w in names))).alias("n"))
+    known = found.join(sources.select("id", F.lit(1).alias("self")), "id", "left")
+    return known.select("id", (F.col("n") - F.coalesce("self", F.lit(0))).cast("long").alias("n")).where("n > 0")
+
+
 def runtime_leaks(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """``src, dst, direct``: client modules that import server-only ones, at once or through shared modules."""
     at = lambda side: modules.select(F.col("id").alias(side), F.col("runtime").alias(f"{side}_runtime"), F.col("is_server_actions").alias(f"{side}_actions"))

@@ -185,7 +185,8 @@ def matrix_by_layer(spark, d):
 @query
 def impact_risk(spark, d):
     s = _scan(spark, d)
-    return views.impact(s["modules"], graph.importers(s["edges"], s["modules"]), s["members"], s["violations"])
+    counts = graph.reach_counts(s["edges"]).select(F.col("id").alias("source"), F.col("n").alias("affected"))
+    return views.impact(s["modules"], counts, s["members"], s["violations"])
 
 
 def _bound(s):

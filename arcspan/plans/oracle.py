@@ -125,8 +125,9 @@ ORACLE = {
         "graded", "cycle", "violation", "boundary", n=10,
     ),
     "runtime_leaks": _with("SELECT src, dst, true AS direct FROM direct_leak UNION ALL (SELECT DISTINCT w.client AS src, e.dst, false FROM client_way w JOIN e ON e.src = w.id JOIN module b ON b.id = e.dst WHERE b.runtime = 'server' AND NOT b.is_server_actions AND NOT EXISTS (SELECT 1 FROM direct_leak x WHERE x.src = w.client AND x.dst = e.dst))", "direct_leak", "client_way"),
-    "transitive_importers": _with("SELECT DISTINCT source, id FROM importer WHERE source <> id", "importer"),
-    "bounded_impact": _with("SELECT source, id, CAST(min(distance) AS BIGINT) AS distance FROM near WHERE id <> source GROUP BY source, id", "near"),
+    "transitive_importers": _with("SELECT DISTINCT source, id FROM importer WHERE source <> id AND source IN (SELECT id FROM module WHERE ord % 50 = 0)", "importer"),
+    "importer_counts": _with("SELECT source AS id, count(DISTINCT id) - 1 AS importers FROM importer GROUP BY source", "importer"),
+    "bounded_impact": _with("SELECT source, id, CAST(min(distance) AS BIGINT) AS distance FROM near WHERE id <> source AND source IN (SELECT id FROM module WHERE ord % 50 = 0) GROUP BY source, id", "near"),
     "weak_components": _with("SELECT id, root FROM root", "root"),
     "isolated_clusters": _with("SELECT root, count(*) AS n FROM root JOIN module USING (id) GROUP BY root HAVING count(*) >= 5 AND NOT bool_or(is_infra) AND count(*) <= 0.5 * (SELECT count(*) FROM module)", "root"),
     "folder_tree": _with("SELECT array_to_string(p[1:k], '/') AS folder, k AS depth, count(*) AS n_files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT loc, string_split(id, '/') AS p, unnest(range(0, len(string_split(id, '/')))) AS k FROM module) GROUP BY ALL", "module"),

@@ -69,9 +69,13 @@ def matrix(edges: DataFrame, members: DataFrame, violations: DataFrame, grouping
 
 
 def impact(target: DataFrame, importers: DataFrame, members: DataFrame, violations: DataFrame) -> DataFrame:
-    """Per target: modules that import it over any number of steps, its own cycles and layer violations, and the risk of a change."""
+    """Per target: modules that import it over any number of steps, its own cycles and layer violations, and the risk of a change.
+
+    ``importers`` has pairs ``source, id`` or, for many targets, counts ``source, affected``.
+    """
     source = F.col("id").alias("source")
-    n = importers.where("id <> source").groupBy("source").agg(F.count_distinct("id").alias("affected"))
+    counted = "affected" in importers.columns
+    n = importers.select("source", "affected") if counted else importers.where("id <> source").groupBy("source").agg(F.count_distinct("id").alias("affected"))
     rings = members.groupBy(source).agg(F.count_distinct("comp").alias("cycles"))
     bad = violations.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy(source).agg(F.count(F.lit(1)).alias("violations"))
     rows = target.select(source).join(n, "source", "left").join(rings, "source", "left").join(bad, "source", "left").na.fill(0)
