@@ -7,8 +7,10 @@ cut off and marked ``partial``, as the operator defines.
 
 from __future__ import annotations
 
+import heapq
 import posixpath
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,37 +23,71 @@ _INDEX = re.compile(r"^index\.(ts|tsx|js|jsx|mjs|cjs|vue|svelte)$")
 
 
 def vertex_order(pairs: set[tuple[str, str]], members: list[str]) -> list[str]:
-    """Sinks go last, sources first; where there are neither, the vertex with most edges out over in (the smallest name of those) goes next."""
-    out = {m: {b for a, b in pairs if a == m and b != m} for m in members}
-    into = {m: {a for a, b in pairs if b == m and a != m} for m in members}
-    left, head, tail = list(members), [], []
+    """Sinks go last, sources first; where there are neither, the vertex with most edges out over in (the smallest name of those) goes next.
+
+    Sinks and sources are taken in sweeps over the members; a vertex that
+    becomes one behind the sweep's place waits for the next. Each edge is taken
+    away once, and degrees are kept in a heap, so the work is that of the edges
+    times the logarithm of their number.
+    """
+    out: dict[str, set[str]] = {m: set() for m in members}
+    into: dict[str, set[str]] = {m: set() for m in members}
+    for a, b in pairs:
+        if a != b:
+            out[a].add(b)
+            into[b].add(a)
+    place = {m: k for k, m in enumerate(members)}
+    left, head, tail = set(members), [], []
+    degrees = [(len(into[v]) - len(out[v]), v) for v in members]
+    heapq.heapify(degrees)
+    # of sinks and of sources: those of this sweep, by place, and those that wait
+    now: list[list[int]] = [[], []]
+    later: list[list[int]] = [[k for k, v in enumerate(members) if not edges[v]] for edges in (out, into)]
+    at = [-1, -1]
+
+    def opened(kind: int, v: str) -> None:
+        if place[v] > at[kind]:
+            heapq.heappush(now[kind], place[v])
+        else:
+            later[kind].append(place[v])
 
     def take(v: str) -> None:
-        left.remove(v)
+        left.discard(v)
         for w in out.pop(v):
             into[w].discard(v)
+            heapq.heappush(degrees, (len(into[w]) - len(out[w]), w))
+            if not into[w]:
+                opened(1, w)
         for w in into.pop(v):
             out[w].discard(v)
-
+            heapq.heappush(degrees, (len(into[w]) - len(out[w]), w))
+            if not out[w]:
+                opened(0, w)
+
+    def swept(kind: int, taken: list[str]) -> bool:
+        now[kind], later[kind], moved = sorted({*now[kind], *later[kind]}), [], False
+        at[kind] = -1
+        while now[kind]:
+            k = heapq.heappop(now[kind])
+            if (v := members[k]) in left:
+                at[kind] = k
+                taken.append(v)
+                take(v)
+                moved = True
+        at[kind] = len(members)  # what opens now waits for the next sweep
+        return moved
+
+    at = [len(members)] * 2
     while left:
-        moved = True
-        while moved:
-            moved = False
-            for v in list(left):
-                if not out[v]:
-                    tail.insert(0, v)
-                    take(v)
-                    moved = True
-            for v in list(left):
-                if not into[v]:
-                    head.append(v)
-                    take(v)
-                    moved = True
-        if left:
-            best = min(left, key=lambda v: (len(into[v]) - len(out[v]), v))
-            head.append(best)
-            take(best)
-    return head + tail
+        while swept(0, tail) | swept(1, head):
+            pass
+        while left:
+            degree, v = heapq.heappop(degrees)
+            if v in left and degree == len(into[v]) - len(out[v]):
+                head.append(v)
+                take(v)
+                break
+    return head + tail[::-1]
 
 
 def feedback(pairs: set[tuple[str, str]], members: list[str]) -> set[tuple[str, str]]:
@@ -101,13 +137,17 @@ def elementary(pairs: set[tuple[str, str]], members: list[str], limit: int = CYC
     return found, False
 
 
-def simple_paths(pairs: set[tuple[str, str]], source: str, target: str, paths: int = PATHS, steps: int = STEPS) -> tuple[int, bool]:
-    """How many simple paths lead from source to target, up to the limits."""
-    if source == target:
-        return 1, False
+def followers(pairs: set[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for a, b in sorted(pairs):
         out.setdefault(a, []).append(b)
+    return out
+
+
+def simple_paths(out: dict[str, list[str]], source: str, target: str, paths: int = PATHS, steps: int = STEPS) -> tuple[int, bool]:
+    """How many simple paths lead from source to target, up to the limits."""
+    if source == target:
+        return 1, False
     count, done, on, todo = 0, 1, {source}, [(source, iter(out.get(source, ())))]
     while todo:
         v, rest = todo[-1]
@@ -132,7 +172,8 @@ def simple_paths(pairs: set[tuple[str, str]], source: str, target: str, paths: i
 def broken(pairs: set[tuple[str, str]], members: list[str], back: set[tuple[str, str]]) -> tuple[dict[tuple[str, str], tuple[int, bool]], int]:
     """Of each feedback edge how many cycles go through it; and the number of all cycles, -1 if not counted."""
     if len(members) > EXACT:
-        return {(a, b): simple_paths(pairs, b, a) for a, b in back}, -1
+        out = followers(pairs)
+        return {(a, b): simple_paths(out, b, a) for a, b in back}, -1
     found, cut = elementary(pairs, members)
     counts = dict.fromkeys(back, 0)
     for c in found:
@@ -150,8 +191,7 @@ def pattern(pairs: set[tuple[str, str]], members: list[str], back: set[tuple[str
         if len(indexes) == 1 and any(m != indexes[0] and posixpath.dirname(m) == posixpath.dirname(indexes[0]) for m in members):
             return "barrel-cycle"
     if len(back) >= 2:
-        targets = [b for _, b in back]
-        if max(map(targets.count, targets)) / len(back) >= 0.7:
+        if max(Counter(b for _, b in back).values()) / len(back) >= 0.7:
             return "hub-feedback"
     return "long-chain" if len(members) > 8 and 0 < len(back) <= 2 else "mixed"
 

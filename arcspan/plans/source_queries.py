@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..adapters import testdata as data
-from ..operators import findings, graph, lifecycle
+from ..operators import cycles, findings, graph, lifecycle
 from ..session import shared_dir, written
 from ..sources import facts, files, parse
 from . import store
@@ -24,13 +24,13 @@ from .scan import imports_of, links_of
 LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 
-def ring_edges(spark: SparkSession, d: str) -> DataFrame:
+def ring_edges(spark: SparkSession, d: str, chords: bool = True) -> DataFrame:
     """``src, dst, specifier, kind, typed``: rings of the line items of four orders, with chords."""
     ring = F.floor(F.col("l_orderkey") / 4)
     rows = data.table(spark, d, "lineitem").withColumn("ring", ring)
     each, all_ = Window.partitionBy("ring").orderBy(*LINES.split(", ")), Window.partitionBy("ring")
     rows = rows.select("ring", (F.row_number().over(each) - 1).alias("k"), F.count(F.lit(1)).over(all_).alias("n"), "l_quantity", "l_suppkey")
-    chord = F.when((F.col("l_quantity") >= 40) & ((F.col("l_suppkey") % F.col("n")) > 1), (F.col("k") + F.col("l_suppkey")) % F.col("n"))
+    chord = F.when(F.lit(chords) & (F.col("l_quantity") >= 40) & ((F.col("l_suppkey") % F.col("n")) > 1), (F.col("k") + F.col("l_suppkey")) % F.col("n"))
     ends = F.array_compact(F.array(F.struct(((F.col("k") + 1) % F.col("n")).alias("to"), (F.col("l_quantity") < 4).alias("typed")), F.when(chord.isNotNull(), F.struct(chord.alias("to"), (F.col("l_quantity") >= 48).alias("typed")))))
     named = lambda k: F.concat(F.lit("r"), F.col("ring").cast("string"), F.lit("/m"), F.col(k).cast("string"), F.lit(".ts"))
     rows = rows.select("ring", "k", F.explode(ends).alias("e")).select("ring", "k", F.col("e.to").alias("to"), "e.typed")
@@ -61,6 +61,13 @@ def type_only_imports(spark, d):
     return findings.type_only_candidates(texts, edges, graph.scc(edges)).select("src", "dst", "specifier", "names")
 
 
+@query
+def ring_breaks(spark, d):
+    """The edge to cut in each ring without chords, and what the ring looks like."""
+    edges = written(ring_edges(spark, d, chords=False), "rings")
+    return cycles.explained(edges, graph.scc(edges)).select("src", "dst", "broken", "partial", "total_cycles", "pattern", "breakpoint")
+
+
 def _routes(spark, d) -> DataFrame:
     """Files of a framework, made of the parts."""
     p = data.table(spark, d, "part")
@@ -161,6 +168,8 @@ ORACLE = {
 way AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM way w JOIN e ON w.dst = e.src)
 SELECT a.src AS id, least(min(a.dst), a.src) AS comp FROM way a JOIN way b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""",
     "type_only_imports": _RING + " SELECT src, dst, specifier, names FROM named WHERE src <> dst GROUP BY ALL HAVING bool_and(typed)",
+    "ring_breaks": _RING + """ SELECT 'r' || ring || '/m' || (n - 1) || '.ts' AS src, 'r' || ring || '/m0.ts' AS dst, CAST(1 AS BIGINT) AS broken, false AS partial, CAST(CASE WHEN n <= 20 THEN 1 ELSE -1 END AS BIGINT) AS total_cycles,
+  CASE WHEN n = 2 THEN 'mutual-pair' WHEN n > 8 THEN 'long-chain' ELSE 'mixed' END AS pattern, true AS breakpoint FROM (SELECT DISTINCT ring, n FROM line)""",
     "source_facts": _ROUTE + """
 SELECT 'runtime' AS fact, CASE s % 3 WHEN 0 THEN 'client' WHEN 1 THEN 'server' ELSE 'shared' END AS kind, CASE WHEN s % 3 = 2 AND r NOT IN (2, 6) THEN 'low' ELSE 'high' END AS confidence, count(*) AS n FROM f GROUP BY ALL
 UNION ALL SELECT 'route', ['page', 'layout', 'api', 'api', 'page', 'middleware'][r + 1], 'medium', count(*) FROM f WHERE r < 6 GROUP BY ALL

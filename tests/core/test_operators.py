@@ -120,8 +120,8 @@ def test_cycle_shapes(spark):
 
 def test_simple_paths_and_limits():
     pairs = {("s", "a"), ("a", "t"), ("s", "b"), ("b", "t"), ("a", "b")}
-    assert cycles.simple_paths(pairs, "s", "t") == (3, False)
-    assert cycles.simple_paths(pairs, "s", "t", paths=2) == (2, True)
+    assert cycles.simple_paths(cycles.followers(pairs), "s", "t") == (3, False)
+    assert cycles.simple_paths(cycles.followers(pairs), "s", "t", paths=2) == (2, True)
 
 
 def test_parallel_edges_count(spark):
@@ -266,3 +266,53 @@ def test_runtime_leaks(spark):
     m = spark.createDataFrame([(n, r, False) for n, r in rows], "id string, runtime string, is_server_actions boolean")
     got = {(r.src, r.dst, r.direct) for r in graph.runtime_leaks(m, edges(spark, [("c", "h"), ("h", "s"), ("d", "t"), ("s", "t")])).collect()}
     assert got == {("c", "s", False), ("d", "t", True)}
+
+
+def plain_order(pairs, members):
+    """The order as it is defined, sweep by sweep over lists."""
+    out = {m: {b for a, b in pairs if a == m and b != m} for m in members}
+    into = {m: {a for a, b in pairs if b == m and a != m} for m in members}
+    left, head, tail = list(members), [], []
+
+    def take(v):
+        left.remove(v)
+        for w in out.pop(v):
+            into[w].discard(v)
+        for w in into.pop(v):
+            out[w].discard(v)
+
+    while left:
+        moved = True
+        while moved:
+            moved = False
+            for edges, to in ((out, tail), (into, head)):
+                for v in list(left):
+                    if not edges[v]:
+                        to.append(v)
+                        take(v)
+                        moved = True
+        if left:
+            head.append(min(left, key=lambda v: (len(into[v]) - len(out[v]), v)))
+            take(head[-1])
+    return head + tail[::-1]
+
+
+def test_vertex_order_is_the_plain_one():
+    import random
+
+    r = random.Random(3)
+    for _ in range(400):
+        names = sorted({f"m{r.randrange(100):02}" for _ in range(r.randrange(1, 14))})
+        pairs = {(r.choice(names), r.choice(names)) for _ in range(r.randrange(3 * len(names)))}
+        assert cycles.vertex_order(pairs, names) == plain_order(pairs, names)
+
+
+def test_a_ring_of_many_is_linear():
+    import time
+
+    names = [f"n{k:06}" for k in range(100_000)]
+    pairs = set(zip(names, names[1:] + names[:1]))
+    began = time.time()
+    back = cycles.feedback(pairs, names)
+    assert back == {(names[-1], names[0])} and cycles.broken(pairs, names, back) == ({(names[-1], names[0]): (1, False)}, -1)
+    assert time.time() - began < 20
