@@ -36,6 +36,19 @@ _part("layer_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM violati
 _part("bound_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM boundary UNION ALL SELECT dst FROM boundary WHERE dst <> src) GROUP BY id", "boundary")
 _part("risk", f"SELECT m.*, CAST(CASE WHEN member.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS cycle_count, (SELECT count(*) FROM violation v WHERE v.src = m.id) + (SELECT count(*) FROM violation v WHERE v.dst = m.id) + coalesce(b.n, 0) AS violation_count, zone.id IS NOT NULL AS is_hot FROM metric m LEFT JOIN member USING (id) LEFT JOIN zone USING (id) LEFT JOIN bound_end b USING (id)", "metric", "member", "violation", "zone", "bound_end")
 _part("risky", f"SELECT *, {_HALF.format('hotness + coupling + fan_in + fan_out + cycle_count * 12 + violation_count * 10 + CASE WHEN is_hot THEN 10 ELSE 0 END')} AS risk FROM risk", "risk")
+_part(
+    "plan_found",
+    """SELECT 'cycle' AS type, comp AS id, CAST(CASE severity WHEN 'direct' THEN 100 ELSE 82 END AS DOUBLE) AS weight, string_split(modules, ',') AS targets, 0 AS stage, CAST(-length AS DOUBLE) AS by_, comp AS then_ FROM (SELECT * FROM cycle ORDER BY length DESC, comp LIMIT 20)
+  UNION ALL SELECT 'barrel-cycle', comp || ':barrel', CASE severity WHEN 'direct' THEN 92 ELSE 74 END, string_split(modules, ','), 0, -length, comp FROM (SELECT * FROM cycle ORDER BY length DESC, comp LIMIT 20) WHERE regexp_matches(modules, '(^|[/,])index\\.[cm]?[jt]sx?(,|$)')
+  UNION ALL SELECT 'layer-violation', src || chr(1) || dst, CASE severity WHEN 'error' THEN 88 ELSE 66 END, [src, dst], 1, 0, ord FROM (SELECT * FROM violation ORDER BY ord LIMIT 50)
+  UNION ALL SELECT 'move-module', src || chr(1) || dst || ':move', CASE severity WHEN 'error' THEN 84 ELSE 58 END, [src, dst], 1, 0, ord FROM (SELECT * FROM violation ORDER BY ord LIMIT 50)
+  UNION ALL SELECT 'unreachable-from-entries', id || ':unreachable', least(70.0, 35 + loc / 10), [id], 2, -loc, id FROM dead
+  UNION ALL SELECT 'contract-violation', id, CASE severity WHEN 'error' THEN 86 ELSE 64 END, [src, dst], 3, 0, ord FROM (SELECT * FROM boundary ORDER BY ord LIMIT 50)
+  UNION ALL SELECT 'hot-zone', id, least(80.0, hotness * 10), [id], 4, -hotness, id FROM (SELECT * FROM hot JOIN zone USING (id) ORDER BY hotness DESC, id LIMIT 50)
+  UNION ALL SELECT 'recommendation', 'contract:' || id, CASE severity WHEN 'error' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END, [src, dst], 5, -CASE severity WHEN 'error' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END, 'contract:' || id FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ord) AS k FROM boundary) WHERE k <= 5
+  UNION ALL SELECT 'recommendation', 'unused:' || id, CAST(0.4 AS DOUBLE), [id], 5, -CAST(0.4 AS DOUBLE), 'unused:' || id FROM fan WHERE NOT is_infra AND kind = 'util' AND fan_in = 0""",
+    "cycle", "violation", "dead", "boundary", "hot", "zone", "fan",
+)
 _part("dead", "SELECT id, loc, kind, 'isolated' AS \"group\" FROM fan WHERE fan_in + fan_out + n_exports = 0 AND kind NOT IN ('entry', 'test') AND NOT is_infra", "fan")
 _part("surface", "SELECT *, n_exports * 2 + fan_in * 3 + fan_out AS risk FROM fan WHERE NOT is_infra", "fan")
 _part("known", f"SELECT {SQL_ID.format('p_partkey')} AS id, string_split(p_name, ' ') AS exports FROM part")
@@ -106,9 +119,14 @@ MORE = {
     "briefing": _with(f"SELECT id, kind, {_SIX.format('w')} AS weight FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {_SIX.format('w')} DESC, id) AS place FROM ranked) WHERE place <= 2 ORDER BY {_SIX.format('w')} DESC, id LIMIT 6", "ranked", n=40).replace(f"{_SIX.format('w')} AS weight", "CAST(floor(w * 1000 + 0.5) AS DOUBLE) / 1000 AS weight"),
     "affected_areas": _with(f"SELECT {_AREA.format('id')} AS area, count(*) AS n, count(DISTINCT id) AS n_modules FROM (SELECT src AS id FROM violation UNION ALL SELECT dst FROM violation) GROUP BY ALL", "violation"),
     "fix_plan": _with(
-        f"""SELECT what, id, {_HALF.format('score')} AS score, CAST(floor((row_number() OVER (ORDER BY score DESC, what, id) - 1) / 8) AS BIGINT) AS repair_group FROM (SELECT what, x.id, score * CASE WHEN ord % 4 = 0 THEN CAST(0.1 AS DOUBLE) ELSE 1.0 END AS score FROM (
-        SELECT DISTINCT 'layer' AS what, src AS id, CASE severity WHEN 'error' THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score FROM violation UNION ALL SELECT 'dead-code', id, loc / 1000 FROM dead) x JOIN module USING (id) ORDER BY 3 DESC, 1, 2 LIMIT 100)""",
-        "violation", "dead",
+        """SELECT place, type, id, floor(weight * 1000000 + 0.5) / 1000000 AS weight, targets, generated,
+  array_to_string(list_filter([CASE WHEN safe AND safe_n <= 8 THEN 'safe-first' END, CASE WHEN high AND high_n <= 8 THEN 'high-impact' END, CASE WHEN look AND look_n <= 8 THEN 'review-before-change' END], lambda x: x IS NOT NULL), ',') AS groups
+FROM (SELECT *, row_number() OVER w AS place, count(*) FILTER (WHERE safe) OVER w AS safe_n, count(*) FILTER (WHERE high) OVER w AS high_n, count(*) FILTER (WHERE look) OVER w AS look_n FROM (
+  SELECT *, type IN ('unreachable-from-entries', 'barrel-cycle') AS safe, weight >= 80 AND NOT generated AS high, type IN ('cycle', 'layer-violation', 'contract-violation', 'hot-zone') AS look FROM (
+    SELECT type, id, CASE WHEN generated THEN weight * CAST(0.1 AS DOUBLE) ELSE weight END AS weight, array_to_string(targets, ',') AS targets, generated, stage, by_, then_ FROM (
+      SELECT *, len(list_filter(targets, lambda t: t NOT LIKE 'src/core/%' AND CAST(regexp_extract(t, '/(\\d+)(/index)?\\.ts$', 1) AS BIGINT) % 3 <> 0)) = 0 AS generated FROM plan_found))
+  ORDER BY weight DESC, stage, by_, then_, type LIMIT 100) WINDOW w AS (ORDER BY weight DESC, stage, by_, then_, type ROWS UNBOUNDED PRECEDING))""",
+        "plan_found", n=40,
     ),
     "hygiene": _with("(SELECT 'removable' AS list, id FROM dead ORDER BY loc DESC, id LIMIT 30) UNION ALL (SELECT 'entry-candidate', id FROM fan WHERE fan_in = 0 AND fan_out > 0 AND NOT is_infra AND kind <> 'test' ORDER BY fan_out DESC, id LIMIT 30) UNION ALL SELECT 'side-effect-owner', id FROM fan WHERE loc >= 960", "dead", "fan"),
     "history_trend": _with("SELECT *, score - lag(score) OVER (PARTITION BY project ORDER BY scanned_at) AS delta FROM snapshot", "snapshot"),

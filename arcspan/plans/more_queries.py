@@ -266,10 +266,14 @@ def affected_areas(spark, d):
 
 @query
 def fix_plan(spark, d):
+    """All eight types of findings by weight, with what is generated discounted."""
     s = _scan(spark, d)
-    parts = s["violations"].select(F.lit("layer").alias("what"), F.col("src").alias("id"), F.when(F.col("severity") == "error", 0.9).otherwise(0.5).alias("score")).distinct()
-    dead = views.dead_code(s["metrics"]).select(F.lit("dead-code").alias("what"), "id", (F.col("loc") / 1000).alias("score"))
-    return views.fix_plan(parts.union(dead), s["modules"].where("ord % 4 = 0").select("id"))
+    rings = graph.cycles(s["members"]).withColumnRenamed("comp", "id")
+    recs = recommend.from_contracts(_bound(s), 5).unionByName(recommend.unused_utilities(s["metrics"])).select("id", "weight", "modules")
+    found = views.fix_findings(rings, s["violations"], views.dead_code(s["metrics"]), _bound(s), s["hot"], recs)
+    generated = s["modules"].where("id LIKE 'src/core/%' OR ord % 3 = 0").select("id")
+    rows = views.fix_plan(found, generated)
+    return rows.select(F.col("place").cast("long").alias("place"), "type", "id", half_up(F.col("weight"), 6).alias("weight"), F.array_join("targets", ",").alias("targets"), "generated", F.array_join("groups", ",").alias("groups"))
 
 
 @query

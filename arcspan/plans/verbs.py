@@ -122,6 +122,14 @@ def hygiene(scan: Scan) -> DataFrame:
     return views.hygiene(scan.metrics, scan.base.lifecycles)
 
 
+def fix_plan(scan: Scan) -> DataFrame:
+    """What to repair first: findings of all types by weight, in repair groups."""
+    generated = views.generated_modules(scan.modules)
+    dead = views.dead_code(scan.metrics, generated)
+    found = views.fix_findings(scan.cycles, scan.violations, dead, scan.contracts, scan.hot, scan.recommendations)
+    return views.fix_plan(found, generated)
+
+
 def trend(before: Scan, after: Scan) -> DataFrame:
     """Direction between two scans."""
     changes = compared(before, after)

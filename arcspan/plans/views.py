@@ -108,8 +108,10 @@ def semantic_surface(metrics: DataFrame, top: int = 20, exports: int = 8) -> Dat
     return pick("broad", broad, F.col("risk").desc()).union(pick("quiet", quiet, F.col("n_exports").desc())).union(pick("types", types, F.col("risk").desc()))
 
 
-def dead_code(metrics: DataFrame) -> DataFrame:
-    """Modules without imports, importers or exports: ``id, loc, kind, group``."""
+def dead_code(metrics: DataFrame, generated: DataFrame | None = None) -> DataFrame:
+    """Modules without imports, importers or exports, generated ones left out: ``id, loc, kind, group``."""
+    if generated is not None:
+        metrics = metrics.join(generated.select("id"), "id", "left_anti")
     rows = metrics.where(is_review(F.col("id")) & (F.col("fan_in") + F.col("fan_out") + F.col("n_exports") == 0) & ~F.col("kind").isin("entry", "test") & ~F.col("is_infra"))
     script = F.col("id").rlike(r"(^|/)scripts/.+\.(js|cjs|mjs)$")
     return rows.select("id", "loc", "kind", F.when(script, "script-entry").otherwise("isolated").alias("group"))
@@ -199,13 +201,72 @@ def affected_areas(findings: DataFrame) -> DataFrame:
     return findings.groupBy(area(F.col("id")).alias("area")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_modules"))
 
 
-def fix_plan(parts: DataFrame, generated: DataFrame | None = None, top: int = 100, group: int = 8) -> DataFrame:
-    """Findings ``(what, id, score)`` by score; a tenth of it where the module is generated; numbered in repair groups."""
-    if generated is not None:
-        parts = parts.join(generated.select("id", F.lit(0.1).alias("factor")), "id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
-    best = parts.orderBy(F.col("score").desc(), "what", "id").limit(top)
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "what", "id"))  # over the ``top`` rows only
-    return best.select("what", "id", half_up(F.col("score")).alias("score"), F.floor((place - 1) / group).cast("long").alias("repair_group"))
+# Paths of code that tools write, index files, and which findings a repair group takes.
+_GENERATED = r"(?i)(^|/)(generated|__generated__|openapi|swagger|graphql-codegen)(/|$)"
+_INDEX = r"(^|/)index\.[cm]?[jt]sx?$"
+SAFE_FIRST = ("unreachable-from-entries", "barrel-cycle")
+REVIEW_FIRST = ("cycle", "layer-violation", "contract-violation", "hot-zone")
+
+
+def generated_modules(modules: DataFrame) -> DataFrame:
+    """``id`` of modules that are marked as generated or look like it."""
+    marked = F.col("is_generated") if "is_generated" in modules.columns else F.lit(False)
+    return modules.where(marked | F.col("id").rlike(_GENERATED)).select("id")
+
+
+def fix_findings(cycles: DataFrame, violations: DataFrame, dead: DataFrame, contracts: DataFrame, hot: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """``type, id, weight, targets, stage, by, then``: the eight types of findings that a plan ranks.
+
+    The first 20 cycles, 50 layer violations, 50 contract violations and 50 hot
+    zones are taken, as the plan defines, all unreachable modules and
+    recommendations; those of which no module (of layer violations: one end)
+    is under review are left out. ``stage, by, then`` order equal weights.
+    """
+    reviewed = lambda names: F.exists(names, is_review)
+    rated = lambda error, other: F.when(F.col("severity") == "error", error).otherwise(other)
+
+    def rows(df: DataFrame, type_: str, id_: Column, weight: Column, targets: Column, stage: int, by: Column, then: Column) -> DataFrame:
+        return df.select(F.lit(type_).alias("type"), id_.alias("id"), weight.cast("double").alias("weight"), targets.alias("targets"), F.lit(stage).alias("stage"), by.cast("double").alias("by"), then.cast("string").alias("then"))
+
+    ends, none, id_ = F.array("src", "dst"), F.lit(0), F.col("id")
+    rings = cycles.orderBy(F.col("length").desc(), "id").limit(20).where(reviewed("modules"))
+    direct = lambda one, other: F.when(F.col("severity") == "direct", one).otherwise(other)
+    barrels = rings.where(F.exists("modules", lambda m: m.rlike(_INDEX)))
+    lines = violations.orderBy("ord").limit(50).where(is_review(F.col("src")) & is_review(F.col("dst")))
+    broken = contracts.withColumn("targets", F.array_compact(ends)).orderBy("ord").limit(50).where(reviewed("targets"))
+    zones = hot.orderBy(F.col("hotness").desc(), "id").limit(50).where(is_review(id_))
+    parts = [
+        rows(rings, "cycle", id_, direct(100, 82), F.col("modules"), 0, -F.col("length"), id_),
+        rows(barrels, "barrel-cycle", F.concat(id_, F.lit(":barrel")), direct(92, 74), F.col("modules"), 0, -F.col("length"), id_),
+        rows(lines, "layer-violation", F.col("edge_id"), rated(88, 66), ends, 1, none, F.col("ord")),
+        rows(lines, "move-module", F.concat("edge_id", F.lit(":move")), rated(84, 58), ends, 1, none, F.col("ord")),
+        rows(dead, "unreachable-from-entries", F.concat(id_, F.lit(":unreachable")), F.least(F.lit(70.0), 35 + F.col("loc") / 10), F.array(id_), 2, -F.col("loc"), id_),
+        rows(broken, "contract-violation", id_, rated(86, 64), F.col("targets"), 3, none, F.col("ord")),
+        rows(zones, "hot-zone", id_, F.least(F.lit(80.0), F.col("hotness") * 10), F.array(id_), 4, -F.col("hotness"), id_),
+        rows(recommendations.where(reviewed("modules")), "recommendation", id_, F.col("weight"), F.col("modules"), 5, -F.col("weight"), id_),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fix_plan(findings: DataFrame, generated: DataFrame, top: int = 100, group: int = 8) -> DataFrame:
+    """The ``top`` findings by weight: ``place, type, id, weight, targets, generated, groups``.
+
+    A finding all of whose targets are generated weighs a tenth. ``groups`` names
+    the repair groups that a finding is among the first ``group`` of.
+    """
+    hit = findings.select("type", "id", F.explode("targets").alias("t")).join(generated.select(F.col("id").alias("t"), F.lit(1).alias("g")), "t", "left")
+    whole = hit.groupBy("type", "id").agg((F.count("g") == F.count(F.lit(1))).alias("generated"))
+    rows = findings.join(whole, ["type", "id"], "left").withColumn("generated", F.coalesce("generated", F.lit(False)))
+    rows = rows.withColumn("weight", F.when(F.col("generated"), F.col("weight") * 0.1).otherwise(F.col("weight")))
+    order = [F.col("weight").desc(), "stage", "by", "then", "type"]
+    best = rows.orderBy(*order).limit(top)
+    tests = {
+        "safe-first": F.col("type").isin(*SAFE_FIRST), "high-impact": (F.col("weight") >= 80) & ~F.col("generated"), "review-before-change": F.col("type").isin(*REVIEW_FIRST),
+    }
+    upto = Window.orderBy(*order)  # over the ``top`` rows only
+    among = {name: F.sum(F.when(test, 1).otherwise(0)).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for name, test in tests.items()}
+    groups = F.array_compact(F.array(*(F.when(tests[name] & (among[name] <= group), F.lit(name)) for name in tests)))
+    return best.select(F.row_number().over(upto).alias("place"), "type", "id", "weight", "targets", "generated", groups.alias("groups"))
 
 
 def hygiene(metrics: DataFrame, risks: DataFrame, top: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import pytest
 
 from arcspan.operators import graph, lifecycle, recommend
-from arcspan.plans import config, report, scan
+from arcspan.plans import config, report, scan, verbs, views
 from arcspan.sources import aliases, facts, files, parse, resolve
 from arcspan.sources.typeuse import type_only_names
 
@@ -171,3 +171,27 @@ def test_package_aliases():
     assert aliases.package_aliases("p/package.json", '{"name": "q"}') == [("q", ["p/src", "p"]), ("q/*", ["p/src/*", "p/*"])]
     assert aliases.package_aliases("package.json", '{"name": "root", "imports": {"#a/*": "./src/a/*.js", "#b": "./b.ts", "c": "./c"}}') == [("#a/*", ["src/a/*"]), ("#b", ["b.ts"])]
     assert aliases.package_aliases("p/package.json", "{") == [] and aliases.package_aliases("p/package.json", "{}") == []
+
+
+def test_fix_plan(spark):
+    """By hand: a tenth for what is generated as a whole, nothing of tests, groups by their own first ones."""
+    frame = spark.createDataFrame
+    rings = frame([("cycle:1", 2, "direct", ["a/index.ts", "a/x.ts"]), ("cycle:2", 3, "indirect", ["gen/a.ts", "gen/b.ts", "gen/c.ts"]), ("cycle:3", 9, "indirect", ["t/a.test.ts"])], "id string, length long, severity string, modules array<string>")
+    lines = frame([("e1", "1", "a.ts", "b.ts", "error"), ("e2", "2", "a.ts", "__tests__/b.ts", "error"), ("e3", "3", "gen/a.ts", "b.ts", "warning")], "edge_id string, ord string, src string, dst string, severity string")
+    dead = frame([("old.ts", 100), ("tiny.ts", 1), ("huge.ts", 5000)], "id string, loc long")
+    contracts = frame([("k1", "0", "a.ts", None, "warning")], "id string, ord string, src string, dst string, severity string")
+    hot = frame([("a.ts", 3.0), ("b.ts", 30.0)], "id string, hotness double")
+    recs = frame([("r1", 0.7, ["a.ts"]), ("r2", 0.9, ["x/fixtures/y.ts"])], "id string, weight double, modules array<string>")
+    found = views.fix_findings(rings, lines, dead, contracts, hot, recs)
+    got = [(r.type, r.id, round(r.weight, 3), r.generated, ",".join(r.groups)) for r in views.fix_plan(found, frame([("gen/a.ts",), ("gen/b.ts",), ("gen/c.ts",)], "id string"), group=2).orderBy("place").collect()]
+    assert got == [
+        ("cycle", "cycle:1", 100.0, False, "high-impact,review-before-change"), ("barrel-cycle", "cycle:1:barrel", 92.0, False, "safe-first,high-impact"), ("layer-violation", "e1", 88.0, False, "review-before-change"),
+        ("move-module", "e1:move", 84.0, False, ""), ("hot-zone", "b.ts", 80.0, False, ""), ("unreachable-from-entries", "huge.ts:unreachable", 70.0, False, "safe-first"), ("layer-violation", "e3", 66.0, False, ""),
+        ("contract-violation", "k1", 64.0, False, ""), ("move-module", "e3:move", 58.0, False, ""), ("unreachable-from-entries", "old.ts:unreachable", 45.0, False, ""), ("unreachable-from-entries", "tiny.ts:unreachable", 35.1, False, ""),
+        ("hot-zone", "a.ts", 30.0, False, ""), ("cycle", "cycle:2", 8.2, True, ""), ("recommendation", "r1", 0.7, False, ""),
+    ]
+
+
+def test_fix_plan_of_a_scan(whole):
+    types = {r.type for r in verbs.fix_plan(whole).collect()}
+    assert types >= {"cycle", "contract-violation", "hot-zone", "recommendation"}
