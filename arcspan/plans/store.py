@@ -89,9 +89,43 @@ def rescanned(
     spark: SparkSession, sources: DataFrame, path: str, config: Config | None = None, aliases: list = (), framework: str = "generic",
     html: DataFrame | None = None, chunks: DataFrame | None = None,
 ) -> tuple[Scan, str]:
-    """The scan of ``sources`` through the cache at ``path``, and what the cache could do (see :func:`refreshed`)."""
+    """The scan of ``sources`` through the cache at ``path``, and what the cache could do (see :func:`refreshed`).
+
+    What the scan found is kept beside its base; while neither files nor
+    settings nor what else it was given change, it is read and not made again.
+    """
+    ship(spark)
+    config = config or Config()
     base, outcome = refreshed(spark, sources, path, config, aliases, framework)
-    return measured(base, config or Config(), framework, html, chunks), outcome
+    given = {k: _digest(df, columns) for k, df, columns in (("html", html, ["content"]), ("chunks", chunks, ["chunk_id", "path", "size"]))}
+    key = cache_key(version=VERSION, today=config.today if config.suppressions else None, **given)
+    if outcome == "fresh" and noted(spark, f"{path}/found/key").get("key") == key:
+        return _found(spark, path, base, framework), outcome
+    note(spark, f"{path}/found/key", key=None)
+    scan = measured(base, config, framework, html, chunks)
+    own = {f.name: getattr(scan, f.name) for f in fields(Scan) if isinstance(getattr(scan, f.name), DataFrame)}
+    for name, table in own.items():
+        if name not in SHARED:
+            table.write.mode("overwrite").parquet(f"{path}/found/{name}")
+    note(spark, f"{path}/found/key", key=key, tables=sorted(own))
+    return _found(spark, path, base, framework), outcome
+
+
+#: Tables of a scan that its base holds.
+SHARED = tuple(f.name for f in fields(Base))
+
+
+def _digest(df: DataFrame | None, columns: list[str]) -> str | None:
+    """One number of all rows in any order."""
+    if df is None:
+        return None
+    return str(df.agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).first())
+
+
+def _found(spark: SparkSession, path: str, base: Base, framework: str) -> Scan:
+    names = noted(spark, f"{path}/found/key")["tables"]
+    own = {n: getattr(base, n) if n in SHARED else spark.read.parquet(f"{path}/found/{n}") for n in names}
+    return Scan(**({"bundle": None} | own), base=base, framework=framework)
 
 
 def refreshed(spark: SparkSession, sources: DataFrame, path: str, config: Config | None = None, aliases: list = (), framework: str = "generic") -> tuple[Base, str]:

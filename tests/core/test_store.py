@@ -61,7 +61,7 @@ def test_stored_scan_keeps_its_framework(spark, tmp_path):
     assert again.framework == "next" and {tuple(r) for r in again.risks.select("id", "risk").collect()} == {tuple(r) for r in s.risks.select("id", "risk").collect()}
 
 
-def test_project_folder(spark, tmp_path):
+def test_project_folder(spark, tmp_path, monkeypatch):
     texts = {
         "package.json": '{"dependencies": {"vue": "3"}, "imports": {"#k": "./src/k.ts"}}', "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./src/*", "./more/*"]}}}',
         "packages/ui/package.json": '{"name": "@o/ui", "exports": "./index.ts"}', "packages/ui/index.ts": "export const ui = 1", "index.html": "<script type='module' src='/src/start.ts'></script>",
@@ -75,6 +75,12 @@ def test_project_folder(spark, tmp_path):
     assert s.framework == "vue" and {(r.src, r.dst) for r in s.edges.collect()} == {("src/start.ts", x) for x in ("src/k.ts", "packages/ui/index.ts", "more/m.ts")}
     assert {r.kind for r in s.bundle.collect()} == {"heavy-chunk", "solo-hot"} and "junk/j.ts" not in {r.id for r in s.modules.collect()}
     assert verbs.check(s, ["bundle-bloat:high"])[0] == 1
+    # nothing changed: what was found is read, nothing is made again
+    monkeypatch.setattr(store, "measured", lambda *a: 1 / 0)
+    monkeypatch.setattr(parse, "parse", lambda *a: 1 / 0)
+    again = verbs.scan(spark, str(tmp_path / "p"), cache=str(tmp_path / "cache"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert all(rows(again.tables()[k]) == rows(t) for k, t in s.tables().items()) and again.tables().keys() == s.tables().keys()
 
 
 @pytest.mark.parametrize("text, problem", [('{"loaders": [{"name": "x"}]}', "loaders[0]"), ('{"suppressions": [{"stableKey": 1}]}', "suppressions[0]"), ('{"generatedMode": "maybe"}', "generatedMode"), ('{"git": {"window": "soon"}}', "git.window")])
