@@ -36,6 +36,12 @@ _part("layer_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM violati
 _part("bound_end", "SELECT id, count(*) AS n FROM (SELECT src AS id FROM boundary UNION ALL SELECT dst FROM boundary WHERE dst <> src) GROUP BY id", "boundary")
 _part("risk", f"SELECT m.*, CAST(CASE WHEN member.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS cycle_count, (SELECT count(*) FROM violation v WHERE v.src = m.id) + (SELECT count(*) FROM violation v WHERE v.dst = m.id) + coalesce(b.n, 0) AS violation_count, zone.id IS NOT NULL AS is_hot FROM metric m LEFT JOIN member USING (id) LEFT JOIN zone USING (id) LEFT JOIN bound_end b USING (id)", "metric", "member", "violation", "zone", "bound_end")
 _part("risky", f"SELECT *, {_HALF.format('hotness + coupling + fan_in + fan_out + cycle_count * 12 + violation_count * 10 + CASE WHEN is_hot THEN 10 ELSE 0 END')} AS risk FROM risk", "risk")
+_part("item", "SELECT *, CAST(loc + n_exports * 4 + fan_in * 3 + fan_out * 2 AS BIGINT) AS worth FROM fan WHERE loc > 0", "fan")
+_part("lived", "SELECT id, kind, CAST(CASE ord % 7 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n FROM fan WHERE runtime <> 'server'", "fan")
+_part("marked", "SELECT src, dst, max(CASE severity WHEN 'error' THEN 2 ELSE 1 END) AS bad FROM violation GROUP BY ALL", "violation")
+_part("lane", "SELECT e2.ord, e2.src, e2.dst, {area_src} AS from_group, {area_dst} AS to_group, bad FROM edge e2 LEFT JOIN marked ON marked.src = e2.src AND marked.dst = e2.dst WHERE {area_src} <> {area_dst}", "edge", "marked")
+_part("place", "SELECT g, row_number() OVER (ORDER BY met) - 1 AS place FROM (SELECT g, min(at_) AS met FROM (SELECT from_group AS g, ord || '|0' AS at_ FROM lane UNION ALL SELECT to_group, ord || '|1' FROM lane) GROUP BY g)", "lane")
+_part("follow", "SELECT m[k] AS src, m[k % len(m) + 1] AS dst FROM (SELECT m, unnest(range(1, len(m) + 1)) AS k FROM (SELECT string_split(modules, ',') AS m FROM cycle))", "cycle")
 _part(
     "plan_found",
     """SELECT 'cycle' AS type, comp AS id, CAST(CASE severity WHEN 'direct' THEN 100 ELSE 82 END AS DOUBLE) AS weight, string_split(modules, ',') AS targets, 0 AS stage, CAST(-length AS DOUBLE) AS by_, comp AS then_ FROM (SELECT * FROM cycle ORDER BY length DESC, comp LIMIT 20)
@@ -128,7 +134,28 @@ FROM (SELECT *, row_number() OVER w AS place, count(*) FILTER (WHERE safe) OVER
   ORDER BY weight DESC, stage, by_, then_, type LIMIT 100) WINDOW w AS (ORDER BY weight DESC, stage, by_, then_, type ROWS UNBOUNDED PRECEDING))""",
         "plan_found", n=40,
     ),
-    "hygiene": _with("(SELECT 'removable' AS list, id FROM dead ORDER BY loc DESC, id LIMIT 30) UNION ALL (SELECT 'entry-candidate', id FROM fan WHERE fan_in = 0 AND fan_out > 0 AND NOT is_infra AND kind <> 'test' ORDER BY fan_out DESC, id LIMIT 30) UNION ALL SELECT 'side-effect-owner', id FROM fan WHERE loc >= 960", "dead", "fan"),
+    "hygiene": _with(
+        """SELECT list, row_number() OVER (PARTITION BY list ORDER BY a DESC, b DESC, id) AS place, id, value, note FROM (
+  SELECT 'removable' AS list, id, worth AS a, 0 AS b, worth AS value, '' AS note FROM item WHERE kind NOT IN ('entry', 'test') AND ord % 6 <> 0 AND fan_in = 0 AND fan_out = 0 AND n_exports = 0 AND NOT is_infra
+  UNION ALL SELECT 'entry-candidate', id, fan_out, worth, worth, '' FROM item WHERE kind NOT IN ('entry', 'test') AND ord % 6 <> 0 AND fan_in = 0 AND fan_out > 0
+  UNION ALL SELECT 'generated-pressure', id, worth, 0, worth, '' FROM item WHERE ord % 6 = 0 AND (fan_in + fan_out >= 20 OR loc >= 500)
+  UNION ALL SELECT 'lifecycle-risk', id, n, 0, n, 'medium' FROM lived WHERE n > 0
+  UNION ALL SELECT 'side-effect-owner', id, CASE WHEN kind IN ('component', 'service', 'store') THEN 0 ELSE 1 END, n, n, CASE WHEN kind IN ('component', 'service', 'store') THEN 'owned' ELSE 'review' END FROM lived WHERE n > 0) QUALIFY place <= 30""",
+        "item", "lived",
+    ),
+    "report_status": _with(
+        """SELECT layer, CASE WHEN EXISTS (SELECT 1 FROM violation WHERE src_layer = layer AND severity = 'error') OR EXISTS (SELECT 1 FROM boundary WHERE src LIKE 'src/' || layer || '/%' AND severity = 'error') THEN 'blocking'
+  WHEN EXISTS (SELECT 1 FROM zone WHERE id LIKE 'src/' || layer || '/%') THEN 'review' ELSE 'clean' END AS status FROM (SELECT unnest(['app', 'pages', 'widgets', 'features', 'entities', 'shared', 'core']) AS layer)
+UNION ALL SELECT 'all', CASE WHEN (SELECT grade FROM graded) IN ('D', 'F') OR EXISTS (SELECT 1 FROM violation WHERE severity = 'error') OR EXISTS (SELECT 1 FROM boundary WHERE severity = 'error') OR EXISTS (SELECT 1 FROM cycle WHERE severity = 'direct') THEN 'blocking'
+  WHEN EXISTS (SELECT 1 FROM cycle) OR EXISTS (SELECT 1 FROM zone) THEN 'review' ELSE 'clean' END""",
+        "violation", "boundary", "zone", "cycle", "graded", n=40,
+    ),
+    "ui_matrix": _with(
+        f"""SELECT c.from_group, f.place AS from_place, c.to_group, t.place AS to_place, imports, violations, severity, cycle_edges FROM (
+  SELECT from_group, to_group, count(*) AS imports, count(bad) AS violations, CASE max(bad) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'normal' END AS severity, count(*) FILTER (WHERE (src, dst) IN (SELECT (src, dst) FROM follow)) AS cycle_edges FROM lane GROUP BY ALL) c
+JOIN place f ON f.g = c.from_group JOIN place t ON t.g = c.to_group""",
+        "lane", "place", "follow", area_src=_AREA.format("e2.src"), area_dst=_AREA.format("e2.dst"),
+    ),
     "history_trend": _with("SELECT *, score - lag(score) OVER (PARTITION BY project ORDER BY scanned_at) AS delta FROM snapshot", "snapshot"),
     "kept_snapshots": _with("SELECT * FROM snapshot QUALIFY row_number() OVER (PARTITION BY project ORDER BY scanned_at DESC) <= 10", "snapshot"),
     "scan_totals": _with("SELECT (SELECT count(*) FROM module) AS modules, (SELECT CAST(sum(loc) AS BIGINT) FROM module) AS loc, count(*) AS edges, count(*) FILTER (WHERE kind = 'type-only') AS type_only, count(*) FILTER (WHERE kind = 'dynamic') AS dynamic FROM edge", "module", "edge"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..adapters import testdata as data
 from ..functions import search as find
 from ..functions.values import half_up
-from ..operators import cycles, diff, graph, history, metrics, recommend, rules
+from ..operators import cycles, diff, graph, history, lifecycle, metrics, recommend, rules
 from ..session import written
 from ..sources import files, gitlog, parse, resolve
 from ..streaming import watch
@@ -278,8 +278,34 @@ def fix_plan(spark, d):
 
 @query
 def hygiene(spark, d):
-    m = metrics.fans(data.modules(spark, d), data.edges(spark, d))
-    return views.hygiene(m, m.where("loc >= 960").select("id"))
+    """With lifecycle risks read from texts made of the parts."""
+    modules = data.modules(spark, d).withColumn("is_generated", F.col("ord") % 6 == 0)
+    m = metrics.fans(modules, data.edges(spark, d))
+    text = F.when(F.col("ord") % 7 == 0, "addEventListener('x', f)\nt = setInterval(f)").when(F.col("ord") % 7 == 1, "s.subscribe(f); s.unsubscribe()").when(F.col("ord") % 7 == 2, "createObjectURL(b)").otherwise("")
+    parsed = parse.parse(modules.select(F.col("id").alias("rel_path"), text.alias("content")))
+    risks = lifecycle.risks(parsed.select(F.col("rel_path").alias("id"), "marks").join(modules.select("id", "runtime"), "id"))
+    return views.hygiene(m, risks)
+
+
+@query
+def report_status(spark, d):
+    """For each layer as a report of its own."""
+    s = _scan(spark, d)
+    rings, debt = graph.cycles(s["members"]), metrics.arch_debt(s["metrics"], graph.cycles(s["members"]), s["violations"], metrics.hot_zones(s["metrics"]))
+    none = s["modules"].limit(0)
+    rows = []
+    for name in data.LAYERS:
+        own = s["violations"].where(F.col("src_layer") == name)
+        one = views.report_status(debt.withColumn("grade", F.lit("C")), none.withColumn("severity", F.lit("")), own, _bound(s).where(F.col("src").startswith(f"src/{name}/")), s["hot"].where(F.col("id").startswith(f"src/{name}/")), none, none)
+        rows.append(one.select(F.lit(name).alias("layer"), "status"))
+    whole = views.report_status(debt, rings, s["violations"], _bound(s), s["hot"], none, none)
+    return reduce(DataFrame.union, rows).union(whole.select(F.lit("all"), "status"))
+
+
+@query
+def ui_matrix(spark, d):
+    s = _scan(spark, d)
+    return views.ui_matrix(s["edges"], graph.cycles(s["members"]), s["violations"], "area")
 
 
 def _snapshots(spark, d):

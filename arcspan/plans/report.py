@@ -24,7 +24,8 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def summary(scan: Scan) -> dict:
     debt = scan.debt.first().asDict()
-    return {"modules": scan.modules.count(), "edges": scan.edges.count(), "cycles": scan.cycles.count(), "layer_violations": scan.violations.count(), "contract_violations": scan.contracts.count(), "debt": debt}
+    status = views.report_status(scan.debt, scan.cycles, scan.violations, scan.contracts, scan.hot, scan.signals, scan.warnings).first().status
+    return {"status": status, "modules": scan.modules.count(), "edges": scan.edges.count(), "cycles": scan.cycles.count(), "layer_violations": scan.violations.count(), "contract_violations": scan.contracts.count(), "debt": debt}
 
 
 def as_json(scan: Scan) -> str:

@@ -110,6 +110,10 @@ def explain(scan: Scan, what: str) -> dict:
     return report.explain(scan, what)
 
 
+def unowned(scan: Scan) -> DataFrame:
+    return views.unowned_hot(scan.hot)
+
+
 def ownership(scan: Scan) -> DataFrame:
     return views.ownership(scan.metrics, views.finding_modules(scan.hot, scan.members, scan.violations, scan.contracts))
 

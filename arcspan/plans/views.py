@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import half_up
 
+from ..operators.recommend import CONFIDENCES, place
 from ..operators.rules import layer
 
 # Folders that hold one folder per domain.
@@ -270,11 +271,80 @@ def fix_plan(findings: DataFrame, generated: DataFrame, top: int = 100, group: i
 
 
 def hygiene(metrics: DataFrame, risks: DataFrame, top: int = 30) -> DataFrame:
-    """``list, id``: removable modules, likely entries, side-effect owners without a home (risks ``id, kind``)."""
-    removable = dead_code(metrics).orderBy(F.col("loc").desc(), "id").limit(top).select(F.lit("removable").alias("list"), "id")
-    entries = metrics.where("fan_in = 0 AND fan_out > 0 AND NOT is_infra AND kind <> 'test'").orderBy(F.col("fan_out").desc(), "id").limit(top).select(F.lit("entry-candidate").alias("list"), "id")
-    homeless = risks.select("id").distinct().where(~F.col("id").rlike(r"(^|/)(hooks?|composables?|services?|stores?|routes?)(/|\.)")).select(F.lit("side-effect-owner").alias("list"), "id")
-    return removable.union(entries).union(homeless)
+    """Five lists of at most ``top`` modules: ``list, place, id, value, note``.
+
+    ``removable``, ``entry-candidate`` and ``generated-pressure`` come from the
+    metrics (``value`` is their risk), ``lifecycle-risk`` and
+    ``side-effect-owner`` from the risks ``id, confidence`` (``value`` is their
+    number; ``note`` the highest confidence, or whether the place suits them).
+    """
+    generated = F.col("is_generated") if "is_generated" in metrics.columns else F.lit(False)
+    worth = F.col("loc") + F.col("n_exports") * 4 + F.col("fan_in") * 3 + F.col("fan_out") * 2
+    items = metrics.where(is_review(F.col("id")) & (F.col("loc") > 0)).withColumns({"value": worth.cast("long"), "generated": generated, "note": F.lit("")})
+
+    def listed(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+        order = [*order, F.col("id")]
+        best = rows.orderBy(*order).limit(top)  # so the window is over a few rows
+        return best.select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "id", "value", "note")
+
+    plain = items.where("kind NOT IN ('entry', 'test') AND NOT generated AND fan_in = 0")
+    by_module = risks.groupBy("id").agg(F.count(F.lit(1)).alias("value"), F.max(place(F.col("confidence"), CONFIDENCES)).alias("sure"))
+    owners = by_module.join(metrics.select("id", "kind"), "id", "left")
+    owned = F.col("kind").isin("component", "composable", "service", "store", "route", "entry", "integration")
+    homeless = F.col("id").rlike(r"/shared/(lib|utils?|model|schema|config)(/|\.)") | ~F.coalesce(owned, F.lit(False))
+    parts = [
+        listed(plain.where("fan_out = 0 AND n_exports = 0 AND NOT is_infra"), "removable", F.col("value").desc()),
+        listed(plain.where("fan_out > 0"), "entry-candidate", F.col("fan_out").desc(), F.col("value").desc()),
+        listed(items.where("generated AND (fan_in + fan_out >= 20 OR loc >= 500)"), "generated-pressure", F.col("value").desc()),
+        listed(by_module.withColumn("note", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("sure").cast("int"))), "lifecycle-risk", F.col("value").desc(), F.col("sure").desc()),
+        listed(owners.withColumn("note", F.when(homeless, "review").otherwise("owned")), "side-effect-owner", F.col("note").desc(), F.col("value").desc()),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unowned_hot(hot: DataFrame) -> DataFrame:
+    """Hot zones that belong to no area: ``id``."""
+    return hot.where(is_review(F.col("id")) & ((area(F.col("id")) == "project") | (folder(F.col("id")) == "."))).select("id")
+
+
+def report_status(debt: DataFrame, cycles: DataFrame, violations: DataFrame, contracts: DataFrame, hot: DataFrame, signals: DataFrame, warnings: DataFrame, misconfigured: bool = False) -> DataFrame:
+    """``status`` of a report in one row: ``blocking``, ``review`` or ``clean``."""
+    seen = lambda df, name, test=None: df.agg(F.coalesce(F.max(F.lit(True) if test is None else test), F.lit(False)).alias(name))
+    error = F.col("severity") == "error"
+    row = debt.select(F.col("grade").isin("D", "F").alias("poor"))
+    facts = [seen(contracts, "broken", error), seen(violations, "crossed", error), seen(cycles, "direct", F.col("severity") == "direct"), seen(cycles, "rings"), seen(hot, "zones"), seen(signals, "signs"), seen(warnings, "warned")]
+    for fact in facts:
+        row = row.crossJoin(fact)  # one row each
+    blocking = F.lit(misconfigured) | F.expr("broken OR crossed OR direct OR poor")
+    return row.select(F.when(blocking, "blocking").when(F.expr("rings OR zones OR signs OR warned"), "review").otherwise("clean").alias("status"))
+
+
+def ui_matrix(edges: DataFrame, cycles: DataFrame, violations: DataFrame, grouping: str = "area", only_violations: bool = False) -> DataFrame:
+    """The matrix as a screen shows it: groups in the order in which edges (``ord``) name them.
+
+    ``from_group, from_place, to_group, to_place, imports, violations, severity,
+    cycle_edges``. An edge counts as one of a cycle only between members that
+    follow each other in its sorted list.
+    """
+    by = GROUPINGS[grouping]
+    rows = edges.select("ord", "src", "dst", by(F.col("src")).alias("from_group"), by(F.col("dst")).alias("to_group")).where("from_group <> to_group")
+    bad = violations.groupBy("src", "dst").agg(F.max(F.when(F.col("severity") == "error", 2).otherwise(1)).alias("bad"))
+    rows = rows.join(bad, ["src", "dst"], "left")
+    if only_violations:
+        rows = rows.where("bad IS NOT NULL")
+    nth = F.expr("modules[(k + 1) % size(modules)]")
+    follow = cycles.select("modules", F.posexplode("modules").alias("k", "src")).select("src", nth.alias("dst"), F.lit(1).alias("ring")).distinct()
+    rows = rows.join(follow, ["src", "dst"], "left")
+    cells = rows.groupBy("from_group", "to_group").agg(
+        F.count(F.lit(1)).alias("imports"), F.count("bad").alias("violations"), F.coalesce(F.max("bad"), F.lit(0)).alias("worst"), F.count("ring").alias("cycle_edges")
+    )
+    named = rows.select(F.explode(F.array(F.struct("ord", F.lit(0).alias("side"), F.col("from_group").alias("g")), F.struct("ord", F.lit(1).alias("side"), F.col("to_group").alias("g")))).alias("n")).select("n.*")
+    first = named.groupBy("g").agg(F.min(F.struct("ord", "side")).alias("at"))
+    order = first.select("g", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("place"))  # a row a group
+    ends = [order.select(F.col("g").alias(f"{side}_group"), F.col("place").alias(f"{side}_place")) for side in ("from", "to")]
+    cells = cells.join(ends[0], "from_group").join(ends[1], "to_group")
+    severity = F.element_at(F.array(*map(F.lit, ("normal", "warning", "error"))), F.col("worst") + 1)
+    return cells.select("from_group", "from_place", "to_group", "to_place", "imports", "violations", severity.alias("severity"), "cycle_edges")
 
 
 def history(snapshots: DataFrame) -> DataFrame:
