@@ -286,16 +286,13 @@ def _sorted_blocks(contents: DataFrame, kind: str, width: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, group, size
             group = list({r[:2] + r[3:4]: r for r in group}.values())  # rows that are repeated
-            if len(group) > 1 and any(r[4] for r in group):  # a content alone can only repeat itself
+            if any(r[4] for r in group):  # a content alone can only repeat itself
                 more = sum(len(r[5]) for r in group)
                 if waiting and size + more > FILL:
                     yield flush()
                     waiting, size = [], 0
                 waiting += group
                 size += more
-            elif group and group[0][4]:
-                waiting += group
-                size += len(group[0][5])
             group = []
 
         for batch in batches:

@@ -77,3 +77,11 @@ def test_odd_rows(odd, empty, odd_rows):
     got = Counter(map(tuple, suffixes.without_repeats(odd).collect()))
     assert got == Counter((r[0], *b) for r, b in zip(odd_rows, brute([(r[1] or "").encode() for r in odd_rows])))
     assert suffixes.without_repeats(empty).collect() == []
+
+
+def test_many_contents_that_repeat_only_themselves(spark, monkeypatch):
+    """Each text is one period of its own: groups of one content fill sorts too, several of them."""
+    rows = [(k, f"{k:03}-{chr(97 + k % 26)}" * 120) for k in range(400)]
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    want = brute([t.encode() for _, t in rows])
+    assert Counter(map(tuple, got)) == Counter((k, *b) for (k, _), b in zip(rows, want)) and all(b[1] == b[0] for b in want)
