@@ -133,7 +133,7 @@ def ignored_files(spark, d):
     return files.ignored_paths(data.modules(spark, d).select(F.col("id").alias("rel_path")), rules)
 
 
-def _sources(modules: DataFrame, edges: DataFrame) -> DataFrame:
+def module_texts(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """Texts of the modules with their imports."""
     up = F.concat(F.when(F.col("src").endswith("/index.ts"), "../").otherwise(""), F.lit("../../../"), F.regexp_replace("dst", r"\.ts$", ""))
     line = F.when(F.col("kind") == "type-only", F.concat(F.lit("import type { T } from '"), up, F.lit("'"))).when(F.col("kind") == "dynamic", F.concat(F.lit("import('"), up, F.lit("')")))
@@ -146,7 +146,7 @@ def _sources(modules: DataFrame, edges: DataFrame) -> DataFrame:
 def cached_rescan(spark, d):
     """Edges of a rescan through the cache, after some files lost their imports and some are gone."""
     place = f"{shared_dir(spark).rstrip('/')}/cache-{uuid.uuid4().hex}"
-    before = written(_sources(data.modules(spark, d), data.edges(spark, d)), "sources")
+    before = written(module_texts(data.modules(spark, d), data.edges(spark, d)), "sources")
     after = before.where("ord % 10 <> 7").withColumn("content", F.when(F.col("ord") % 10 == 3, "").otherwise(F.col("content")))
     store.refreshed(spark, before.drop("ord"), place)
     base, outcome = store.refreshed(spark, after.drop("ord"), place)
