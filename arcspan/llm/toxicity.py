@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_batch, held, held_out, known_labels, written
+from .common import as_bytes, by_batch, held, held_out, known_labels, trimmed, written
 
 ORDER, SAMPLE, MARGIN = 5, 2000, 3.0
 SAMPLE_BYTES = 1 << 25  # of each class
@@ -148,9 +148,14 @@ def difference(words: list[Counter], pairs: np.ndarray) -> dict[bytes, float]:
     """Log-probability differences, toxic less ordinary: of each gram that either class has seen, and of each seen context (a zero byte after it) that of backing off."""
     shared = shared_table(pairs)
     plain, toxic = (KneserNey(w, shared) for w in words)
-    out = {g: math.log(toxic.p(g) / plain.p(g)) for g in toxic.left.keys() | plain.left.keys()}
-    for h in toxic.total.keys() | plain.total.keys():
-        out[h + b"\0"] = math.log(toxic.back.get(h, 1.0) / plain.back.get(h, 1.0))
+    out: dict[bytes, float] = {}
+    for seen in (toxic.left, plain.left):  # one after another: no set of all
+        for g in seen:
+            if g not in out:
+                out[g] = math.log(toxic.p(g) / plain.p(g))
+    for seen in (toxic.total, plain.total):
+        for h in seen:
+            out[h + b"\0"] = math.log(toxic.back.get(h, 1.0) / plain.back.get(h, 1.0))
     return out
 
 
@@ -267,8 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sam
     if not all(whole):
         return Model({}, 0.0, 0.0, margin)
     pairs = pair_counts(written(vocabulary(docs, text), "vocabulary"))
-    halves = [difference([counts[c][k] for c in (0, 1)], pairs) for k in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast(halves)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast([difference([counts[c][k] for c in (0, 1)], pairs) for k in (0, 1)])  # bounded by the sample
+    del counts  # the driver holds one of these at a time
+    trimmed()
 
     def run(batch: pa.RecordBatch) -> dict:
         score = [Scorer(t, margin) for t in reversed(shared.value)]  # a half is scored by models of the other half
@@ -277,7 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sam
 
     rows = sorted((r.y, r.figure) for r in by_batch(texts, run, "y int, figure double").collect())
     y, figures = (np.array([r[k] for r in rows], dtype=float) for k in (0, 1))
-    return Model(difference(whole, pairs), *fit_curve(figures, y, margin), margin)
+    shared.destroy()
+    table = difference(whole, pairs)
+    del whole
+    trimmed()
+    return Model(table, *fit_curve(figures, y, margin), margin)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
