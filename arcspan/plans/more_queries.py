@@ -242,13 +242,14 @@ def rules_model(spark, d):
 
 @query
 def review_risk(spark, d):
-    """Without a baseline; the side-effect owners are those of ``hygiene``, the risks its modules of 990 lines and more."""
+    """Without a baseline; side-effect owners and risks come from the texts that ``hygiene`` reads."""
     s = _scan(spark, d)
     rings = graph.cycles(s["members"])
     debt = metrics.arch_debt(s["metrics"], rings, s["violations"], s["hot"]).select(F.col("score").alias("debt"))
     blocking = _signals(s, s["edges"]).withColumns({"suppressed": F.lit(False), "status": F.lit("active")}).where(recommend.can_fail_ci("high"))
-    big = s["modules"].where("loc >= 960")
-    return views.review_risk(views.review_parts(debt, rings, s["violations"], _bound(s), blocking, s["hot"], big, big.where("loc >= 990")))
+    risks = _lifecycles(s["modules"])
+    owners = views.side_effect_owners(s["modules"], risks).where("note = 'review'")
+    return views.review_risk(views.review_parts(debt, rings, s["violations"], _bound(s), blocking, s["hot"], owners, risks))
 
 
 @query
@@ -276,15 +277,20 @@ def fix_plan(spark, d):
     return rows.select(F.col("place").cast("long").alias("place"), "type", "id", half_up(F.col("weight"), 6).alias("weight"), F.array_join("targets", ",").alias("targets"), "generated", F.array_join("groups", ",").alias("groups"))
 
 
+def _lifecycles(modules: DataFrame) -> DataFrame:
+    """Lifecycle risks read from texts made of the modules."""
+    kind = F.col("ord") % 7
+    text = F.when(kind == 0, "addEventListener('x', f)\nt = setInterval(f)").when(kind == 1, "s.subscribe(f); s.unsubscribe()").when(kind == 2, "createObjectURL(b)").otherwise("")
+    parsed = parse.parse(modules.select(F.col("id").alias("rel_path"), text.alias("content")))
+    return lifecycle.risks(parsed.select(F.col("rel_path").alias("id"), "marks").join(modules.select("id", "runtime"), "id"))
+
+
 @query
 def hygiene(spark, d):
     """With lifecycle risks read from texts made of the parts."""
     modules = data.modules(spark, d).withColumn("is_generated", F.col("ord") % 6 == 0)
     m = metrics.fans(modules, data.edges(spark, d))
-    text = F.when(F.col("ord") % 7 == 0, "addEventListener('x', f)\nt = setInterval(f)").when(F.col("ord") % 7 == 1, "s.subscribe(f); s.unsubscribe()").when(F.col("ord") % 7 == 2, "createObjectURL(b)").otherwise("")
-    parsed = parse.parse(modules.select(F.col("id").alias("rel_path"), text.alias("content")))
-    risks = lifecycle.risks(parsed.select(F.col("rel_path").alias("id"), "marks").join(modules.select("id", "runtime"), "id"))
-    return views.hygiene(m, risks)
+    return views.hygiene(m, _lifecycles(modules))
 
 
 @query

@@ -58,9 +58,16 @@ def as_junit(scan: Scan) -> str:
 
 
 def explain(scan: Scan, what: str) -> dict:
-    """A module, a cycle (its id) or, for ``project``, the whole."""
+    """A module, a cycle or a signal (by its id) or, for ``project``, the whole."""
     if what == "project":
         return summary(scan)
+    if what.startswith("signal:"):
+        rows = _rows(scan.signals.where(F.col("id") == what))
+        if not rows:
+            return {}
+        named = [r["recommendation"] for r in rows if r["recommendation"]]
+        modules = sorted({m for r in rows for m in r["modules"]})
+        return {"signal": rows[0], "findings": _rows(scan.recommendations.where(F.col("id").isin(named))), "modules": _rows(scan.risks.where(F.col("id").isin(modules)))}
     if what.startswith("cycle:"):
         rows = _rows(scan.cycles.where(F.col("id") == what))
         return {"cycle": rows[0], "breaks": _rows(scan.breaks.where(F.col("comp") == rows[0]["comp"]))} if rows else {}

@@ -110,6 +110,25 @@ def explain(scan: Scan, what: str) -> dict:
     return report.explain(scan, what)
 
 
+def review(scan: Scan, before: Scan | None = None) -> DataFrame:
+    """Score and level of what a review has to look at; with an earlier scan, what is new, worse or gone counts too."""
+    blocking = scan.signals.withColumn("status", F.lit("active")).where(recommend.can_fail_ci("high"))
+    risks = scan.base.lifecycles
+    owners = views.side_effect_owners(scan.modules, risks).where("note = 'review'")
+    changed = {}
+    if before is not None:
+        for r in compared(before, scan).groupBy("what", "change").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a kind and change
+            changed[f"{r.change}_{r.what}"] = r.n
+    parts = views.review_parts(scan.debt.select(F.col("score").alias("debt")), scan.cycles, scan.violations, scan.contracts, blocking, scan.hot, owners, risks, changed)
+    return views.review_risk(parts)
+
+
+def save(scan: Scan, folder: str, form: str = "json") -> None:
+    """All tables of a scan as files, each written by the executors that have it; a report of any size."""
+    for name, table in scan.tables().items():
+        table.write.mode("overwrite").format(form).save(f"{folder}/{name}")
+
+
 def unowned(scan: Scan) -> DataFrame:
     return views.unowned_hot(scan.hot)
 

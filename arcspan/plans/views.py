@@ -288,20 +288,26 @@ def hygiene(metrics: DataFrame, risks: DataFrame, top: int = 30) -> DataFrame:
         return best.select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "id", "value", "note")
 
     plain = items.where("kind NOT IN ('entry', 'test') AND NOT generated AND fan_in = 0")
-    by_module = risks.groupBy("id").agg(F.count(F.lit(1)).alias("value"), F.max(place(F.col("confidence"), CONFIDENCES)).alias("sure"))
-    owners = by_module.join(metrics.select("id", "kind"), "id", "left")
-    owned = F.col("kind").isin("component", "composable", "service", "store", "route", "entry", "integration")
-    homeless = F.col("id").rlike(r"/shared/(lib|utils?|model|schema|config)(/|\.)") | ~F.coalesce(owned, F.lit(False))
+    owners = side_effect_owners(metrics, risks)
     parts = [
         listed(plain.where("fan_out = 0 AND n_exports = 0 AND NOT is_infra"), "removable", F.col("value").desc()),
         listed(plain.where("fan_out > 0"), "entry-candidate", F.col("fan_out").desc(), F.col("value").desc()),
         listed(items.where("generated AND (fan_in + fan_out >= 20 OR loc >= 500)"), "generated-pressure", F.col("value").desc()),
-        listed(by_module.withColumn("note", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("sure").cast("int"))), "lifecycle-risk", F.col("value").desc(), F.col("sure").desc()),
-        listed(owners.withColumn("note", F.when(homeless, "review").otherwise("owned")), "side-effect-owner", F.col("note").desc(), F.col("value").desc()),
+        listed(owners.withColumn("note", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("sure").cast("int"))), "lifecycle-risk", F.col("value").desc(), F.col("sure").desc()),
+        listed(owners, "side-effect-owner", F.col("note").desc(), F.col("value").desc()),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def side_effect_owners(modules: DataFrame, risks: DataFrame) -> DataFrame:
+    """Modules with lifecycle risks: ``id, value, sure, note`` - how many, how sure, and whether the place suits them (``owned``) or not (``review``)."""
+    by_module = risks.groupBy("id").agg(F.count(F.lit(1)).alias("value"), F.max(place(F.col("confidence"), CONFIDENCES)).alias("sure"))
+    owned = F.col("kind").isin("component", "composable", "service", "store", "route", "entry", "integration")
+    homeless = F.col("id").rlike(r"/shared/(lib|utils?|model|schema|config)(/|\.)") | ~F.coalesce(owned, F.lit(False))
+    rows = by_module.join(modules.select("id", "kind"), "id", "left")
+    return rows.select("id", "value", "sure", F.when(homeless, "review").otherwise("owned").alias("note"))
+
+
 def unowned_hot(hot: DataFrame) -> DataFrame:
     """Hot zones that belong to no area: ``id``."""
     return hot.where(is_review(F.col("id")) & ((area(F.col("id")) == "project") | (folder(F.col("id")) == "."))).select("id")

@@ -195,3 +195,15 @@ def test_fix_plan(spark):
 def test_fix_plan_of_a_scan(whole):
     types = {r.type for r in verbs.fix_plan(whole).collect()}
     assert types >= {"cycle", "contract-violation", "hot-zone", "recommendation"}
+
+
+def test_reports_of_a_scan(spark, whole, tmp_path):
+    assert report.summary(whole)["status"] == "blocking"
+    found = whole.signals.where("kind = 'contract-violation'").first()
+    told = report.explain(whole, found.id)
+    assert told["signal"]["stable_key"] == found.stable_key and told["findings"][0]["id"] == found.recommendation and {m["id"] for m in told["modules"]} == set(found.modules)
+    assert report.explain(whole, "signal:nothing") == {}
+    alone, again = verbs.review(whole).first(), verbs.review(whole, whole).first()
+    assert alone == again and alone.level in ("high", "critical")
+    verbs.save(whole, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/edges").count() == whole.edges.count() and (tmp_path / "facts").exists()
