@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +25,8 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp()  # on the driver; the executors get it from Spark
+    folder = tempfile.mkdtemp()  # on the driver; the executors get it from Spark, which serves it from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(path, "w") as out:
         for f in sorted(root.rglob("*.py")):
