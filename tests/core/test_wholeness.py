@@ -15,3 +15,36 @@ def test_a_briefing_ranks_all_findings(spark):
     whole = recommend.ranked([found], none, None)
     assert whole.count() == 1101
     assert [(r.id, r.kind) for r in views.briefing(whole.select("id", "kind", "weight"), 6, 2).collect()] == [("a0000", "many"), ("a0001", "many"), ("b", "one")]
+
+
+def some_links(seed, n=16, m=22):
+    r = random.Random(seed)
+    return sorted({(f"n{r.randrange(n):02d}", f"n{r.randrange(n):02d}") for _ in range(m)}) + [("x0", "x1"), ("x1", "x2"), ("x2", "x0"), ("y", "y"), ("z0", "z1")]
+
+
+def test_groups_in_tasks_agree_with_joins(spark):
+    """Components, depths, reach, counts and weak components: on the driver, in tasks that hold whole groups, in groups none can hold."""
+    for seed in range(1):
+        pairs = some_links(seed)
+        e = spark.createDataFrame([(a, b, "static") for a, b in pairs], "src string, dst string, kind string").repartition(5)
+        nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p} | {"alone"})], "id string")
+        forms = ({}, {"small": 0}, {"small": 0, "most": 3})
+        same = lambda found: len({frozenset(Counter(map(tuple, f.collect())).items()) for f in found}) == 1
+        members = graph.scc(e)
+        assert same([graph.scc(e, **f).select("id", "comp") for f in forms])
+        starts, shared = nodes.where("id LIKE '%3' OR id = 'x1'"), nodes.where("id NOT LIKE '%5'")
+        for s in (None, starts):
+            assert same([graph.depths(nodes, e, members, s, **f).select("id", "depth") for f in forms])
+        assert same([graph.reach(e, nodes, **f) for f in forms])
+        assert same([graph.reach(e, starts, 2, shared, **f) for f in forms])
+        assert same([graph.weak_components(nodes, e, s).select("id", "root") for s in (graph.SMALL, 0)])
+        far = Counter((r.id) for r in graph.reach(e, nodes).collect())
+        for most in (graph.MOST, 3):
+            assert {r.id: r.n for r in graph.reach_counts(e, 1, most).collect()} == dict(far)
+
+
+def test_blocks_of_bits_meet(spark):
+    pairs = [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)] + [("c30", "c20"), ("h", "c05")]
+    src, dst = zip(*pairs)
+    whole = dict(graph._counts(list(src), list(dst)))
+    assert whole == dict(graph._counts(list(src), list(dst), 4)) and whole["c03"] == 3 and whole["c25"] == 31
