@@ -5,6 +5,7 @@ from collections import Counter
 
 from arcspan.operators import graph, recommend
 from arcspan.plans import views
+from arcspan.sources import resolve
 
 
 def test_a_briefing_ranks_all_findings(spark):
@@ -48,3 +49,18 @@ def test_blocks_of_bits_meet(spark):
     src, dst = zip(*pairs)
     whole = dict(graph._counts(list(src), list(dst)))
     assert whole == dict(graph._counts(list(src), list(dst), 4)) and whole["c03"] == 3 and whole["c25"] == 31
+
+
+def test_components_after_erasing_in_tasks(spark):
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("d", "e"), ("e", "d"), ("f", "g"), ("g", "f"), ("g", "g")]
+    e = spark.createDataFrame([(a, b, "static", f"./{b}") for a, b in pairs], "src string, dst string, kind string, specifier string")
+    gone = e.where("(src = 'a' AND dst = 'b') OR (src = 'f')")
+    for most in (graph.MOST, 1):
+        assert {tuple(r) for r in graph.scc_after(e, graph.scc(e), gone, most).collect()} == {("a", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("g", "g")}
+
+
+def test_prefixes_inside_each_other_give_each_pair_once(spark):
+    files = spark.createDataFrame([("src/a/x.ts",), ("src/a/b/y.ts",), ("src/c/z.ts",), ("src/m.ts",)], "rel_path string")
+    asked = spark.createDataFrame([("src/m.ts", "./a/"), ("src/m.ts", "./a/b/"), ("src/m.ts", "./a/"), ("src/a/x.ts", "./")], "src string, prefix string")
+    got = sorted(tuple(r) for r in resolve.expanded_prefixes(asked, files).collect())
+    assert got == [("src/a/x.ts", "src/a/b/y.ts"), ("src/m.ts", "src/a/b/y.ts"), ("src/m.ts", "src/a/x.ts")]
