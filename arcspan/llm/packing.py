@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_batch, held, written
 
 CAPACITY, END = 4096, 1
-SLICE = 1 << 22
+SLICE = 1 << 21  # a slice's tables of chunks take some 25 times as much for a moment
 
 
 class Words(dict):
@@ -85,7 +85,8 @@ class Words(dict):
         data = np.frombuffer(b" " + joined + b" " * 17, dtype=np.uint8)
         kinds = _KIND[data]
         meet = kinds[:-1] << 2 | kinds[1:]
-        start, end = np.nonzero(_BEGINS[meet])[0] + 1, np.nonzero(_ENDS[meet])[0] + 1
+        start, end = (np.nonzero(x[meet])[0] + 1 for x in (_BEGINS, _ENDS))
+        del kinds, meet
         if not len(start):
             return [b""] * len(texts)
         n = end - start
@@ -103,11 +104,13 @@ class Words(dict):
         group = np.empty(len(key), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
         first = order[new]
+        del key, order, new
         at = first[group]
         differ = np.nonzero((low != low[at]) | (high != high[at]) | (n != n[at]))[0]
         if len(differ):  # chunks whose keys are equal by chance have groups of their own
             group[differ] = len(first) + np.arange(len(differ))
             first = np.append(first, differ)
+        del low, high, n, at
         chunks = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
         known = list(map(self.known(chunks).__getitem__, chunks))
         flat, sizes = np.frombuffer(b"".join(known), dtype="<u4"), np.array(list(map(len, known))) // 4

@@ -89,3 +89,23 @@ def test_plan_holds_everything(seed):
 def test_plan_is_small_for_any_size():
     runs = packing.plan({n: 10**9 + n for n in range(1, 4097)})
     assert len(runs) < 40_000
+
+
+def test_a_batch_takes_little_memory_beside_its_texts():
+    """The texts of a slice: the tables of their chunks go before the ids are made."""
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    texts, size = [], 0
+    while size < packing.SLICE:
+        texts.append(" ".join(r.choice(words) for _ in range(400)).encode())
+        size += len(texts[-1])
+    made = packing.Words(public_tokenizers.path(NAME))
+    made.ids(texts[:1])
+    tracemalloc.start()
+    made.ids(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
