@@ -45,6 +45,13 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
         starts, stops = [0, *(ends[:-shingle] + 1).tolist()], ends[shingle - 1 :].tolist()
         h = xxhash.xxh64_intdigest
         hashes = np.array([h(text[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) if len(bits) < 1 << 22 else sum(b.sum(axis=0, dtype=np.int64) for b in np.array_split(bits, len(bits) >> 20))
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
