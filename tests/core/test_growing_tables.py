@@ -1,8 +1,11 @@
 """Tables that grow with the project are never broadcast, however small their files are."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from arcspan.adapters import testdata as data
+from arcspan.operators import graph
+from arcspan.operators.components import components
 from arcspan.sources import resolve
 
 
@@ -17,3 +20,44 @@ def test_globs_are_broadcast_and_files_are_not(spark, sf):
         text = plan(resolve.expanded_globs(globs, files).select("src", "dst"))
         assert "BroadcastHashJoin" not in text or "BuildLeft" not in text, text
     assert [tuple(r) for r in resolve.expanded_globs(globs, files).collect()] == [("a/main.ts", "a/b.ts")]
+
+
+def test_modules_and_parts_are_not_broadcast(spark, sf):
+    assert "Broadcast" not in plan(data.edges(spark, sf))
+    modules, edges = data.modules(spark, sf), data.edges(spark, sf)
+    assert "Broadcast" not in plan(edges.join(modules.select(F.col("id").alias("src"), "kind"), "src"))
+
+
+def test_edges_skip_items_without_a_part_and_those_before_the_first_large_quantity(spark, tmp_path):
+    part = [(k, "SMALL", 1) for k in (1, 2, 3, 4)] + [(4, "LARGE", 1)]
+    spark.createDataFrame(part, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = [
+        (1, 1, 1, 10.0), (1, 2, 2, 49.0), (1, 3, 99, 50.0), (1, 4, 3, 1.0), (1, 5, 1, 2.0),  # 2 leads to 3, over an item that no part has
+        (2, 1, 99, 50.0), (2, 2, 1, 3.0), (2, 3, 2, 50.0), (2, 4, 4, None),  # 2 leads to one of the two of key 4
+        (3, 1, 1, None), (3, 2, 2, 1.0), (4, 1, 3, 50.0),
+        (5, 1, 1, 49.0), (5, 1, 1, 49.0), (5, 1, 2, 1.0), (None, 1, 1, 50.0), (None, 2, 2, 1.0),
+    ]
+    items = [(o, n, p, 7, q, "N", "O") for o, n, p, q in rows]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = lambda x: x.rsplit("/", 1)[1].removesuffix(".ts")
+    found = sorted((keys(r.src), keys(r.dst)) for r in data.edges(spark, str(tmp_path)).collect())
+    assert found == sorted([("2", "3"), ("2", "4"), ("1", "1"), ("1", "2"), ("1", "2")])
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_components_without_broadcasts(spark, n, monkeypatch):
+    seen = []
+    from arcspan.operators import components as module
+
+    whole = module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (seen.append(plan(df)), whole(df, name))[1])
+    links = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    assert {r.root for r in components(links).collect()} == {0}
+    assert not any("Broadcast" in p for p in seen)
+
+
+def test_more_rows_than_a_driver_takes_are_only_counted(spark):
+    rows = spark.range(50)
+    rows.collect = lambda: pytest.fail("more than the limit were fetched")
+    rows.limit = lambda n: spark.range(n)
+    assert graph.few(rows, 10) is None
