@@ -12,7 +12,7 @@ from ..functions.globs import glob_regex
 from ..functions.values import cycle_id
 from ..operators import bundle as bundles
 from ..operators import cycles, diff, findings, graph, history, lifecycle, metrics, recommend, rules
-from ..session import ship, written
+from ..session import grown, ship, written
 from ..sources import facts, files, parse, resolve
 from . import views
 from .config import Config
@@ -127,22 +127,22 @@ def based(parsed: DataFrame, found: DataFrame, wanted: DataFrame, links: DataFra
 
     ``probed`` holds what earlier probes said of files that haven't changed.
     """
-    modules = written(modules_of(parsed, config, framework), "modules")
+    modules = grown(modules_of(parsed, config, framework), "modules")
     edges, lost = edges_of(parsed, wanted, links, framework)
-    edges = written(edges, "edges")
+    edges = grown(edges, "edges")
     summaries = facts.summarised(parsed, framework)
     marked = parsed.select(F.col("rel_path").alias("id"), "marks").join(modules.select("id", "runtime"), "id")
     members = graph.scc(edges)
-    texts = found.select(F.col("rel_path").alias("id"), "content")
+    texts = found.select(F.col("rel_path").alias("id"), "content").hint("merge")
     return Base(
         modules, edges, lost.union(parse.unparsed(found).withColumn("detail", F.lit(""))), facts.quality(summaries), facts.facts(summaries),
-        lifecycle.risks(marked, framework), written(findings.probed_types(texts, edges, members, probed), "probed"),
+        lifecycle.risks(marked, framework), grown(findings.probed_types(texts, edges, members, probed), "probed"),
     )
 
 
 def read(sources: DataFrame, config: Config, aliases: list, framework: str) -> Base:
     found = discovered(sources, config)
-    parsed = written(parse.parse(found, callees=tuple(x["name"] for x in config.loaders)), "parsed")
+    parsed = grown(parse.parse(found, callees=tuple(x["name"] for x in config.loaders)), "parsed")
     wanted = imports_of(parsed, config)
     return based(parsed, found, wanted, written(links_of(wanted, parsed.select("rel_path"), aliases), "links"), config, framework)
 

@@ -26,7 +26,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import grown, ship, written
 from ..sources import parse, resolve
 from ..streaming.watch import cache_key, cache_outcome, needs_full_scan
 from .config import Config
@@ -43,7 +43,7 @@ def keep(base: Base, path: str) -> None:
 
 
 def kept(spark: SparkSession, path: str) -> Base:
-    return Base(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(Base)))
+    return Base(*(spark.read.parquet(f"{path}/{f.name}").hint("merge") for f in fields(Base)))
 
 
 def note(spark: SparkSession, path: str, **facts) -> None:
@@ -76,7 +76,7 @@ def _replaced(df: DataFrame, key: str, path: str, only: DataFrame | None = None)
     rows = _bucketed(df, key)
     how = "static"
     if only is not None:
-        rows, how = written(rows.join(only, "bucket", "left_semi"), "replaced"), "dynamic"
+        rows, how = written(rows.join(F.broadcast(only), "bucket", "left_semi"), "replaced"), "dynamic"  # BUCKETS rows at most
     rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("bucket").parquet(path)
     if only is not None:  # a partition that has lost all its rows isn't written, so it has to go
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -145,7 +145,7 @@ def refreshed(spark: SparkSession, sources: DataFrame, path: str, config: Config
         old = spark.read.parquet(f"{path}/manifest")
         both = listed.join(old.withColumnRenamed("stamp", "was"), "rel_path", "full")
         what = F.when(F.col("was").isNull(), "added").when(F.col("stamp").isNull(), "removed").when(F.col("stamp") != F.col("was"), "changed")
-        changes = written(both.select("rel_path", what.alias("what")).where("what IS NOT NULL"), "changes")
+        changes = grown(both.select("rel_path", what.alias("what")).where("what IS NOT NULL"), "changes")
     counts = {r.what: r.n for r in changes.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()} if changes is not None else {}
     outcome = cache_outcome(before, key, {k: v for k, v in counts.items() if k != "added"} | ({"changed": counts["added"]} if "added" in counts else {}))
     if outcome == "fresh":
@@ -153,7 +153,7 @@ def refreshed(spark: SparkSession, sources: DataFrame, path: str, config: Config
     if before is not None:
         note(spark, f"{path}/key", key=None)
     if needs_full_scan(0, 0, before != key, False):
-        parsed = written(parse.parse(found, callees=tuple(x["name"] for x in config.loaders)), "parsed")
+        parsed = grown(parse.parse(found, callees=tuple(x["name"] for x in config.loaders)), "parsed")
         wanted = imports_of(parsed, config)
         links = written(links_of(wanted, parsed.select("rel_path"), list(aliases)).select(*LINKS), "links")
         base = based(parsed, found, wanted, links, config, framework)
@@ -162,7 +162,7 @@ def refreshed(spark: SparkSession, sources: DataFrame, path: str, config: Config
         parsed, wanted, links, probed, touched = _carried(spark, found, changes, path, config, list(aliases))
         base = based(parsed, found, wanted, links, config, framework, probed)
     # everything that is read from the cache is written before any of it is replaced
-    base = Base(*(written(getattr(base, f.name), f.name) for f in fields(Base)))
+    base = Base(*(grown(getattr(base, f.name), f.name) for f in fields(Base)))
     _replaced(parsed, "rel_path", f"{path}/parsed", touched)
     _replaced(links, "src", f"{path}/links", None)
     written(listed, "manifest").write.mode("overwrite").parquet(f"{path}/manifest")
@@ -175,20 +175,20 @@ def _carried(spark: SparkSession, found: DataFrame, changes: DataFrame, path: st
     """Parsed files, imports, links and probes after a change, from those before; and the buckets that changed."""
     gone = changes.where("what <> 'added'").select("rel_path")
     fresh = found.join(changes.where("what <> 'removed'").select("rel_path"), "rel_path", "left_semi")
-    new = written(parse.parse(fresh, callees=tuple(x["name"] for x in config.loaders)), "parsed")
+    new = grown(parse.parse(fresh, callees=tuple(x["name"] for x in config.loaders)), "parsed")
     old = spark.read.schema(_bucketed(new, "rel_path").schema).parquet(f"{path}/parsed").drop("bucket").join(gone, "rel_path", "left_anti")
-    parsed = written(old.unionByName(new), "parsed")
+    parsed = grown(old.unionByName(new), "parsed")
     moved = changes.where("what <> 'changed'").select(F.explode(resolve.bases_of(F.col("rel_path"))).alias("base")).distinct()
     links = spark.read.parquet(f"{path}/links").select(*LINKS).join(gone.withColumnRenamed("rel_path", "src"), "src", "left_anti")
-    links = written(links, "links")
+    links = grown(links, "links")
     altered = links.select("src", "n", F.explode("bases").alias("base")).join(moved, "base", "left_semi").select("src", "n").distinct()
-    altered = written(altered, "altered")
+    altered = grown(altered, "altered")
     # imports of changed files, and those of others that look where something came or went
     again = imports_of(new, config).unionByName(links.join(altered, ["src", "n"], "left_semi").select(*LINKS[:7]))
     resolved = links_of(again, parsed.select("rel_path"), aliases).select(*LINKS)
-    after = written(links.join(altered, ["src", "n"], "left_anti").select(*LINKS).unionByName(resolved), "links")
+    after = grown(links.join(altered, ["src", "n"], "left_anti").select(*LINKS).unionByName(resolved), "links")
     stale = changes.select(F.col("rel_path").alias("src"))
-    probed = written(spark.read.parquet(f"{path}/base/probed").join(stale, "src", "left_anti"), "probed")
+    probed = grown(spark.read.parquet(f"{path}/base/probed").join(stale, "src", "left_anti"), "probed")
     buckets = _bucketed(changes, "rel_path").select("bucket").distinct()
     return parsed, imports_of(parsed, config), after, probed, buckets
 

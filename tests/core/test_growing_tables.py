@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from arcspan import session
 from arcspan.adapters import testdata as data
 from arcspan.operators import graph
 from arcspan.operators.components import components
-from arcspan.sources import resolve
+from arcspan.plans import scan, store
+from arcspan.sources import files, resolve
 
 
 def plan(df):
@@ -61,3 +63,18 @@ def test_more_rows_than_a_driver_takes_are_only_counted(spark):
     rows.collect = lambda: pytest.fail("more than the limit were fetched")
     rows.limit = lambda n: spark.range(n)
     assert graph.few(rows, 10) is None
+
+
+def test_rescans_broadcast_no_table_of_the_project(spark, tmp_path, monkeypatch):
+    seen = {}
+    whole = session.written
+    for module in (session, store, scan):
+        monkeypatch.setattr(module, "written", lambda df, name: (seen.setdefault(name, []).append(plan(df)), whole(df, name))[1])
+    now = {"src/a.ts": "import { b } from './b'", "src/b.ts": "import { a } from './a'\nimport './c'", "src/c.ts": "const all = import.meta.glob('./x/*.ts')"}
+    for change in ({}, {"src/x/d.ts": "import '../a'"}, {"src/b.ts": "import './c'"}):
+        now |= change
+        store.refreshed(spark, files.in_memory(spark, now), str(tmp_path))
+    assert {"changes", "parsed", "links", "altered", "modules", "edges", "probed"} <= seen.keys()
+    # buckets of a cache are of a stated number; lifecycle risks are joined by file
+    for name in seen.keys() - {"replaced", "lifecycles"}:
+        assert not any("Broadcast" in p for p in seen[name]), (name, seen[name])
