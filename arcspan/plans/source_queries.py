@@ -112,7 +112,7 @@ def loader_edges(spark, d):
 @query
 def lifecycle_scopes(spark, d):
     """What mount hooks acquire and don't give back, in components made of the events."""
-    e = data.table(spark, d, "events")
+    e = data.table(spark, d, "events").select("event_id", "user_id").repartition("event_id")  # texts are more work than their rows have bytes
     k = (F.col("event_id") % 6).cast("int") + 1
     acquire = F.element_at(F.array(*map(F.lit, ("window.addEventListener('x', f)", "t = setInterval(f, 9)", "o = new ResizeObserver(f)", "u = URL.createObjectURL(b)", "s = store.subscribe(f)", "await load()"))), k)
     release = F.element_at(F.array(*map(F.lit, ("window.removeEventListener('x', f)", "clearInterval(t)", "o.disconnect()", "URL.revokeObjectURL(u)", "s.unsubscribe()", "c.abort()"))), k)
@@ -120,7 +120,7 @@ def lifecycle_scopes(spark, d):
     text = F.when(way == 0, F.concat(F.lit("onMounted(async () => {\n  "), acquire, F.lit("\n})\nonUnmounted(() => { "), release, F.lit(" })")))
     text = text.when(way == 1, F.concat(F.lit("onMounted(async () => {\n  "), acquire, F.lit("\n})\nfunction later() { "), release, F.lit(" }")))
     text = text.when(way == 2, acquire).otherwise(F.concat(F.lit("\n// onMounted(() => {\nonMounted(async function () { "), acquire, F.lit(" })")))
-    parsed = parse.parse(e.select(F.concat(F.lit("src/e"), F.col("event_id").cast("string"), F.lit(".ts")).alias("rel_path"), text.alias("content")))
+    parsed = parse.marked(e.select(F.concat(F.lit("src/e"), F.col("event_id").cast("string"), F.lit(".ts")).alias("rel_path"), text.alias("content")))
     rows = parsed.select(F.col("rel_path").alias("id"), F.lit("client").alias("runtime"), "marks")
     return lifecycle.risks(rows, "vue").select("id", "risk", "kind", F.col("line").cast("long").alias("line"), "confidence")
 

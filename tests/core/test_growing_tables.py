@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from arcspan import session
 from arcspan.adapters import testdata as data
-from arcspan.operators import graph
+from arcspan.operators import graph, lifecycle
 from arcspan.operators.components import components
 from arcspan.plans import scan, store
-from arcspan.sources import files, resolve
+from arcspan.sources import files, parse, resolve
 
 
 def plan(df):
@@ -78,3 +78,14 @@ def test_rescans_broadcast_no_table_of_the_project(spark, tmp_path, monkeypatch)
     # buckets of a cache are of a stated number; lifecycle risks are joined by file
     for name in seen.keys() - {"replaced", "lifecycles"}:
         assert not any("Broadcast" in p for p in seen[name]), (name, seen[name])
+
+
+@pytest.mark.parametrize("framework", ["generic", "vue", "react"])
+def test_lifecycle_risks_read_each_file_once(spark, framework):
+    texts = files.in_memory(spark, {"a.ts": "onMounted(() => {\n setInterval(f); setTimeout(f) })\nuseEffect(() => { t = setTimeout(f); addEventListener('x', f); setInterval(g) })"})
+    found = lifecycle.risks(parse.marked(texts).selectExpr("rel_path AS id", "'client' AS runtime", "marks"), framework)
+    text = plan(found)
+    assert text.count("MapInArrow") == 1 and "Exchange" not in text and "Join" not in text, text
+    want = {"generic": [("event-listener-cleanup", 3), ("timer-cleanup", 2), ("timer-cleanup", 3)], "vue": [("timer-cleanup", 2)], "react": [("event-listener-cleanup", 3), ("timer-cleanup", 3)]}
+    assert sorted((r.kind, r.line) for r in found.collect()) == want[framework]
+    assert [r.asDict() for r in parse.marked(texts).collect()] == [r.asDict() for r in parse.parse(texts).select("rel_path", "marks").collect()]
