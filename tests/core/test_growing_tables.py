@@ -89,3 +89,17 @@ def test_lifecycle_risks_read_each_file_once(spark, framework):
     want = {"generic": [("event-listener-cleanup", 3), ("timer-cleanup", 2), ("timer-cleanup", 3)], "vue": [("timer-cleanup", 2)], "react": [("event-listener-cleanup", 3), ("timer-cleanup", 3)]}
     assert sorted((r.kind, r.line) for r in found.collect()) == want[framework]
     assert [r.asDict() for r in parse.marked(texts).collect()] == [r.asDict() for r in parse.parse(texts).select("rel_path", "marks").collect()]
+
+
+def test_edges_on_no_cycle_go_before_groups_are_found(spark, monkeypatch):
+    rings, ends = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("o", "o")], [(f"a{k}", "r1") for k in range(9)]
+    edges = spark.createDataFrame([(a, b, "static") for a, b in [*rings, *ends, ("r2", "y"), ("y", "z")]], "src string, dst string, kind string")
+    given, whole = [], graph.parted
+    monkeypatch.setattr(graph, "parted", lambda links, most: (given.append(links), whole(links, most))[1])
+    want = {("r1", "r1"), ("r2", "r1"), ("r3", "r1"), ("o", "o")}
+    for chunk, left in ((500_000, 15), (3, 4)):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        assert {tuple(r) for r in graph.scc(edges, small=0).collect()} == want
+        assert given.pop().count() == left
+    pairs = session.written(edges.select("src", "dst"), "pairs")
+    assert "Broadcast" not in plan(graph.trimmed(pairs, 2))
