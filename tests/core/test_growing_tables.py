@@ -103,3 +103,20 @@ def test_edges_on_no_cycle_go_before_groups_are_found(spark, monkeypatch):
         assert given.pop().count() == left
     pairs = session.written(edges.select("src", "dst"), "pairs")
     assert "Broadcast" not in plan(graph.trimmed(pairs, 2))
+
+
+def test_lifecycles_of_modules_are_parsed_once(spark, sf, monkeypatch):
+    from arcspan.plans import more_queries
+
+    calls, real = spark.sparkContext.accumulator(0), parse._read
+
+    def counted(files, limit, schema, one):
+        return real(files, limit, schema, lambda path, text: (calls.add(1), one(path, text))[1])
+
+    monkeypatch.setattr(parse, "_read", counted)
+    modules = data.modules(spark, sf)
+    risks = more_queries._lifecycles(modules)
+    assert risks.count() == risks.select("id", "kind", "line").distinct().count() > 0
+    rows = modules.union(modules).hint("merge")
+    assert sorted(map(tuple, more_queries._lifecycles(rows).collect())) == sorted(map(tuple, risks.collect()))
+    assert calls.value == 2 * modules.where("runtime <> 'server'").count()
