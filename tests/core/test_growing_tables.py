@@ -120,3 +120,17 @@ def test_lifecycles_of_modules_are_parsed_once(spark, sf, monkeypatch):
     rows = modules.union(modules).hint("merge")
     assert sorted(map(tuple, more_queries._lifecycles(rows).collect())) == sorted(map(tuple, risks.collect()))
     assert calls.value == 2 * modules.where("runtime <> 'server'").count()
+
+
+def test_matrix_of_a_screen_joins_edges_once(spark):
+    from arcspan.plans import views
+
+    edges = [("1", "src/features/a/x.ts", "src/features/b/y.ts"), ("2", "src/features/b/y.ts", "src/features/a/x.ts"), ("0", "src/features/c/z.ts", "src/features/b/y.ts")]
+    edges = spark.createDataFrame(edges, "ord string, src string, dst string")
+    cycles = spark.createDataFrame([(["src/features/a/x.ts", "src/features/b/y.ts"],)], "modules array<string>")
+    bad = spark.createDataFrame([("src/features/c/z.ts", "src/features/b/y.ts", "error")], "src string, dst string, severity string")
+    out = views.ui_matrix(edges, cycles, bad)
+    text = plan(out)
+    assert "ExistingRDD" not in text, text  # all that is left to do is done on cells
+    got = {(r.from_place, r.to_place, r.imports, r.violations, r.severity, r.cycle_edges) for r in out.collect()}
+    assert got == {(0, 1, 1, 1, "error", 0), (2, 1, 1, 0, "normal", 1), (1, 2, 1, 0, "normal", 1)}
