@@ -1,7 +1,6 @@
 """Inside a cycle: feedback edges, what they break, patterns and the edge to cut.
 
-These are sequential in a component, so one component is one group of a
-grouped Arrow function; components go in parallel. Work beyond the limits is
+These are sequential in a component, so components are dealt to tasks whole. Work beyond the limits is
 cut off and marked ``partial``, as the operator defines.
 """
 
@@ -11,12 +10,14 @@ import heapq
 import posixpath
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import live
+from .parts import ROWS
 
 EXACT, PATHS, CYCLES, STEPS = 20, 200, 100_000, 200_000
 _INDEX = re.compile(r"^index\.(ts|tsx|js|jsx|mjs|cjs|vue|svelte)$")
@@ -196,26 +197,70 @@ def pattern(pairs: set[tuple[str, str]], members: list[str], back: set[tuple[str
     return "long-chain" if len(members) > 8 and 0 < len(back) <= 2 else "mixed"
 
 
+def ring(pairs: set[tuple[str, str]], members: list[str]) -> tuple[str, str] | None:
+    """If the edges are one ring through all members (sorted) and no more, the one that closes it: it leads to the smallest name, where the order begins."""
+    out = dict(pairs)
+    if not 1 < len(members) == len(pairs) == len(out):
+        return None
+    last, n = members[0], 1
+    while (after := out.get(last)) != members[0]:
+        if after is None or n == len(members):
+            return None
+        last, n = after, n + 1
+    return (last, members[0]) if n == len(members) else None
+
+
+def _reading(comp, pairs: set[tuple[str, str]]) -> list[tuple]:
+    """The rows of :func:`explained` of one component."""
+    names = sorted({x for p in pairs for x in p})
+    closing = ring(pairs, names) if len(names) < STEPS // 2 else None
+    if closing:
+        back = {closing}
+        counts, total = {closing: (1, False)}, 1 if len(names) <= EXACT else -1
+    else:
+        back = feedback(pairs, names)
+        counts, total = broken(pairs, names, back)
+    label = pattern(pairs, names, back)
+    able = [e for e in back if e[0] != e[1] or len(names) == 1]
+    cut = min(able, key=lambda e: (-counts[e][0], e), default=None)
+    return [(comp, a, b, *counts[a, b], total, label, (a, b) == cut) for a, b in sorted(back)]
+
+
 def explained(edges: DataFrame, members: DataFrame) -> DataFrame:
     """A row for each feedback edge: ``comp, src, dst, broken, partial, total_cycles, pattern, breakpoint``.
 
     ``breakpoint`` marks the edge that breaks most cycles (the smallest name
-    of those, and no loop in a component of several).
+    of those, and no loop in a component of several). A task reads its
+    components one after the other, as most are too small for a call of their own.
     """
     at = lambda side: members.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp"))
     kind = members.schema["id"].dataType.simpleString()
-    inner = live(edges).select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").where("src_comp = dst_comp").select(F.col("src_comp").alias("comp"), "src", "dst")
+    inner = live(edges).select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").where("src_comp = dst_comp").select(F.col("src_comp").alias("comp"), "src", "dst")
     schema = f"comp {kind}, src {kind}, dst {kind}, broken long, partial boolean, total_cycles long, pattern string, breakpoint boolean"
+    columns = [x.split()[0] for x in schema.split(", ")]
 
-    def run(group: pa.Table) -> pa.Table:
-        pairs = set(zip(group["src"].to_pylist(), group["dst"].to_pylist()))
-        names = sorted({x for p in pairs for x in p})
-        back = feedback(pairs, names)
-        counts, total = broken(pairs, names, back)
-        label = pattern(pairs, names, back)
-        able = [e for e in back if e[0] != e[1] or len(names) == 1]
-        cut = min(able, key=lambda e: (-counts[e][0], e), default=None)
-        rows = [(group["comp"][0].as_py(), a, b, *counts[a, b], total, label, (a, b) == cut) for a, b in sorted(back)]
-        return pa.table({n: [r[k] for r in rows] for k, n in enumerate(("comp", "src", "dst", "broken", "partial", "total_cycles", "pattern", "breakpoint"))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        comp, pairs, types = None, set(), None
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=columns)
+            rows.clear()
+            return out
+
+        for b in batches:
+            types = [*b.schema.types, pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.bool_()]
+            for c, src, dst in zip(*(x.to_pylist() for x in b.columns)):
+                if c != comp:
+                    if pairs:
+                        rows += _reading(comp, pairs)
+                    comp, pairs = c, set()
+                pairs.add((src, dst))
+            if len(rows) >= ROWS:
+                yield batch()
+        if pairs:
+            rows += _reading(comp, pairs)
+        if rows:
+            yield batch()
 
-    return inner.groupBy("comp").applyInArrow(run, schema)
+    return inner.repartition("comp").sortWithinPartitions("comp").mapInArrow(run, schema)

@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
-from arcspan.operators import graph, recommend
+from arcspan import session
+from arcspan.operators import cycles, graph, recommend
 from arcspan.plans import views
-from arcspan.sources import resolve
+from arcspan.sources import resolve, typeuse
 
 
 def test_a_briefing_ranks_all_findings(spark):
@@ -100,3 +101,41 @@ def test_large_groups_are_reached_in_few_rounds(spark, monkeypatch):
         rounds.clear()
         assert {r.id: r.n for r in graph.reach_counts(e, 1, 3).collect()} == dict(far)
         assert ("bits" in rounds) == (dense == 1)
+
+
+def test_components_share_tasks_and_rings_are_read_at_once(spark, monkeypatch):
+    r = random.Random(3)
+    for n in (*range(2, 24), 40):
+        names = r.sample(range(100, 999), n)
+        pairs = {(f"m{a}", f"m{b}") for a, b in zip(names, [*names[1:], names[0]])}
+        one = cycles._reading("c", pairs)
+        with monkeypatch.context() as m:
+            m.setattr(cycles, "ring", lambda pairs, members: None)
+            assert cycles._reading("c", pairs) == one
+    ordered = sorted(["a", "b", "c", "d"])
+    assert cycles.ring({("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")}, ordered) is None and cycles.ring({("a", "b"), ("b", "c"), ("c", "b"), ("d", "a")}, ordered) is None
+    assert cycles.ring({("a", "a")}, ["a"]) is None and cycles.ring({("a", "b"), ("b", "a"), ("a", "a")}, ["a", "b"]) is None
+    edges = [(f"{c}{k}", f"{c}{(k + 1) % 3}", "static") for c in "abcdefgh" for k in range(3)]
+    e = spark.createDataFrame([*edges, ("a0", "a1", "static"), ("a1", "a0", "dynamic")], "src string, dst string, kind string").repartition(5)
+    found = cycles.explained(e, graph.scc(e))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.comp, x.src, x.dst, x.total_cycles) for x in found.collect()) == [("a0", "a0", "a1", 2), *((f"{c}0", f"{c}2", f"{c}0", 1) for c in "bcdefgh")]
+
+
+def test_texts_that_are_alike_are_read_once(monkeypatch):
+    calls, whole = [], typeuse.Reading
+    monkeypatch.setattr(typeuse, "Reading", lambda code: (calls.append(code), whole(code))[1])
+    text = "import { Alike } from './m'\nlet a: Alike | null = null"
+    for k in range(5):
+        assert typeuse.type_only_names(f"r{k}/m.ts", text, "./m") == ["Alike"]
+    assert len(calls) == 1 and typeuse.type_only_names("x.vue", text, "./m") == []
+
+
+def test_rings_stay_as_they_lie(spark, monkeypatch):
+    """Of rings nothing can be trimmed: their edges aren't shuffled before groups are found, so groups are whole in their chunks."""
+    rings = session.written(spark.createDataFrame([(f"r{c}/{k}", f"r{c}/{(k + 1) % 4}", "static") for c in range(30) for k in range(4)], "src string, dst string, kind string"), "rings")
+    given, whole = [], graph.parted
+    monkeypatch.setattr(graph, "CHUNK", 50)
+    monkeypatch.setattr(graph, "parted", lambda links, most: (given.append(links), whole(links, most))[1])
+    assert sorted(map(tuple, graph.scc(rings, small=0).collect())) == sorted((f"r{c}/{k}", f"r{c}/0") for c in range(30) for k in range(4))
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString() and given[0].inputFiles() == rings.inputFiles()
